@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import quality
+from trajloom.llm import licenses, quality
 from trajloom.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_license_scan": op8_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import licenses, quality
+from trajloom.llm import licenses, merkle, quality
 from trajloom.llm.common import table
 
 
@@ -16,7 +16,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import licenses, merkle, quality
+from trajloom.llm import bpe, licenses, merkle, quality
 from trajloom.llm.common import table
 
 
@@ -20,7 +20,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op10_quality_rules": op10_quality_rules,

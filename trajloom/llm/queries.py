@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import bpe, licenses, merkle, quality
+from trajloom.llm import bpe, licenses, merkle, packing, quality
 from trajloom.llm.common import table
 
 
@@ -24,10 +24,15 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 

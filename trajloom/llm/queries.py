@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import bpe, licenses, merkle, packing, quality, simhash, suffix
+from trajloom.llm import bpe, licenses, merkle, packing, pii, quality, simhash, suffix
 from trajloom.llm.common import table
 
 
@@ -36,9 +36,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_pii": op4_pii,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import bpe, licenses, merkle, packing, pii, quality, simhash, suffix
+from trajloom.llm import bpe, html, licenses, merkle, packing, pii, quality, simhash, suffix
 from trajloom.llm.common import table
 
 
@@ -40,7 +40,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_html_main_text": op1_html_main_text,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pii": op4_pii,

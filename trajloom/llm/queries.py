@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajloom.llm import bpe, html, licenses, merkle, packing, pii, quality, simhash, suffix
+from trajloom.llm import bpe, html, idstore, licenses, merkle, packing, pii, quality, simhash, suffix
 from trajloom.llm.common import table
 
 
@@ -44,12 +44,17 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.store_and_read(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_main_text": op1_html_main_text,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pii": op4_pii,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_ids": op6_token_ids,
     "op7_fingerprints": op7_fingerprints,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,

@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from trajloom.llm.common import whole_text
 
-MAX_STATES = 200_000
-MAX_PAIRS = 500_000
-MAX_WORDS = 300_000
+MAX_STATES = 300_000
+MAX_PAIRS = 600_000
+MAX_WORDS = 700_000
 LOOKAHEAD = 24  # bytes; from then on a state tries to settle tokens
 
 # The letters and digits up to U+00FF, and white space.
@@ -152,9 +152,11 @@ class Transducer:
         if n >= LOOKAHEAD and (cut := self._settled_at(data, ends)):
             out = tuple(self._chain(ends, cut))
             last, data, ends = out[-1], data[cut:], ends[cut:]
-        to = self.known.get((last, data))
+        to = self.known.get((last, data)) if out else None  # without tokens given out, only this arc leads there
         if to is None:
-            to = self.known[last, data] = len(self.settled)
+            to = len(self.settled)
+            if out:
+                self.known[last, data] = to
             self.settled.append(last)
             self.pending.append(data)
             self.ends.append(ends)

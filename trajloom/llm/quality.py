@@ -170,4 +170,7 @@ def quality_report(docs: DataFrame, **limits) -> DataFrame:
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, with the columns of docs."""
-    return judge(docs, **limits).filter(_c("kept")).select(*docs.columns)
+    # A row number is never worked out twice, so a filter that reads it stays above the verdict; pushed below,
+    # it would repeat the verdict's whole expression for every column that it uses.
+    judged = judge(docs, **limits).withColumn("__q_row", F.monotonically_increasing_id())
+    return judged.filter(_c("kept") & (_c("row") >= 0)).select(*docs.columns)

@@ -32,11 +32,11 @@ from trajloom.llm.bpe import _DIGIT, _LETTER, _SPACE
 from trajloom.llm.common import whole_text, written
 
 MAGIC = b"TLID1"
-SEGMENT = 3_000_000  # ids from which a segment ends with the document
-BLOCK = 2048
+SEGMENT = 4_000_000  # ids from which a segment ends with the document
+BLOCK = 1024
 LANES = 1024
 MAX_WORDS = 300_000
-SLOTS = 12  # bits
+SLOTS = 10  # bits
 
 _U = np.uint64
 _TOP, _FULL = _U(1 << 32), _U((1 << 48) - 1)
@@ -61,19 +61,19 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.at2, self.at1 = (self.lane << SLOTS for _ in range(2))
-        self.base = self.lane << SLOTS
-        self.guess2, self.guess1 = (np.full(lanes << SLOTS, 65535, np.int32) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes << SLOTS, np.int8) for _ in range(2))
-        self.rate2, self.rate1 = (np.tile((np.arange(8) * 6000 + 800).astype(np.int32), (lanes, 1)).ravel() for _ in range(2))
-        self.weight = np.full(lanes, 32, np.int32)
+        self.base, self.lane8, self.lane64 = self.lane << SLOTS, self.lane * 8, self.lane * 64
+        self.guess2, self.guess1 = (np.full(lanes << SLOTS, 65535, np.int64) for _ in range(2))
+        self.sure2, self.sure1 = (np.zeros(lanes << SLOTS, np.int64) for _ in range(2))
+        self.rate2, self.rate1 = (np.tile((np.arange(8) * 6000 + 800), (lanes, 1)).ravel() for _ in range(2))
+        self.weight = np.full(lanes, 32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = np.ones((lanes, 64), np.int64)
+        self.seen = np.ones(lanes * 64, np.int32)
         self.age = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        share = 1 + self.seen * (4096 - 64) // self.seen.sum(axis=1, keepdims=True)
+        seen = self.seen.reshape(-1, 64)
+        share = 1 + seen * np.int32(4096 - 64) // seen.sum(axis=1, keepdims=True, dtype=np.int32)
         self.cum = np.zeros((len(self.lane), 65), np.int64)
         np.cumsum(share, axis=1, out=self.cum[:, 1:])
         self.cum[:, 64] = 4096
@@ -81,30 +81,35 @@ class Model:
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Both guesses, and the shares (of 65536) of the second order's and the first order's."""
-        self.at2 = self.base + (((self.last * 40503 + self.before * 30011) >> 3) & ((1 << SLOTS) - 1))
-        self.at1 = self.base + ((self.last * 2531 >> 1) & ((1 << SLOTS) - 1))
+        mask = (1 << SLOTS) - 1
+        h1 = self.last * 2531
+        self.at1 = self.base + ((h1 >> 1) & mask)
+        self.at2 = self.base + (((h1 * 16 + self.before * 30011) >> 3) & mask)
         g2, g1 = self.guess2[self.at2], self.guess1[self.at1]
-        self.r2, self.r1 = self.lane * 8 + self.sure2[self.at2], self.lane * 8 + self.sure1[self.at1]
+        self.s2, self.s1 = self.sure2[self.at2], self.sure1[self.at1]
+        self.r2, self.r1 = self.lane8 + self.s2, self.lane8 + self.s1
         m2, m1 = self.rate2[self.r2], self.rate1[self.r1]
         self.same = g2 == g1
-        mixed = (self.weight * m2 + (64 - self.weight) * np.where(self.same, m1, m2)) >> 6
-        f2 = np.clip(mixed, 16, 60000)
-        f1 = np.where(self.same, 1, np.clip((65536 - f2) * (m1 >> 2) >> 14, 1, 65500 - f2))
+        # Where both orders agree, the weight leans to the one that has been right.
+        mixed = m2 + ((64 - self.weight) * (m1 - m2) * self.same >> 6)
+        f2 = np.minimum(np.maximum(mixed, 16), 60000)
+        f1 = np.maximum(np.minimum((65536 - f2) * (m1 >> 2) >> 14, 65500 - f2), 1)
+        f1[self.same] = 1
         self.g2, self.g1, self.m2, self.m1 = g2, g1, m2, m1
         return g2, g1, f2, f1
 
     def learn(self, x: np.ndarray) -> None:
         hit2, hit1 = self.g2 == x, self.g1 == x
-        self.weight = np.clip(self.weight + np.where(self.same & (self.m2 != self.m1), np.where((self.m2 > self.m1) == hit2, 1, -1), 0), 4, 60)
-        for hit, at, r, m, rate, sure, guess, g in ((hit2, self.at2, self.r2, self.m2, self.rate2, self.sure2, self.guess2, self.g2), (hit1, self.at1, self.r1, self.m1, self.rate1, self.sure1, self.guess1, self.g1)):
-            rate[r] = m + ((np.where(hit, 60000, 64) - m) >> 5)
-            s = sure[at]
-            guess[at] = np.where(hit | (s > 0), g, x)
+        lean = np.sign(self.m2 - self.m1) * self.same
+        self.weight = np.minimum(np.maximum(self.weight + np.where(hit2, lean, -lean), 4), 60)
+        for hit, at, r, m, s, rate, sure, guess, g in ((hit2, self.at2, self.r2, self.m2, self.s2, self.rate2, self.sure2, self.guess2, self.g2), (hit1, self.at1, self.r1, self.m1, self.s1, self.rate1, self.sure1, self.guess1, self.g1)):
+            rate[r] = m + ((hit * 59936 + 64 - m) >> 5)
+            guess[at] = np.where(s > 0, g, x)  # a hit leaves the guess as it is either way
             sure[at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-        self.seen[self.lane, _OF[x]] += 24
+        self.seen[self.lane64 + _OF[x]] += 24
         self.before, self.last = self.last, x
         self.age += 1
-        if self.age % 32 == 0 or self.age in (4, 8, 16):
+        if self.age % 64 == 0 or self.age in (4, 8, 16, 32):
             self._refresh()
 
 

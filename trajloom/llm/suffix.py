@@ -11,7 +11,8 @@ the same q-gram inside them (least hash, leftmost of ties), at the same offset.
    that the last refinement gave: 8 bytes, 16, ... 256, 400. Suffixes alone in a bucket, or with such a
    one behind them, drop out. This compares bytes, not hashes: it is exact.
 4. Larger buckets never meet in a task: their distinct members are counted by key, and each string of
-   those is told apart by a 128-bit hash and counted, with partial sums first.
+   those is told apart by a 128-bit hash and counted, with partial sums first, eight starts at once where all
+   eight repeat together.
 
 Strings are judged on the input; matches never cross texts. A repeat inside one text counts.
 
@@ -38,6 +39,7 @@ from trajloom.llm.common import whole_text, written
 LENGTH = 400
 GRAM = 100
 SPLIT = 256
+STARTS = 8
 SLAB = 1 << 18
 CHUNK = 1 << 21
 
@@ -253,29 +255,50 @@ def _refined(members: DataFrame, length: int) -> DataFrame:
 
 
 def _counted(members: DataFrame, length: int) -> DataFrame:
-    """The same for buckets of any size, by counts alone."""
+    """The same for buckets of any size, by counts alone: first of blocks of ``STARTS`` starts, then of the single starts of blocks that stand once."""
     key = ["h", "offset", "member"]
-    kinds = members.groupBy(*key).agg(F.sum(F.size("begins")).alias("n"), F.first("starts").alias("starts"), F.first("data").alias("data"))
-    kinds = written(kinds)
-    schema = "h bigint, offset int, member binary, at int, string binary"
+    kinds = written(members.groupBy(*key).agg(F.sum(F.size("begins")).alias("n"), F.first("starts").alias("starts"), F.first("data").alias("data")))
+    schema = "h bigint, offset int, member binary, at int, size int, block binary, strings array<binary>"
 
     def run(batches):
         for b in batches:
             h, offset, member, data = (b.column(k).to_pylist() for k in range(4))
             for i in range(len(h)):
                 n = len(data[i]) - length + 1
-                strings = [xxhash.xxh3_128_digest(data[i][k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([h[i]] * n, pa.int64()), pa.array([offset[i]] * n, pa.int32()), pa.array([member[i]] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(strings, pa.binary())], ["h", "offset", "member", "at", "string"])
-
-    strings = written(kinds.select("h", "offset", "member", "data").mapInArrow(run, schema))
-    twice = strings.groupBy("string").count().filter(F.col("count") > 1).select("string")
-    single = strings.join(twice, "string", "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    # Starts in a row become ranges: at minus its rank is the same all along a row.
-    step = F.transform("ats", lambda x, i: F.struct(x.alias("at"), (x - i).alias("row")))
-    rows = single.select(*key, F.explode(step).alias("s")).groupBy(*key, "s.row").agg(F.min("s.at").alias("a"), F.max("s.at").alias("b")).select(*key, "a", "b")
-    whole = kinds.filter(F.col("n") > 1).select(*key, F.lit(0).alias("a"), (F.col("starts") - 1).alias("b"))
-    found = members.select("doc_id", "text_hash", "begins", *key).join(whole.unionByName(rows), key)
-    return found.select("doc_id", "text_hash", F.explode("begins").alias("p"), "a", "b").select("doc_id", "text_hash", (F.col("p") + F.col("a")).alias("first"), (F.col("p") + F.col("b")).alias("last"))
+                # Blocks are cut by the distance to the gram, which equal strings share.
+                firsts = [0] + [k for k in range(1, n) if (offset[i] - k + 1) % STARTS == 0]
+                ends = [*firsts[1:], n]
+                blocks = [xxhash.xxh3_128_digest(data[i][a : e - 1 + length]) for a, e in zip(firsts, ends)]
+                strings = [[xxhash.xxh3_128_digest(data[i][k : k + length]) for k in range(a, e)] for a, e in zip(firsts, ends)]
+                m = len(firsts)
+                yield pa.RecordBatch.from_arrays([pa.array([h[i]] * m, pa.int64()), pa.array([offset[i]] * m, pa.int32()), pa.array([member[i]] * m, pa.binary()), pa.array(firsts, pa.int32()), pa.array([e - a for a, e in zip(firsts, ends)], pa.int32()), pa.array(blocks, pa.binary()), pa.array(strings, pa.list_(pa.binary()))], ["h", "offset", "member", "at", "size", "block", "strings"])
+
+    blocks = written(kinds.select("h", "offset", "member", "data").mapInArrow(run, schema))
+    often = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.first("strings").alias("strings")).filter(F.col("n") > 1)
+    often = written(often.select("block", "strings"))
+    again = blocks.join(often.select("block"), "block", "left_semi").select(*key, "at", (F.col("at") + F.col("size") - 1).alias("to"))
+    single = written(blocks.join(often.select("block"), "block", "left_anti").select(*key, "at", F.posexplode("strings").alias("k", "string")))
+    # A string of a block that stands once may still stand in another block, whole or not.
+    twice = single.select("string").unionAll(often.select(F.explode("strings").alias("string"))).groupBy("string").count().filter(F.col("count") > 1).select("string")
+    singles = single.join(twice, "string", "left_semi").select(*key, (F.col("at") + F.col("k")).alias("at"), (F.col("at") + F.col("k")).alias("to"))
+    whole = kinds.filter(F.col("n") > 1).select(*key, F.lit(0).alias("at"), (F.col("starts") - 1).alias("to"))
+    spans = whole.unionByName(again).unionByName(singles).groupBy(*key).agg(F.collect_list(F.struct("at", "to")).alias("spans"))
+    found = members.select("doc_id", "text_hash", "begins", *key).join(spans, key)
+    pairs = found.select("doc_id", "text_hash", F.explode("begins").alias("p"), "spans").select("doc_id", "text_hash", "p", F.explode(_joined_spans(F.col("spans"))).alias("s"))
+    return pairs.select("doc_id", "text_hash", (F.col("p") + F.col("s.at")).alias("first"), (F.col("p") + F.col("s.to")).alias("last"))
+
+
+def _joined_spans(spans):
+    """Spans of starts, sorted; those that meet become one."""
+    empty = F.array().cast("array<struct<at:int,to:int>>")
+    last = lambda acc: F.element_at(acc, -1)
+
+    def add(acc, x):
+        meets = (F.size(acc) > 0) & (x["at"] <= F.try_element_at(acc, F.lit(-1))["to"] + 1)
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["at"].alias("at"), F.greatest(last(acc)["to"], x["to"]).alias("to"))))
+        return F.when(meets, grown).otherwise(F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["to"].alias("to")))))
+
+    return F.aggregate(F.sort_array(spans), empty, add)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:

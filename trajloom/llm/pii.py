@@ -249,8 +249,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
                                 out.append(text[a:z])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
-    found = docs.mapInArrow(run, "w string")
-    found = found.select("w", F.xxhash64("w").alias("h")).groupBy("h").agg(F.min("w").alias("w")).orderBy("h").limit(sample)
+    # Thinned by hash first, so that what the tasks send for the sample doesn't grow with their number.
+    thin = max(1, docs.count() // (8 * sample))
+    found = docs.mapInArrow(run, "w string").select("w", F.xxhash64("w").alias("h")).filter(F.pmod("h", F.lit(thin)) == 0)
+    found = found.groupBy("h").agg(F.min("w").alias("w")).orderBy("h").limit(sample)
     examples = []
     for r in found.collect():
         text = r["w"]

@@ -14,7 +14,8 @@ tasks; inside a task the next row is a window over that task's key range, and on
 range, its first, meets the ranges' last rows.
 
 Defined cases: null or empty text is one empty paragraph; a null doc_id comes last; equal doc_ids are
-ordered by text; a lone document is its own next; other columns are left out. DataFrame functions only.
+ordered by the hash of their texts; rows alike in both are one document in the order, and each gets its row;
+a lone document is its own next; an empty table gives no rows; other columns are left out. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -56,34 +57,41 @@ def likeness(a: Column, b: Column, nodes_a: Column, nodes_b: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(2.0 * shared / (F.size(nodes_a) + F.size(nodes_b) + 2))
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, next_id, next_digest) in descending doc_id, the last one's next being the first. docs: doc_id, digest."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("digest")]
-    keys = docs.select("doc_id", "digest").distinct().repartitionByRange(ranges, *order)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text: the key is of id and text and never null, so all joins are plain ones on it."""
+    name = F.when(F.col("doc_id").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    return docs.select("doc_id", F.unhex(F.md5(F.concat(name, F.lit("\n"), F.col("text")))).alias("key"), "text")
+
+
+def next_documents(keyed: DataFrame) -> DataFrame:
+    """(key, half, next_key) in descending doc_id, the last one's next being the first; half is half the text's code points. keyed: doc_id, key, text."""
+    ranges = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("key")]
+    half = F.floor(F.length("text") / 2).cast("int")
+    keys = keyed.select("doc_id", "key", half.alias("half")).distinct().repartitionByRange(ranges, *order)
     keys = written(keys.withColumn("r", F.spark_partition_id()))  # the ranges are drawn from a sample: from here on they are fixed
     own = Window.partitionBy("r").orderBy(*order)
-    keys = keys.withColumns({"after": F.lead(F.struct("doc_id", "digest")).over(own), "place": F.row_number().over(own)})
+    keys = keys.withColumns({"after": F.lead("key").over(own), "place": F.row_number().over(own)})
     # One row for each range: its first key, and the first key of the range that follows.
-    heads = keys.filter(F.col("place") == 1).select("r", F.struct("doc_id", "digest").alias("head"))
+    heads = keys.filter(F.col("place") == 1).select("r", F.col("key").alias("head"))
     over = Window.orderBy("r")
     heads = heads.select("r", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("head"))
     keys = keys.join(F.broadcast(heads), "r")  # as many rows as there are ranges
-    after = F.coalesce("after", "head")
-    return keys.select("doc_id", "digest", after["doc_id"].alias("next_id"), after["digest"].alias("next_digest"))
+    return keys.select("key", "half", F.coalesce("after", "head").alias("next_key"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) for every row of docs: doc_id, text."""
-    docs = docs.withColumn("digest", F.md5("text"))
-    order = next_documents(docs).alias("o")
-    one = docs.dropDuplicates(["doc_id", "digest"]).alias("n")
-    d = docs.alias("d")
-    here = d.join(order, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.digest") == F.col("o.digest")))
-    here = here.select("d.doc_id", "d.text", "o.next_id", "o.next_digest").alias("h")
-    both = here.join(one, F.col("h.next_id").eqNullSafe(F.col("n.doc_id")) & (F.col("h.next_digest") == F.col("n.digest")))
-    return both.select("h.doc_id", "h.text", F.col("n.text").alias("next_text"))
+    """(doc_id, text, half, next_id, next_half, next_root, next_nodes) for every row of docs: doc_id, text.
+
+    Whole texts are shuffled once, by their own key. There each text learns whose next document it is, and
+    sends that document its first half-as-many code points and its tree, not itself.
+    """
+    keyed = _keyed(docs)
+    asked = next_documents(keyed).select(F.col("key").alias("to_key"), F.col("half").alias("to_half"), F.col("next_key").alias("key"))
+    sent = with_tree(keyed.join(asked, "key").select("to_key", "to_half", F.col("doc_id").alias("next_id"), "text"), "text", "next_")
+    sent = sent.select("to_key", "next_id", F.substring("text", F.lit(1), F.col("to_half")).alias("next_half"), F.substring("next_fingerprint", 1, 64).alias("next_root"), "next_nodes")
+    sent = sent.dropDuplicates(["to_key"]).withColumnRenamed("to_key", "key")
+    return keyed.join(sent, "key").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("half"), "next_id", "next_half", "next_root", "next_nodes")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -95,15 +103,11 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """One row for each document: its fingerprint, its edited text's, and how like they and the next document's are."""
     df = with_next(whole_text(docs, "doc_id"))
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    df = df.withColumns({
-        "n_chars": n.cast("bigint"),
-        "edited": F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)),
-    })
-    df = with_tree(with_tree(with_tree(df, "text", ""), "edited", "edited_"), "next_text", "next_")
-    f, e, x = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    df = df.withColumns({"n_chars": n.cast("bigint"), "edited": F.concat(F.substring("text", F.lit(1), n - F.col("half")), "next_half")})
+    df = with_tree(with_tree(df, "text", ""), "edited", "edited_")
+    f, e, x = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_root")
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(f, e, F.col("nodes"), F.col("edited_nodes")).alias("near_edited"),
-        likeness(f, x, F.col("nodes"), F.col("next_nodes")).alias("near_next"),
+        likeness(f, x, F.col("nodes"), F.col("next_nodes")).alias("near_next"), "next_id",
     )

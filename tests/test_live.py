@@ -1,0 +1,33 @@
+"""Live usage equals the batch, and settling overwrites."""
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from tests.conftest import data_dir
+from trajloom.operators.state import SESSION
+from trajloom.operators.usage import claude_session_usage
+from trajloom.plans import adapters as a
+from trajloom.streaming.usage import live_usage, settle
+
+
+def test_live_usage_equals_batch(spark):
+    lines = a.claude_lines(spark, data_dir())
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    lines.repartition(3).write.mode("overwrite").parquet(f"{folder}/lines")
+    live = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    query = live_usage(live).writeStream.format("memory").queryName("live_usage").outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    got = {(r["project_root"], r["session_id"]): (r["tokens"], round(r["cost_usd"], 9), r["content_bytes"]) for r in spark.table("live_usage").collect()}
+    want = {(r["project_root"], r["session_id"]): (r["tokens"], round(r["cost_usd"], 9), r["content_bytes"]) for r in claude_session_usage(lines, SESSION).collect()}
+    assert got == want
+
+
+def test_settle_overwrites_the_ended_sessions_only(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/stats"
+    rows = lambda n: (lambda ended: ended.withColumn("tokens", F.lit(n)))
+    ends = spark.createDataFrame([("p", "a", "SessionEnd"), ("p", "b", "SessionEnd"), ("p", "c", "Stop")], "project_root string, session_id string, hook_event_name string")
+    settle(path, rows(1))(ends, 0)
+    settle(path, rows(2))(ends.filter("session_id = 'a'"), 1)
+    settle(path, rows(3))(ends.filter("session_id = 'c'"), 2)
+    assert {r["session_id"]: r["tokens"] for r in spark.read.parquet(path).collect()} == {"a": 2, "b": 1}

@@ -148,6 +148,7 @@ ORACLE_SQL = {
     "phase_boundary": _C + "SELECT event_id, crossing, past AS past_boundary FROM cd",
     "repeat_detection": _C + "SELECT event_id, is_repeat, turn, repeat_of_turn FROM cd WHERE eligible",
     "claude_decisions": _C + "SELECT event_id, action, saved_bytes FROM cd",
+    "reduce_stream": _C + "SELECT event_id, action, saved_bytes FROM cd",
     "codex_decisions": _X + "SELECT event_id, action, saved_bytes FROM xd",
     "decision_counts": _with(_DOCS, _EVENTS, _CLAUDE, _CODEX) + "SELECT 'claude-code' AS rules, action, count(*) AS calls, sum(saved_bytes)::BIGINT AS saved_bytes FROM cd GROUP BY ALL UNION ALL SELECT 'codex', action, count(*), sum(saved_bytes)::BIGINT FROM xd GROUP BY ALL",
     "archive_contents": _C + f"SELECT DISTINCT project_root, session_id, epoch, {_CID} AS content_id, n_bytes FROM cd WHERE {_ARCHIVED}",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from trajloom.operators import rollup as r
 from trajloom.operators import state as st
 from trajloom.operators import usage as u
 from trajloom.plans import adapters as a
+from trajloom.streaming.reduce import reduce_stream as live_decisions
+from trajloom.streaming.reduce import slim, use_rocksdb
 
 ORDER = a.ORDER
 
@@ -266,10 +271,28 @@ def session_receipts(spark, sf_dir):
     return r.session_report(_stats(spark, sf_dir), t.PREFIX).select(*st.SESSION, "receipt")
 
 
+def _shared(spark):
+    """A new folder in the one that the cluster names; a local one where none is named, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    return f"{found.rstrip('/')}/trajloom-{uuid.uuid4().hex}"
+
+
+def reduce_stream(spark, sf_dir):
+    """The first agent's decisions by the stream, over all events in one micro-batch."""
+    use_rocksdb(spark)
+    folder = _shared(spark)
+    events = slim(a.claude_events(spark, sf_dir).withColumn("seq", F.unix_micros("ts")))
+    events.write.parquet(f"{folder}/events")
+    live = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+    query = live_decisions(live).writeStream.format("parquet").option("path", f"{folder}/decisions").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("event_id bigint, action string, saved_bytes bigint").parquet(f"{folder}/decisions")
+
+
 NAMES = [
     estimated_tokens, trim_head_tail, trim_summary_by_lang, content_hash_dups, classify_commands, tool_class_counts, routed_events, epochs, investigate_counts, phase_boundary, repeat_detection,
     claude_decisions, codex_decisions, decision_counts, archive_contents, live_archive, reduced_outputs, recover_content, compaction_points, claude_usage, codex_usage, usage_deltas, model_in_force, price_lookup,
-    session_stats, sessions_worth_keeping, project_rollup, live_projects, overview, overview_texts, savings_rollup, mechanism_breakdown, sessions_newest_first, latest_agent_session, agent_status, resolve_project, fold_legacy, session_receipts,
+    session_stats, sessions_worth_keeping, project_rollup, live_projects, overview, overview_texts, savings_rollup, mechanism_breakdown, sessions_newest_first, latest_agent_session, agent_status, resolve_project, fold_legacy, session_receipts, reduce_stream,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -131,7 +132,7 @@ def test_store_and_read(spark, odd, empty):
     t = idstore.word_ids(idstore.default_tokenizer()).tokenizer
     got = idstore.store_and_read(odd).collect()
     start, want = 0, []
-    for i, text in sorted(odd_texts(), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for i, text in sorted(odd_texts(), key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest((x[1] or "").encode(), 42)).astype(np.int64))):
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
         want.append((repr(i), start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)

@@ -11,7 +11,7 @@ each at a time, with numpy over all blocks.
 Segments are rows of a table in the shared folder, in ascending order of documents: the text is
 sorted by range, so a partition is a run of documents, and only its number of ids is needed to place the next.
 
-Defined cases: null or empty text has the end id alone; null doc_ids come first, equal ones are ordered by text;
+Defined cases: null or empty text has the end id alone; null doc_ids come first, equal ones are ordered by their texts' hash;
 an empty table gives no rows; ids up to 65,534; a damaged block raises an error; other columns are left out.
 """
 
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +62,8 @@ class Model:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.base, self.lane8, self.lane64 = self.lane << SLOTS, self.lane * 8, self.lane * 64
-        self.guess2, self.guess1 = (np.full(lanes << SLOTS, 65535, np.int64) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes << SLOTS, np.int64) for _ in range(2))
+        self.guess2, self.guess1 = (np.full(lanes << SLOTS, 65535, np.uint16) for _ in range(2))
+        self.sure2, self.sure1 = (np.zeros(lanes << SLOTS, np.int8) for _ in range(2))
         self.rate2, self.rate1 = (np.tile((np.arange(8) * 6000 + 800), (lanes, 1)).ravel() for _ in range(2))
         self.weight = np.full(lanes, 32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -305,14 +305,15 @@ def default_tokenizer() -> str:
 
 
 def write_segments(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:
-    """A table of segments in ascending order of documents: part, number in the part, n_ids, content. docs: doc_id, text."""
+    """A table of segments in ascending order of documents: part, number in the part, ids of the part before it, n_ids, content. docs: doc_id, text."""
     path = tokenizer_path or default_tokenizer()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # never the text: ranges are drawn from a sample of these that goes to the driver
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(batches):
-        encode, number, part, held = word_ids(path), 0, 0, 0
+        encode, number, part, held, before = word_ids(path), 0, 0, 0, 0
         doc_ids: list[pa.Array] = []
         lengths: list[int] = []
         ids: list[np.ndarray] = []
@@ -320,7 +321,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
         def segment():
             table = pa.table({"doc_id": pa.chunked_array(doc_ids), "n_tokens": pa.array(lengths, pa.int64())})
             content = pack_segment(table, np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([content], pa.binary())], ["part", "number", "n_ids", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([content], pa.binary())], ["part", "number", "before", "n_ids", "content"])
 
         for b in batches:
             part = b.column(0)[0].as_py() if b.num_rows else part
@@ -336,34 +337,36 @@ def write_segments(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
                         doc_ids.append(b.column(1).slice(at + done, k + 1 - done))
                         done = k + 1
                         yield segment()
-                        number, held = number + 1, 0
+                        number, before, held = number + 1, before + held, 0
                         doc_ids, lengths, ids = [], [], []
                 if done < len(texts):
                     doc_ids.append(b.column(1).slice(at + done, len(texts) - done))
         if lengths:
             yield segment()
 
-    return written(ordered.mapInArrow(run, "part int, number int, n_ids bigint, content binary"))
+    return written(ordered.mapInArrow(run, "part int, number int, before bigint, n_ids bigint, content binary"))
 
 
 def read_documents(segments: DataFrame, id_type: T.DataType) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the segments."""
-    order = Window.orderBy("part", "number")  # one short row for each segment of millions of ids
-    begins = segments.select("part", "number", "n_ids").withColumn("begin", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in ("at", "n_tokens", "ids_crc32"))])
+    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # a row for each shuffle partition
+    begins, total = {}, 0
+    for r in sorted(sums):
+        begins[r["part"]] = total
+        total += r["n"]
+    schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
 
     def run(batches):
         for b in batches:
-            for part, number, content in zip(b.column(0), b.column(1), b.column(2)):
+            for part, before, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 docs, ids = read_segment(content.as_py())
-                data = ids.astype("<u4").tobytes()
+                data = memoryview(ids.astype("<u4").tobytes())
                 n = docs.column("n_tokens").to_numpy()
                 ends = np.cumsum(n)
                 checks = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part.as_py(), np.int32)), pa.array(np.full(len(n), number.as_py(), np.int32)), docs.column("doc_id").combine_chunks(), pa.array(ends - n), pa.array(n), pa.array(checks, pa.int64())], schema.names)
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), pa.array(ends - n + begins[part] + before), pa.array(n), pa.array(checks, pa.int64())], schema.names)
 
-    rows = segments.select("part", "number", "content").mapInArrow(run, schema)
-    return rows.join(begins.select("part", "number", "begin"), ["part", "number"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return segments.select("part", "before", "content").mapInArrow(run, schema)
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:

@@ -13,6 +13,7 @@ import corpus_pipeline
 from tests.conftest import data_dir
 from tests.llm.conftest import make_docs, odd_texts
 from trajloom.llm import html, simhash, suffix
+from trajloom.llm import near as near_texts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -217,3 +218,51 @@ def test_pipeline(spark, tmp_path):
     assert {"sequence_id", "offset"} <= set(docs.columns)
     packed = corpus_pipeline.run(spark, data_dir())
     assert 0 < packed.select("doc_id").distinct().count() <= 200
+
+
+def similar_by_hand(texts):
+    """Groups of texts by all pairs of their sets of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return groups([(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])], len(sets))
+
+
+def edited(seed, n):
+    """Texts of which many have copies with one to four words changed."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(4))
+    out = []
+    while len(out) < n:
+        w = [word() for _ in range(r.randrange(40, 120))]
+        for _ in range(r.choice([1, 3, 60])):
+            x = list(w)
+            for _ in range(r.randrange(5)):
+                x[r.randrange(len(x))] = word()
+            out.append(" ".join(x))
+    return out[:n]
+
+
+@pytest.mark.parametrize("split", [4, 32])
+def test_near_duplicate_stage_against_all_pairs(spark, split):
+    """With a small split nearly every bucket is searched on its sets."""
+    texts = list(enumerate(edited(4, 400))) + [(5_000 + k, t) for k, (_, t) in enumerate(odd_texts())] + [(None, "one two three four five six"), (6_000, "One  two three four\nfive six")]
+    group = similar_by_hand([t for _, t in texts])
+    least = {}
+    for (i, _), g in zip(texts, group):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    docs = make_docs(spark, texts)
+    got = near_texts.keep_one(docs, split)
+    assert got.columns == docs.columns
+    assert sorted(repr(r["doc_id"]) for r in got.collect()) == sorted(map(repr, least.values()))
+    if split == 32:
+        assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(least.values())
+        assert near_texts.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_duplicate_stage_on_given_documents(spark):
+    docs = spark.read.parquet(f"{data_dir()}/documents.parquet")
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    group = similar_by_hand([t for _, t in texts])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [texts[g][0] for g in sorted(set(group))]

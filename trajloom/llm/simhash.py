@@ -73,6 +73,8 @@ def bit_sliced_links(fps: np.ndarray, radius: int = 2, block: int = 64) -> list[
 
     Planes in blocks of ``block`` words of 64 fingerprints; radius at most 2: two counter planes hold 0, 1, 2 and 3 or more.
     """
+    if radius > 2:
+        raise ValueError("two counter planes tell no distances above 2 apart")
     n = len(fps)
     words = -(-n // 64)
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")

@@ -266,3 +266,26 @@ def test_near_duplicate_stage_on_given_documents(spark):
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     group = similar_by_hand([t for _, t in texts])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [texts[g][0] for g in sorted(set(group))]
+
+
+def test_repeat_stage_cuts_passages_of_51_short_words(spark):
+    """51 to 60 words of one to three letters, under 400 bytes, in two documents, with other white space in one; 50 words stay."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 4)))
+    texts = []
+    for k, n in enumerate([*range(50, 61), 51, 60]):
+        passage = [word() for _ in range(n)]
+        for half, space in ((0, " "), (1, " \n")):
+            own = [f"{k}x{half}y{j}" for j in range(30)]
+            texts.append((10 * k + half, " ".join(own[:15]) + " " + space.join(passage) + " " + " ".join(own[15:])))
+    texts += [(900, "q" + "u" * 500), (901, "u" * 500 + "r"), (902, None), (903, "")]  # one word of 500 bytes goes too
+    split = {i: (t or "").split() for i, t in texts}
+    seen = Counter(tuple(w[i : i + 51]) for w in split.values() for i in range(len(w) - 50))
+    want = {}
+    for i, w in split.items():
+        gone = {j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    want[900], want[901] = ["q"], ["r"]
+    assert sum(len(w) for w in want.values()) == 26 * 30 + 2 * 50 + 2
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.long_repeats(spark, make_docs(spark, texts), "").collect()}
+    assert {i: (t or "").split() for i, t in got.items()} == want and got[902] is None

@@ -16,6 +16,11 @@ the same q-gram inside them (least hash, leftmost of ties), at the same offset.
 
 Strings are judged on the input; matches never cross texts. A repeat inside one text counts.
 
+``cut_texts`` can also judge passages of words: a text's words (runs without ASCII white space) become codes of ``CODE``
+bytes, the same steps find the repeated strings of so many codes, and only those that start at a word count. Then a passage
+counts whatever its length in bytes and white space. Codes are hashes, so two passages count as one where their words differ
+only in words of equal 48-bit hashes. Both rules see the input, and what either finds goes.
+
 Defined cases: null or empty text is kept as empty; texts under ``LENGTH`` bytes stay whole; rows that repeat a
 document are documents of their own; a null doc_id takes part; very long texts are
 worked through in slabs; other columns stay outside the work. Where a cut falls inside a character, ``cut_texts``
@@ -25,6 +30,7 @@ drops the broken character's remaining bytes; the digest is of the exact bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -42,6 +48,8 @@ SPLIT = 256
 STARTS = 8
 SLAB = 1 << 18
 CHUNK = 1 << 21
+CODE = 6
+CODE_GRAM = 10 * CODE
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -147,6 +155,16 @@ def refine(data: bytes, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.sort(live)
 
 
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8")
+
+
+def word_codes(text: str) -> bytes:
+    """The codes of the text's words, end to end."""
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(w)[:CODE] for w in text.encode("utf-8").split()])
+
+
 def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
     """Runs of consecutive places, last one included."""
     if not len(places):
@@ -159,13 +177,13 @@ def _id_field(docs: DataFrame, name: str = "doc_id") -> T.StructField:
     return T.StructField(name, docs.schema["doc_id"].dataType)
 
 
-def _grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _grams(docs: DataFrame, length: int, gram: int, code=_utf8) -> DataFrame:
     """(doc_id, text_hash, h, n): how many runs of each text choose a gram of hash h."""
     schema = T.StructType([_id_field(docs), T.StructField("text_hash", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches):
         for b in batches:
-            texts = [t.as_py().encode("utf-8") for t in b.column(2)]
+            texts = [code(t.as_py()) for t in b.column(2)]
             for which, h, *_ in runs(texts, length, gram):
                 pairs = np.stack([which, h], axis=1)
                 distinct, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
@@ -175,7 +193,7 @@ def _grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int, code=_utf8) -> DataFrame:
     """One row for each text and distinct member with a wanted gram: its bytes, how many starts it has, and the places where it begins."""
     names = ["doc_id", "text_hash", "h", "hot", "offset", "member", "starts", "begins", "data"]
     kinds = [None, T.LongType(), T.LongType(), T.BooleanType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType()]
@@ -184,7 +202,7 @@ def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
 
     def run(batches):
         for b in batches:
-            texts = [t.as_py().encode("utf-8") for t in b.column(2)]
+            texts = [code(t.as_py()) for t in b.column(2)]
             asked = [dict(zip((y["h"] for y in x), (y["hot"] for y in x))) for x in b.column(3).to_pylist()]
             for which, h, first, last, place in runs(texts, length, gram):
                 found: dict[tuple, list[int]] = {}
@@ -301,12 +319,12 @@ def _joined_spans(spans):
     return F.aggregate(F.sort_array(spans), empty, add)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
-    """(doc_id, text_hash, spans): of every text with repeats, the byte ranges [first, end) to remove, in order and apart. docs: doc_id, text."""
-    grams = written(_grams(docs, length, gram))
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, *, code=_utf8) -> DataFrame:
+    """(doc_id, text_hash, ranges): of every text with repeats, the ranges (first, last) of repeated starts in its code, sorted. docs: doc_id, text."""
+    grams = written(_grams(docs, length, gram, code))
     often = grams.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("h", (F.col("n") > split).alias("hot"))
     wanted = grams.select("doc_id", "text_hash", "h").join(often, "h").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "hot")).alias("grams"))
-    members = written(_members(docs, wanted, length, gram))
+    members = written(_members(docs, wanted, length, gram, code))
     found = _refined(members.filter(~F.col("hot")), length).unionByName(_counted(members.filter("hot"), length))
     ranges = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
     return ranges
@@ -359,16 +377,43 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return both.select("doc_id", "text", "__x_ranges").mapInArrow(run, schema)
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeats taken out of text, and n_chars (where there is one) counted anew; a null text stays null."""
+def _word_spans(data: bytes, ranges, words: int) -> list[tuple[int, int]]:
+    """Byte spans of the passages of so many words that start, in the text's codes, in the ranges."""
+    starts = [(-(-r["first"] // CODE), r["last"] // CODE) for r in ranges]
+    starts = [x for x in starts if x[0] <= x[1]]  # the others start inside a code alone
+    if not starts:
+        return []
+    at = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data)]
+    return [(at[a][0], at[b + words - 1][1]) for a, b in starts]
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs without the repeats of length bytes, and of so many words, in text, and n_chars (where there is one) counted anew; a null text stays null."""
+    def kept(text: str, by_bytes, by_words) -> str:
+        data = text.encode("utf-8")
+        spans = _merged(list(by_bytes), length) if by_bytes is not None else []
+        if by_words is not None:
+            spans = sorted(spans + _word_spans(data, by_words, words))
+        at, out = 0, []
+        for a, b in spans:
+            out.append(data[at : max(at, a)])
+            at = max(at, b)
+        out.append(data[at:])
+        return b"".join(out).decode("utf-8", "ignore")
+
     @F.pandas_udf(T.StringType())
-    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None else _kept(t, r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, ranges)], dtype=object)
+    def cut(texts: pd.Series, by_bytes: pd.Series, by_words: pd.Series) -> pd.Series:
+        return pd.Series([kept(*x) for x in zip(texts, by_bytes, by_words)], dtype=object)
 
     plain = whole_text(docs, "doc_id")
     marked = docs.withColumn("__x_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = _with_ranges(marked, repeated_spans(plain, length))
-    text = F.when(F.col("__x_ranges").isNull(), F.col("text")).otherwise(cut(F.coalesce(F.col("text"), F.lit("")), "__x_ranges"))
+    found = repeated_spans(plain, length).withColumn("unit", F.lit("bytes"))
+    if words:
+        found = found.unionByName(repeated_spans(plain, words * CODE, CODE_GRAM, code=word_codes).withColumn("unit", F.lit("words")))
+    of = lambda unit: F.first(F.when(F.col("unit") == unit, F.col("ranges")), ignorenulls=True).alias(unit)
+    ranges = found.groupBy("doc_id", "text_hash").agg(of("bytes"), of("words")).select("doc_id", "text_hash", F.struct("bytes", "words").alias("ranges"))
+    both = _with_ranges(marked, ranges)
+    text = F.when(F.col("__x_ranges").isNull(), F.col("text")).otherwise(cut(F.coalesce(F.col("text"), F.lit("")), "__x_ranges.bytes", "__x_ranges.words"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -289,3 +289,20 @@ def test_repeat_stage_cuts_passages_of_51_short_words(spark):
     assert sum(len(w) for w in want.values()) == 26 * 30 + 2 * 50 + 2
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.long_repeats(spark, make_docs(spark, texts), "").collect()}
     assert {i: (t or "").split() for i, t in got.items()} == want and got[902] is None
+
+
+def test_pages_with_open_heads_and_drawings():
+    """</head> left out, elements that close themselves or never close: the text behind them stays; closed ones are hidden."""
+    said = lambda page: [b.text for b in html.blocks(page)]
+    assert said("<html><head><title>t</title><body><article><p>Hello there.</p></article>") == ["Hello there."]
+    assert said("<head><meta charset=utf-8><style>p{}</style><link rel=x><p>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert said("<head><title>t<body><p>One.</p>") == ["One."]
+    assert said("<head><title>a <b>c</b></title><script>'<p>'</script></head><p>One.</p>") == ["One."]
+    assert said("<head>\n<noscript><link></noscript> Text of the body.") == ["Text of the body."]
+    assert said("<p>A</p><svg/><p>Long text.</p>") == ["A", "Long text."]
+    assert said('<p>A</p><svg width="1" /><p>Long text.</p><svg><text>no</text></svg><p>B</p>') == ["A", "Long text.", "B"]
+    for tag in ("svg", "select", "template", "noscript"):
+        assert said(f"<p>A</p><{tag}><p>Long text.</p>") == ["A", "Long text."]
+        assert said(f"<p>A</p><{tag}><p>Long text.</p><{tag}>no</{tag}><p>B</p>") == ["A", "Long text.", "B"]
+        assert said(f"<p>A</p><{tag}>no<!-- </{tag}> --><{tag}>no</{tag}>no</{tag}><p>B</p>") == ["A", "B"]
+    assert said("<p>A</p><script>no<p>no</p>") == ["A"] and said("<p>A</p><iframe>no") == ["A"]

@@ -5,7 +5,9 @@ tags, the words of their class, id and role, and the block's own text. The field
 likelihood on labelled pages: pages of known make-up, whose parts are labelled as they are put together, filled
 with sentences of a bounded sample of ``SAMPLE`` page texts (smallest hash first, over all pages).
 
-Scripts, styles, comments, head and markup are never text. Character references are decoded, white
+Scripts, styles, comments, head and markup are never text. A head ends at its end tag or at the first tag or text that cannot
+stand in one; svg, select, template, noscript and title hide what lies between their tags, but a tag without
+an end hides nothing. Character references are decoded, white
 space in a block becomes one space, blocks that are main text are joined by a newline.
 
 Defined cases: null or empty html, or html without main text, gives an empty text; a page cut off anywhere is
@@ -29,17 +31,70 @@ PAGES = 240
 
 # Tags that begin and end a block, tags without an end.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead title tr ul head iframe label textarea template".split())
+HIDDEN = frozenset("svg select template noscript title".split())
+IN_HEAD = frozenset("head html title meta link base basefont bgsound noframes script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open tag that a new one of these ends.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 KEPT_TAGS = frozenset("article main section nav header footer aside form table ul ol li p h1 h2 h3 h4 blockquote pre figure figcaption button label dialog details td div".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea|iframe|svg|select|head)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+)|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^<]+)|<", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ENDING = re.compile(r"[.!?…:;]['\")\]]*$")
 
 
+def _hidden(tokens: list[re.Match]) -> dict[int, int]:
+    """Of each start tag of HIDDEN with an end tag, by number: the end tag's number. Ends belong to the nearest open start."""
+    open_at: dict[str, list[int]] = {}
+    found = {}
+    for k, m in enumerate(tokens):
+        name = m.group(3)
+        if name is None or name.lower() not in HIDDEN:
+            continue
+        name = name.lower()
+        if m.group(2):
+            if open_at.get(name):
+                found[open_at[name].pop()] = k
+        elif name != "svg" or not m.group(4).rstrip().endswith("/"):
+            open_at.setdefault(name, []).append(k)
+    return found
+
+
+def _shown(page: str):
+    """The tokens outside hidden elements and the head; None for each stretch left out."""
+    tokens = list(_TOKEN.finditer(page))
+    hidden = _hidden(tokens)
+    in_head = titled = False  # titled: behind a title without an end
+    end = -1
+    for k, m in enumerate(tokens):
+        if k <= end:
+            continue
+        text, tag = m.group(5), m.group(3)
+        name = tag.lower() if tag else ""
+        if in_head:
+            if text is not None:
+                in_head = titled or not text.strip()
+            elif tag is None:
+                in_head = m.group() != "<" and (m.group(1) is None or m.group(1).lower() in IN_HEAD)
+            elif m.group(2):
+                in_head = name not in ("head", "body", "html", "br")
+            else:
+                in_head = name in IN_HEAD
+                titled = in_head and (titled or name == "title" and k not in hidden)
+            if in_head:
+                end = hidden.get(k, end)
+                continue
+        if k in hidden:
+            end = hidden[k]
+            yield None
+        elif name == "head" and not m.group(2):
+            in_head, titled = True, False
+            yield None
+        else:
+            yield m
+
+
 class Block:
     __slots__ = ("text", "tags", "names", "link")
 
@@ -63,7 +118,10 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    for m in _shown(page):
+        if m is None:
+            parts.append(" ")
+            continue
         text = m.group(5)
         if text is not None:
             parts.append(text)
@@ -90,7 +148,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in VOID:
+        elif tag not in VOID and tag not in HIDDEN:
             ended = ENDS.get(tag)
             if ended:
                 while stack and stack[-1][0] in ended:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -83,6 +84,22 @@ def test_licenses(spark, texts, empty):
     assert licenses.license_report(empty).count() == 0
 
 
+def test_licenses_in_wrapped_notices(spark):
+    """Each template wrapped at 20 to 80 columns, as comments and with blank lines, gets its label; words far apart do not."""
+    texts, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        for width in (20, 60, 70, 80):
+            for mark, gap in (("", "\n"), (" * ", "\n"), ("# ", "\n\n")):
+                i = len(texts)
+                lines = textwrap.wrap(f"Some file of 2024. {t}. And more", width)
+                texts.append((i, "int x;\n" + gap.join(mark + x.upper() for x in lines) + "\nint y;"))
+                want[i] = label
+        texts.append((90_000 + k, "\n".join(f"{w} " + "between other words " * 14 for w in t.split())))
+    got = {r["doc_id"]: r for r in licenses.license_report(make_docs(spark, texts)).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1 for i, label in want.items())
+    assert all(got[90_000 + k]["labels"] == "" and got[90_000 + k]["score"] == 0 for k in range(len(licenses.TEMPLATES)))
+
+
 def test_fingerprints(spark, empty):
     texts = [(i, t) for i, t in given(spark)] + [(5_000, None), (5_001, ""), (5_002, "x"), (5_003, "long line " * 30_000)]
     got = {r["doc_id"]: r for r in merkle.fingerprint_report(make_docs(spark, texts)).collect()}

@@ -1,13 +1,17 @@
 """License scans: exact phrases and an exact set-similarity join with license templates.
 
-Text blocks are a document's lines. A template is found in a block when the block holds at least
-``threshold`` of the template's distinct words. The join is exact, with three filters over words in one
-global order, rarest first (document frequency over *all* documents):
-
-* prefix: of a template with n words, of which k are needed, one of its n-k+1 rarest must be in the block;
-* length: the block must have k words of the template vocabulary;
+Notices are often wrapped, so a template's text blocks are runs of lines: each line, with the lines after it until these
+hold as many words as the template's text. Lines without words count for nothing. Any stretch of so many words
+lies in a block, whatever the wrapping. A template is found in a block when the block holds at least ``threshold`` of the
+template's distinct words. The join is exact, with three filters over words in one global order, rarest first (document
+frequency over *all* documents). They go over whole documents first, which hold all of their blocks:
+
+* prefix: of a template with n words, of which k are needed, one of its n-k+1 rarest must be there;
+* length: there must be k words of the template vocabulary;
 * position: what follows the first common word on both sides must still suffice for k.
 
+The blocks of the documents and templates that are left are then compared, from lines with a word of the template alone.
+
 Templates are a parameter of bounded size (at most ``MAX_TEMPLATE_WORDS`` words in all, checked), so
 their index is broadcast; documents never are. What blocks give meets the documents by the MD5 of the
 text, so repeated rows need no row number.
@@ -103,44 +107,53 @@ def _document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int
 
 
 def template_index(docs: DataFrame, templates=None, threshold: float = 0.9) -> tuple[dict[str, int], list[tuple]]:
-    """The words' ranks, rarest first, and of each template (id, label, words' ranks in order, needed)."""
-    sets = [(label, sorted(set(text.split()))) for label, text in (TEMPLATES if templates is None else templates)]
-    if sum(len(ws) for _, ws in sets) > MAX_TEMPLATE_WORDS:
+    """The words' ranks, rarest first, and of each template (id, label, words' ranks in order, needed, words of its text)."""
+    sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in (TEMPLATES if templates is None else templates)]
+    if sum(len(ws) for _, ws, _ in sets) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     if not vocabulary:
         return {}, []
     seen = _document_frequency(docs, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-    return rank, [(k, label, sorted(rank[w] for w in ws), math.ceil(threshold * len(ws) - 1e-9)) for k, (label, ws) in enumerate(sets) if ws]
+    return rank, [(k, label, sorted(rank[w] for w in ws), math.ceil(threshold * len(ws) - 1e-9), long) for k, (label, ws, long) in enumerate(sets) if ws]
 
 
 def template_matches(docs: DataFrame, rank: dict[str, int], index: list[tuple]) -> DataFrame:
-    """(key, block, label, containment) for each line and template at the threshold; docs: key, text."""
+    """(key, label, containment) for each document and template at the threshold in some block; docs: key, text."""
     spark = docs.sparkSession
-    entries = [(ranks[i], k, i, len(ranks), need, label, ranks) for k, label, ranks, need in index for i in range(len(ranks) - need + 1)]
-    prefix = spark.createDataFrame(entries, "rank int, template int, at int, n int, need int, label string, ranks array<int>")
+    entries = [(ranks[i], k, i, len(ranks), need, long, label, ranks) for k, label, ranks, need, long in index for i in range(len(ranks) - need + 1)]
+    prefix = spark.createDataFrame(entries, "rank int, template int, at int, n int, need int, long int, label string, ranks array<int>")
     rare, least = sorted({e[0] for e in entries}), min((e[4] for e in entries), default=1)
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    blocks = docs.select("key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    words = F.array_distinct(F.filter(F.split(lower_ascii(F.col("line")), _NOT_WORD), lambda w: w.isin(*rank)))
-    blocks = blocks.select("key", "block", words.alias("known")).filter(F.size("known") >= least)  # length filter for any template
-    blocks = blocks.select("key", "block", F.sort_array(F.transform("known", lambda w: ranks[w])).alias("own"))
-    hits = blocks.select("key", "block", "own", F.explode(F.filter(F.transform("own", lambda r, j: F.struct(r.alias("rank"), j.alias("j"))), lambda x: x["rank"].isin(*rare))).alias("x"))
-    pairs = hits.select("key", "block", "own", "x.rank", "x.j").join(F.broadcast(prefix), "rank")
+    words = F.array_distinct(F.filter(F.split(lower_ascii(F.col("text")), _NOT_WORD), lambda w: w.isin(*rank)))
+    whole = docs.select("key", "text", words.alias("known")).filter(F.size("known") >= least)  # length filter for any template
+    whole = whole.select("key", "text", F.sort_array(F.transform("known", lambda w: ranks[w])).alias("own"))
+    hits = whole.select("key", "text", "own", F.explode(F.filter(F.transform("own", lambda r, j: F.struct(r.alias("rank"), j.alias("j"))), lambda x: x["rank"].isin(*rare))).alias("x"))
+    pairs = hits.select("key", "text", "own", "x.rank", "x.j").join(F.broadcast(prefix), "rank")
     room = F.least(F.col("n") - F.col("at"), F.size("own") - F.col("j"))
     pairs = pairs.filter((F.size("own") >= F.col("need")) & (room >= F.col("need")))
     # The first common word alone reports the pair; later ones of the same prefix are repeats.
     both = F.array_intersect("own", "ranks")
     pairs = pairs.withColumn("both", both).filter((F.element_at("both", 1) == F.col("rank")) & (F.size("both") >= F.col("need")))
-    return pairs.select("key", "block", "label", (F.size("both") / F.col("n")).alias("containment"))
+    # Lines with words: how many, and which of the template's.
+    split = F.transform(F.split(lower_ascii(F.col("text")), "\n"), lambda x: F.filter(F.split(x, _NOT_WORD), lambda w: w != ""))
+    lines = F.transform(F.filter(split, lambda ws: F.size(ws) > 0), lambda ws: F.struct(F.size(ws).alias("n"), F.array_intersect(F.transform(F.filter(ws, lambda w: w.isin(*rank)), lambda w: ranks[w]), F.col("ranks")).alias("own")))
+    pairs = pairs.select("key", "label", "n", "need", "long", lines.alias("lines"))
+    # All lines but the first hold a word, so a block has at most ``long`` more of them.
+    blocks = pairs.select("key", "label", "n", "need", "long", "lines", F.posexplode("lines").alias("at", "line")).filter(F.size("line.own") > 0)
+    start = F.struct(F.lit(0).alias("n"), F.col("line.own").alias("own"))
+    more = lambda acc, x: F.when(acc["n"] >= F.col("long"), acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), F.array_union(acc["own"], x["own"]).alias("own")))
+    block = F.aggregate(F.slice("lines", F.col("at") + 2, F.col("long")), start, more)
+    found = blocks.select("key", "label", "n", "need", F.size(block["own"]).alias("held")).filter(F.col("held") >= F.col("need"))
+    return found.select("key", "label", (F.col("held") / F.col("n")).alias("containment"))
 
 
 def license_report(docs: DataFrame, templates=None, threshold: float = 0.9) -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = whole_text(docs, "doc_id")
     rank, index = template_index(docs, templates, threshold)
-    prefix_words = [w for w, r in rank.items() if any(r in ranks[: len(ranks) - need + 1] for _, _, ranks, need in index)]
+    prefix_words = [w for w, r in rank.items() if any(r in ranks[: len(ranks) - need + 1] for _, _, ranks, need, _ in index)]
     phrase_words = sorted({p.split()[0] for p in PHRASES})
     base = _scanned(docs, phrase_words).withColumn("key", F.md5(F.col("text")))
     base = base.withColumn("words", F.when(F.col("near"), _without_empty_ends(_pieces(lower_ascii(F.col("text")), _NOT_WORD))))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trajloom.functions.text import WHITE, trim_white
+
 INVESTIGATE, IMPLEMENT, NEUTRAL = "investigate", "implement", "neutral"
 
 # Tool names of the first agent.
@@ -56,7 +58,7 @@ def claude_tool_class(tool: Column) -> Column:
 
 def codex_tool_base_name(tool: Column) -> Column:
     """Trimmed, lower case, what follows the last of . / :"""
-    return F.regexp_extract(F.lower(F.trim(tool)), "[^./:]*$", 0)
+    return F.regexp_extract(F.lower(trim_white(tool)), "[^./:]*$", 0)
 
 
 def codex_tool_class(tool: Column) -> Column:
@@ -65,7 +67,7 @@ def codex_tool_class(tool: Column) -> Column:
 
 
 def is_shell_tool(tool: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(tool)).isin(*SHELL_TOOLS), F.lit(False))
+    return F.coalesce(F.lower(trim_white(tool)).isin(*SHELL_TOOLS), F.lit(False))
 
 
 def _has_flag(words: Column, flags: list[str]) -> Column:
@@ -75,8 +77,8 @@ def _has_flag(words: Column, flags: list[str]) -> Column:
 
 def classify_command(command: Column) -> Column:
     """investigate where a command certainly only reads, else neutral; never implement."""
-    text = F.trim(command)
-    words = F.split(text, r"\s+")
+    text = trim_white(command)
+    words = F.split(text, f"[{WHITE}]+")
     first, second = F.element_at(words, 1), F.try_element_at(words, F.lit(2))
     reading = first.isin(*READING)
     for name, flags in READING_WITHOUT.items():
@@ -92,7 +94,7 @@ def classify_command(command: Column) -> Column:
 
 def shell_command(tool_input: Column) -> Column:
     """``command``, else ``cmd``, of the JSON input, trimmed; null where empty."""
-    of = lambda name: F.nullif(F.trim(F.get_json_object(tool_input, f"$.{name}")), F.lit(""))
+    of = lambda name: F.nullif(trim_white(F.get_json_object(tool_input, f"$.{name}")), F.lit(""))
     return F.coalesce(of("command"), of("cmd"))
 
 
@@ -100,5 +102,5 @@ def codex_phase_class(tool: Column, tool_input: Column) -> Column:
     command = shell_command(tool_input)
     return (
         F.when(is_shell_tool(tool), F.when(command.isNull(), NEUTRAL).otherwise(classify_command(command)))
-        .when(F.lower(F.trim(tool)).startswith("mcp__"), NEUTRAL).otherwise(codex_tool_class(tool))
+        .when(F.lower(trim_white(tool)).startswith("mcp__"), NEUTRAL).otherwise(codex_tool_class(tool))
     )

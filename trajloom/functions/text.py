@@ -16,6 +16,15 @@ NOTICES = {
 }
 
 
+# What counts as white space around a text and between its words.
+WHITE = " \t\n\x0b\x0c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trim_white(text: Column) -> Column:
+    """Without the white space at both ends; Spark's own trim takes blanks only."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def estimated_tokens(text: Column) -> Column:
     """A run of letters, digits and _ costs a token for each four bytes begun, any other code point one."""
     runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))

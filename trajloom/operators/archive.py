@@ -15,10 +15,13 @@ KEY = [*SESSION, "epoch", "content_id"]
 
 
 def archive(decided: DataFrame, texts: DataFrame, by: str = "event_id") -> DataFrame:
-    """One row for each (project, session, epoch, content): content_id, content, n_bytes. Only changed rows meet their texts."""
-    changed = decided.filter(F.col("action").isin(*ARCHIVED)).select(*SESSION, "epoch", by)
-    full = changed.join(texts, by)
-    return full.select(*SESSION, "epoch", t.content_id(F.col("text")).alias("content_id"), F.col("text").alias("content"), F.octet_length("text").cast("bigint").alias("n_bytes")).dropDuplicates(KEY)
+    """One row for each (project, session, epoch, content): content_id, content, n_bytes. texts: by, text (none: empty).
+
+    Only changed rows meet their texts, and each content of an epoch once: hash names it before the text is there.
+    """
+    changed = decided.filter(F.col("action").isin(*ARCHIVED)).select(*SESSION, "epoch", F.substring("hash", 1, 32).alias("content_id"), by).dropDuplicates(KEY)
+    full = changed.join(texts.select(by, "text"), by, "left").withColumn("content", F.coalesce("text", F.lit("")))
+    return full.select(*KEY, "content", F.octet_length("content").cast("bigint").alias("n_bytes"))
 
 
 def live_archive(archived: DataFrame, decided: DataFrame) -> DataFrame:
@@ -29,15 +32,19 @@ def live_archive(archived: DataFrame, decided: DataFrame) -> DataFrame:
 
 def reduced(decided: DataFrame, texts: DataFrame, by: str = "event_id", prefix: str = t.PREFIX) -> DataFrame:
     """by, action, reduced: what the model sees in place of the text, for changed calls only."""
-    some = decided.filter(F.col("action").isin(*ARCHIVED, "dedup")).join(texts, by)
-    x, where, n = F.col("text"), t.content_id(F.col("text")), F.col("saved_bytes")
+    x, where, n = F.col("text"), F.substring("hash", 1, 32), F.col("saved_bytes")
+    slim = decided.filter(F.col("action").isin(*ARCHIVED, "dedup")).select(*decided.columns)
+    # Only a trim shows some of the text.
+    trims = slim.filter(F.col("action") == "trim").join(texts.select(by, "text"), by, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    some = slim.filter(F.col("action") != "trim").withColumn("text", F.lit("")).unionByName(trims)
     kind = F.when(F.col("is_shell"), t.trimmed(x, "shell", where, prefix)).when(F.col("tool_name").isin("Glob"), t.trimmed(x, "entries", where, prefix)).otherwise(t.trimmed(x, "text", where, prefix))
     shown = (
         F.when(F.col("action") == "dedup", s.dedup_receipt(F.col("repeat_of_turn"), F.col("key"), prefix)).when(F.col("action") == "trim", kind)
         .when(F.col("action") == "bash_retire", s.bash_receipt(F.col("key"), n, where, prefix))
         .otherwise(s.retire_receipt(F.when(F.col("action") == "retire_boundary", "post-boundary").otherwise("over-threshold"), F.col("tool_name"), F.col("key"), n, where, prefix))
     )
-    return some.select(*SESSION, "epoch", by, "action", F.when(F.col("action") != "dedup", where).alias("content_id"), shown.alias("reduced"))
+    named = [x for x in ("event_id", by) if x in decided.columns]
+    return some.select(*SESSION, "epoch", *dict.fromkeys(named), "action", F.when(F.col("action") != "dedup", where).alias("content_id"), shown.alias("reduced"))
 
 
 def recover(receipts: DataFrame, archived: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as tool calls without texts: each names the document that is its output."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    n = F.broadcast(table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")))  # one row
+    n = F.broadcast(table(spark, sf_dir, "documents").agg(F.min("doc_id").alias("least"), (F.max("doc_id") - F.min("doc_id") + 1).alias("span")))  # one row
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", k.alias("k")).crossJoin(n)
     start = (F.col("event_type") == "signup") & (F.col("k") < 5)
     tool = (
@@ -32,7 +32,8 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "event_type", "k", F.concat(F.lit("/p/"), (F.col("user_id") % 10).cast("string")).alias("project_root"), F.col("user_id").cast("string").alias("session_id"),
         F.when(F.col("user_id") % 2 == 0, "claude-code").otherwise("codex").alias("agent"),
         F.when(start, "SessionStart").otherwise("PostToolUse").alias("hook_event_name"), tool.alias("tool_name"),
-        ((2 * F.col("k") + F.col("event_id") % 2) % F.col("n")).alias("doc_id"),
+        # A command of a user has two outputs, so that repeats occur; users and commands together reach the whole table.
+        (F.col("least") + (F.col("k") * 7919 + F.col("user_id") * 104729 + F.col("event_id") % 2 * 1299709) % F.col("span")).alias("doc_id"),
     )
 
 
@@ -42,9 +43,16 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.drop("text")
 
 
-def claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sessions as the first agent's, ready for decide_claude."""
-    e = tool_events(spark, sf_dir).join(_measured(spark, sf_dir), "doc_id")
+def _with_measures(events: DataFrame, measured: DataFrame) -> DataFrame:
+    """An output that no document has is empty."""
+    empty = with_text_measures(events.sparkSession.createDataFrame([("",)], "text string")).drop("text").first().asDict()
+    return events.join(measured, "doc_id", "left").fillna(empty)
+
+
+def claude_events(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
+    """All sessions (or the first agent's own) as the first agent's, ready for decide_claude."""
+    e = tool_events(spark, sf_dir).filter((F.col("agent") == "claude-code") if own else F.lit(True))
+    e = _with_measures(e, _measured(spark, sf_dir))
     tool = F.col("tool_name")
     return e.withColumns({
         "class": c.claude_tool_class(tool), "is_shell": F.coalesce(tool == "Bash", F.lit(False)), "key": F.concat(F.coalesce(tool, F.lit("")), F.lit(":cmd-"), F.col("k").cast("string")),
@@ -54,7 +62,7 @@ def claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odd sessions as the second agent's, ready for decide_codex."""
-    e = tool_events(spark, sf_dir).filter(F.col("agent") == "codex").join(_measured(spark, sf_dir), "doc_id")
+    e = _with_measures(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), _measured(spark, sf_dir))
     cat = F.col("event_type") == "error"
     names = F.create_map(*[F.lit(x) for pair in (("Glob", "list_dir"), ("Read", "read_file"), ("Grep", "grep"), ("Edit", "apply_patch"), ("Bash", "shell")) for x in pair])
     e = e.withColumn("tool_name", F.try_element_at(names, F.col("tool_name")))

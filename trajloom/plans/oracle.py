@@ -30,15 +30,17 @@ ev AS (SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '[0-
 te AS (SELECT event_id, ts, event_type, k, '/p/' || (user_id % 10) AS project_root, user_id::VARCHAR AS session_id, CASE WHEN user_id % 2 = 0 THEN 'claude-code' ELSE 'codex' END AS agent,
   CASE WHEN event_type = 'signup' AND k < 5 THEN 'SessionStart' ELSE 'PostToolUse' END AS hook,
   CASE WHEN event_type = 'signup' THEN CASE WHEN k < 5 THEN NULL ELSE 'Glob' END WHEN event_type = 'view' THEN 'Read' WHEN event_type = 'click' THEN 'Grep' WHEN event_type = 'purchase' AND k < 10 THEN 'Edit' ELSE 'Bash' END AS tool,
-  (2 * k + event_id % 2) % (SELECT count(*) FROM documents) AS doc_id FROM ev)"""
+  (SELECT min(doc_id) FROM documents) + (k * 7919 + user_id * 104729 + event_id % 2 * 1299709) % (SELECT max(doc_id) - min(doc_id) + 1 FROM documents) AS doc_id FROM ev)"""
+
+_MEASURES = "coalesce(dm.tokens, 0) AS tokens, coalesce(dm.n_lines, 1) AS n_lines, coalesce(dm.n_bytes, 0) AS n_bytes, coalesce(dm.hash, sha256('')) AS hash, coalesce(dm.omitted_lines, 0) AS omitted_lines, coalesce(dm.omitted_bytes, 0) AS omitted_bytes, coalesce(dm.long, false) AS long"
 
 _ROWS = "PARTITION BY project_root, session_id, epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
 
 _CLAUDE = f"""
-c0 AS (SELECT te.*, dm.tokens, dm.n_lines, dm.n_bytes, dm.hash, dm.omitted_lines, dm.omitted_bytes, dm.long,
+c0 AS (SELECT te.*, {_MEASURES},
   sum((hook = 'SessionStart')::INT) OVER (PARTITION BY project_root, session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch,
-  coalesce(tool IN ('Read', 'Grep', 'Glob'), false) AS looks, coalesce(tool = 'Edit', false) AS works, coalesce(tool = 'Bash' AND n_bytes > 0, false) AS eligible, coalesce(tool, '') || ':cmd-' || k AS key
-  FROM te JOIN dm USING (doc_id)),
+  coalesce(tool IN ('Read', 'Grep', 'Glob'), false) AS looks, coalesce(tool = 'Edit', false) AS works, coalesce(tool = 'Bash' AND dm.n_bytes > 0, false) AS eligible, coalesce(tool, '') || ':cmd-' || k AS key
+  FROM te LEFT JOIN dm USING (doc_id)),
 c1 AS (SELECT *, sum(looks::INT) OVER ({_ROWS})::BIGINT AS investigate_count FROM c0),
 c2 AS (SELECT *, works AND investigate_count > 0 AS hit, coalesce(eligible AND hash = lag(hash) OVER (PARTITION BY project_root, session_id, epoch, eligible, key ORDER BY ts, event_id), false) AS is_repeat FROM c1),
 c3 AS (SELECT *, hit AND sum(hit::INT) OVER ({_ROWS}) = 1 AS crossing, max(hit::INT) OVER ({_ROWS}) = 1 AS past, investigate_count > 20 AS over_threshold, sum((eligible AND NOT is_repeat)::INT) OVER ({_ROWS})::BIGINT AS turn FROM c2),
@@ -50,11 +52,11 @@ cd AS (SELECT *, CASE WHEN action = 'dedup' OR action LIKE '%retire%' THEN n_byt
 
 _CODEX = f"""
 x00 AS (SELECT te.* EXCLUDE (tool), CASE tool WHEN 'Glob' THEN 'list_dir' WHEN 'Read' THEN 'read_file' WHEN 'Grep' THEN 'grep' WHEN 'Edit' THEN 'apply_patch' WHEN 'Bash' THEN 'shell' END AS tool FROM te WHERE agent = 'codex'),
-x0 AS (SELECT x00.*, dm.tokens, dm.n_lines, dm.n_bytes, dm.hash, dm.omitted_lines, dm.omitted_bytes, dm.long,
+x0 AS (SELECT x00.*, {_MEASURES},
   sum((hook = 'SessionStart')::INT) OVER (PARTITION BY project_root, session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch,
   CASE WHEN tool = 'apply_patch' THEN 'implement' WHEN tool IN ('list_dir', 'read_file', 'grep') OR (tool = 'shell' AND event_type = 'error') THEN 'investigate' ELSE 'neutral' END AS class,
   CASE WHEN tool = 'shell' THEN 'Bash:' || CASE WHEN event_type = 'error' THEN 'cat' ELSE 'make' END || ' cmd-' || k ELSE coalesce(tool, '') || ':cmd-' || k END AS key
-  FROM x00 JOIN dm USING (doc_id)),
+  FROM x00 LEFT JOIN dm USING (doc_id)),
 x1 AS (SELECT *, coalesce((tool = 'shell' OR class = 'investigate') AND n_bytes > 0 AND hook = 'PostToolUse', false) AS eligible, sum((class = 'investigate')::INT) OVER ({_ROWS})::BIGINT AS investigate_count FROM x0),
 x2 AS (SELECT *, class = 'implement' AND investigate_count > 0 AS hit, coalesce(eligible AND hash = lag(hash) OVER (PARTITION BY project_root, session_id, epoch, eligible, key ORDER BY ts, event_id), false) AS is_repeat FROM x1),
 x3 AS (SELECT *, hit AND sum(hit::INT) OVER ({_ROWS}) = 1 AS crossing, max(hit::INT) OVER ({_ROWS}) = 1 AS past FROM x2),
@@ -156,8 +158,8 @@ ORACLE_SQL = {
     "reduced_outputs": _C + f"""SELECT event_id, action, CASE WHEN action <> 'dedup' THEN left(cd.hash, 32) END AS content_id, md5(CASE action WHEN 'dedup' THEN '{_P}unchanged since turn ' || repeat_of_turn || ' (' || key || ')'
       WHEN 'trim' THEN CASE tool WHEN 'Bash' THEN {_cut('left(cd.hash, 32)', 'dm.text', 'dm.ls', 'shell')} WHEN 'Glob' THEN {_cut('left(cd.hash, 32)', 'dm.text', 'dm.ls', 'entries')} ELSE {_cut('left(cd.hash, 32)', 'dm.text', 'dm.ls', 'text')} END
       WHEN 'bash_retire' THEN '{_P}bash output retired post-boundary (' || key || ', ' || saved_bytes || ' bytes) — full output at ' || left(cd.hash, 32)
-      ELSE '{_P}investigate output retired ' || CASE action WHEN 'retire_boundary' THEN 'post-boundary' ELSE 'over-threshold' END || ' (' || tool || ' ' || key || ', ' || saved_bytes || ' bytes) — full content at ' || left(cd.hash, 32) END) AS reduced_md5 FROM cd JOIN dm USING (doc_id) WHERE {_ARCHIVED} OR action = 'dedup'""",
-    "recover_content": _C + f"SELECT event_id, left(cd.hash, 32) AS content_id, md5(dm.text) AS content_md5, cd.n_bytes FROM cd JOIN dm USING (doc_id) WHERE {_ARCHIVED}",
+      ELSE '{_P}investigate output retired ' || CASE action WHEN 'retire_boundary' THEN 'post-boundary' ELSE 'over-threshold' END || ' (' || tool || ' ' || key || ', ' || saved_bytes || ' bytes) — full content at ' || left(cd.hash, 32) END) AS reduced_md5 FROM cd LEFT JOIN dm USING (doc_id) WHERE {_ARCHIVED} OR action = 'dedup'""",
+    "recover_content": _C + f"SELECT event_id, left(cd.hash, 32) AS content_id, md5(coalesce(dm.text, '')) AS content_md5, cd.n_bytes FROM cd LEFT JOIN dm USING (doc_id) WHERE {_ARCHIVED}",
     "compaction_points": _C + "SELECT project_root, session_id, epoch, event_id, investigate_count FROM cd WHERE crossing",
     "claude_usage": _with(_USAGE) + "SELECT project_root, session_id, tokens, round(cost_usd, 6) AS cost_usd, content_bytes FROM cu",
     "codex_usage": _with(_USAGE) + "SELECT project_root, session_id, tokens, round(cost_usd, 6) AS cost_usd, content_bytes FROM xu",

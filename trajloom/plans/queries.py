@@ -38,8 +38,16 @@ def _codex(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    """event_id, text."""
-    return a.tool_events(spark, sf_dir).select("event_id", "doc_id").join(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id").select("event_id", "text")
+    """doc_id, text: decided rows carry the number of their output."""
+    return _documents(spark, sf_dir).select("doc_id", "text")
+
+
+def _decided(spark, sf_dir):
+    """The first agent's decisions, written once for queries that read them twice."""
+    path = _shared(spark)
+    df = _claude(spark, sf_dir).select(*st.SESSION, "epoch", "event_id", "doc_id", "action", "saved_bytes", "hash", "is_shell", "tool_name", "key", "repeat_of_turn")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_tokens(spark, sf_dir):
@@ -116,21 +124,21 @@ def decision_counts(spark, sf_dir):
 
 
 def archive_contents(spark, sf_dir):
-    return ar.archive(_claude(spark, sf_dir), _texts(spark, sf_dir)).select(*ar.KEY, "n_bytes")
+    return ar.archive(_claude(spark, sf_dir), _texts(spark, sf_dir), "doc_id").select(*ar.KEY, "n_bytes")
 
 
 def live_archive(spark, sf_dir):
-    decided = _claude(spark, sf_dir)
-    return ar.live_archive(ar.archive(decided, _texts(spark, sf_dir)), decided).select(*ar.KEY, "n_bytes")
+    decided = _decided(spark, sf_dir)
+    return ar.live_archive(ar.archive(decided, _texts(spark, sf_dir), "doc_id"), decided).select(*ar.KEY, "n_bytes")
 
 
 def reduced_outputs(spark, sf_dir):
-    return ar.reduced(_claude(spark, sf_dir), _texts(spark, sf_dir)).select("event_id", "action", "content_id", F.md5("reduced").alias("reduced_md5"))
+    return ar.reduced(_claude(spark, sf_dir), _texts(spark, sf_dir), "doc_id").select("event_id", "action", "content_id", F.md5("reduced").alias("reduced_md5"))
 
 
 def recover_content(spark, sf_dir):
-    decided, texts = _claude(spark, sf_dir), _texts(spark, sf_dir)
-    found = ar.recover(ar.reduced(decided, texts), ar.archive(decided, texts))
+    decided, texts = _decided(spark, sf_dir), _texts(spark, sf_dir)
+    found = ar.recover(ar.reduced(decided, texts, "doc_id"), ar.archive(decided, texts, "doc_id"))
     return found.select("event_id", "content_id", F.md5("content").alias("content_md5"), "n_bytes")
 
 
@@ -176,7 +184,7 @@ def price_lookup(spark, sf_dir):
 
 def _stats(spark, sf_dir):
     cols = [*st.SESSION, "agent", "action", "saved_bytes", "omitted_lines"]
-    decided = _claude(spark, sf_dir).filter(F.col("agent") == "claude-code").select(cols).unionByName(_codex(spark, sf_dir).select(cols))
+    decided = d.decide_claude(a.claude_events(spark, sf_dir, own=True), ORDER).select(cols).unionByName(_codex(spark, sf_dir).select(cols))
     return r.session_stats(r.mechanism_stats(decided), _usage(spark, sf_dir))
 
 
@@ -272,8 +280,11 @@ def session_receipts(spark, sf_dir):
 
 
 def _shared(spark):
-    """A new folder in the one that the cluster names; a local one where none is named, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    """A new folder in the one that the cluster names; a machine-local one only where none is named and everything runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = found or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     return f"{found.rstrip('/')}/trajloom-{uuid.uuid4().hex}"
 
 

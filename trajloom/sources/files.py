@@ -60,26 +60,34 @@ def raw_content_bytes(lines: pd.Series) -> pd.Series:
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Lines for claude_session_usage; the session is the file's name, bad lines are left out."""
     lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1).alias("session_id"))
-    x = lines.withColumn("x", F.from_json("value", TRANSCRIPT, {"mode": "PERMISSIVE"})).filter(F.col("x.type").isNotNull())
+    x = lines.withColumn("x", _whole(F.col("value"), TRANSCRIPT)).filter(F.col("x.type").isNotNull())
     u = "x.message.usage"
     return x.select("session_id", F.col("x.type").alias("type"), F.col("x.message.model").alias("model"), F.col(f"{u}.input_tokens").alias("input_tokens"), F.col(f"{u}.cache_creation.ephemeral_5m_input_tokens").alias("write_5m"), F.col(f"{u}.cache_creation.ephemeral_1h_input_tokens").alias("write_1h"), F.when(F.col("x.type") == "user", raw_content_bytes("value")).alias("content_bytes"))
 
 
-def codex_content_bytes(content):
-    """Of a string its bytes, of a list of parts the bytes of their texts, else 0."""
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+def codex_content_bytes(line, path: str = "$.payload.content"):
+    """Of a string its bytes, of a list of parts the bytes of their texts, else 0. line: raw JSON, which alone tells "[x]" from [x]."""
+    value = F.try_variant_get(F.try_parse_json(line), path, "variant")
+    kind = F.schema_of_variant(value)
+    parts = F.from_json(F.to_json(value), "array<struct<type:string,text:string>>", {"mode": "PERMISSIVE"})
     summed = F.aggregate(F.transform(parts, lambda p: F.coalesce(F.octet_length(p["text"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    return F.when(content.isNull(), 0).when(content.startswith("["), F.coalesce(summed, F.lit(0))).when(content.startswith("{"), 0).otherwise(F.octet_length(content)).cast("bigint")
+    return F.coalesce(F.when(kind == "STRING", F.octet_length(F.try_variant_get(value, "$", "string"))).when(kind.startswith("ARRAY"), summed), F.lit(0)).cast("bigint")
+
+
+def _whole(value, struct: str):
+    """The parsed line; null where it is no JSON or any field that is read has another type: such a line is left out whole."""
+    x = F.from_json(value, struct[:-1] + ", _bad: STRING>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(x["_bad"].isNull(), x)
 
 
 def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """Lines for codex_session_usage, numbered in their files; a file is read whole, as these are small."""
     files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1).alias("session_id"))
     lines = files.select("session_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    x = lines.withColumn("x", F.from_json("line", ROLLOUT)).filter(F.col("x.type").isNotNull())
+    x = lines.withColumn("x", _whole(F.col("line"), ROLLOUT)).filter(F.col("x.type").isNotNull())
     p = F.col("x.payload")
     total = p["info"]["total_token_usage"]
-    own = F.when(p["type"] == "message", F.when(p["role"] == "user", codex_content_bytes(p["content"]))).when(p["type"] == "function_call_output", F.coalesce(F.octet_length(p["output"]), F.lit(0)))
+    own = F.when(p["type"] == "message", F.when(p["role"] == "user", codex_content_bytes(F.col("line")))).when(p["type"] == "function_call_output", F.coalesce(F.octet_length(p["output"]), F.lit(0)))
     return x.select("session_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce(p["type"] == "token_count", F.lit(False)).alias("is_total"), p["model"].alias("model"), F.coalesce(total["input_tokens"], F.lit(0)).alias("total_input"), F.coalesce(total["cached_input_tokens"], F.lit(0)).alias("total_cached"), F.coalesce(total["cache_write_input_tokens"], F.lit(0)).alias("total_write"), F.coalesce(own, F.lit(0)).cast("bigint").alias("content_bytes"))
 
 

@@ -122,3 +122,30 @@ def test_random_sequences_fold(spark):
         else:
             want.append("trim" if tool == "Grep" and text is LONG else "pass")
     assert claude(spark, calls) == want
+
+
+def test_random_sequences_fold_codex(spark):
+    """The second agent's windows equal a plain fold: repeats come before retiring, only changeable outputs count."""
+    r = random.Random(9)
+    texts = ["a", "b", LONG]
+    calls = [r.choice([("shell", r.choice(["cat x", "make y"]), r.choice(texts)), ("read_file", "", r.choice(texts)), ("apply_patch", "", "z"), ("mcp__t", "", LONG), ("SubagentStart", "", ""), ("SessionStart", "", "")]) for _ in range(160)]
+    looked, crossed, ledger, want = 0, False, {}, []
+    for tool, arg, text in calls:
+        looks = tool in ("read_file", "SubagentStart") or arg == "cat x"
+        if tool == "SessionStart":
+            looked, crossed, ledger = 0, False, {}
+            want.append("pass")
+            continue
+        looked += looks
+        if tool == "apply_patch":
+            now = looked > 0 and not crossed
+            crossed |= now
+            want.append("nudge" if now else "pass")
+        elif tool in ("mcp__t", "SubagentStart"):
+            want.append("pass")
+        else:
+            same = ledger.get((tool, arg)) == text
+            ledger[tool, arg] = text
+            long = text is LONG
+            want.append("dedup" if same else ("retire_boundary" if long else "pass") if looks and crossed else "retire_threshold" if looks and looked > 20 else "bash_retire" if tool == "shell" and crossed and long else "trim" if long else "pass")
+    assert codex(spark, calls) == want

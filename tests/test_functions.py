@@ -30,11 +30,16 @@ def test_trimmed_text(spark):
 
 
 def test_commands(spark):
-    looks = ["cat a", "less a", "head a", "grep a b", "rg a", "fd a", "ls", "wc a", "tail a", "find . -name a", "git status", "git diff", "git log", "git show a", "git grep a", "go test -list .", "go test -list=.", "curl http://a", "wget http://a", "  ls  "]
-    not_ = ["", "make", "tail -f a", "tail --follow=x a", "find . -delete", "find . -exec a", "find . -okdir a", "git push", "git", "go test", "go test -list", "go test -list=", "go build -list .", "curl -o a b", "curl --output=a b", "curl -T a", "wget -O a", "wget --output-document=a b", "wget -P a", "cat a; rm b", "cat a | b", "cat a > b", "cat < a", "cat `a`", "cat $(a)", "cat a & b", "cat a\nrm b", "ls\r", "catt a"]
+    looks = ["cat a", "less a", "head a", "grep a b", "rg a", "fd a", "ls", "wc a", "tail a", "find . -name a", "git status", "git diff", "git log", "git show a", "git grep a", "go test -list .", "go test -list=.", "curl http://a", "wget http://a", "  ls  ", "cat a\n", "\tcat a", "ls\r", "\u00a0wc\u2003a\u3000"]
+    not_ = ["", "make", "tail -f a", "tail --follow=x a", "find . -delete", "find . -exec a", "find . -okdir a", "git push", "git", "go test", "go test -list", "go test -list=", "go build -list .", "curl -o a b", "curl --output=a b", "curl -T a", "wget -O a", "wget --output-document=a b", "wget -P a", "cat a; rm b", "cat a | b", "cat a > b", "cat < a", "cat `a`", "cat $(a)", "cat a & b", "cat a\nrm b", "catt a", "\n", "\t\u00a0"]
     assert set(values(spark, looks, c.classify_command)) == {c.INVESTIGATE}
-    # A trailing carriage return is trimmed like any white space.
-    assert set(values(spark, [x for x in not_ if x != "ls\r"], c.classify_command)) == {c.NEUTRAL}
+    assert set(values(spark, not_, c.classify_command)) == {c.NEUTRAL}
+
+
+def test_shell_command(spark):
+    inputs = ['{"command":"\\n"}', '{"command":" \\t","cmd":"ls\\n"}', '{"command":"\\tcat a\\n"}', "{}", "no json", None]
+    assert values(spark, inputs, c.shell_command) == [None, "ls", "cat a", None, None, None]
+    assert values(spark, [" Bash\n", "\tshell", "ba sh", None], c.is_shell_tool) == [True, True, False, False]
 
 
 def test_codex_names(spark):
@@ -65,12 +70,12 @@ def level(spark, **x):
 
 def test_savings(spark):
     df = level(spark, dedup_bytes=20, budget_bytes_omitted=10, retired_bytes=8, transcript_content_bytes=62)
-    assert df.select(s.percent_saved(), s.headline(), s.stretch_text()).first()[:] == (38.0, "38% saved", "Your plan goes ~61% further")
+    assert df.select(s.percent_saved(), s.headline(), s.stretch_text()).first()[:] == (38.0, "38% less content", "the same budget reaches 61% further")
     df = level(spark, dedup_bytes=13926, transcript_tokens=100, transcript_cost_usd=0.1578, transcript_content_bytes=455)
     texts = s.card_texts(s.tokens_saved(), s.dollars_saved())
     assert df.select(*texts.values()).first()[:] == ("13.6 KiB", "3.1K", "$4.83")
     df = level(spark, dedup_bytes=5)
-    assert df.select(s.percent_saved(), s.headline()).first()[:] == (None, "5 B suppressed so far")
+    assert df.select(s.percent_saved(), s.headline()).first()[:] == (None, "5 B left out so far")
     assert values(spark, [50.0, 0.0, 100.0], s.stretch, "double") == [2.0, 1.0, 0.0]
 
 

@@ -8,7 +8,8 @@ from tests.conftest import data_dir
 from trajloom.operators.state import SESSION
 from trajloom.operators.usage import claude_session_usage
 from trajloom.plans import adapters as a
-from trajloom.streaming.usage import live_usage, settle
+from trajloom.sources.files import latest_session_stats
+from trajloom.streaming.usage import live_stats, live_usage, reread_claude, settle, tally
 
 
 def test_live_usage_equals_batch(spark):
@@ -30,4 +31,23 @@ def test_settle_overwrites_the_ended_sessions_only(spark):
     settle(path, rows(1))(ends, 0)
     settle(path, rows(2))(ends.filter("session_id = 'a'"), 1)
     settle(path, rows(3))(ends.filter("session_id = 'c'"), 2)
-    assert {r["session_id"]: r["tokens"] for r in spark.read.parquet(path).collect()} == {"a": 2, "b": 1}
+    assert {r["session_id"]: r["tokens"] for r in latest_session_stats(spark, path).collect()} == {"a": 2, "b": 1}
+
+
+def test_reread_of_ended_sessions(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    with open(f"{folder}/a.jsonl", "w") as out:
+        out.write('{"type":"assistant","message":{"usage":{"input_tokens":5}}}\n{"type":"assistant","message":{"usage":{"input_tokens":7}}}\n')
+    ended = spark.createDataFrame([("p", "a", f"{folder}/a.jsonl"), ("p", "b", None), ("p", "c", "")], "project_root string, session_id string, transcript_path string")
+    assert {r["session_id"]: r["tokens"] for r in reread_claude(ended).collect()} == {"a": 12, "b": 0, "c": 0}
+    assert {r["session_id"]: r["tokens"] for r in reread_claude(ended.filter("session_id <> 'a'")).collect()} == {"b": 0, "c": 0}
+
+
+def test_batch_tallied_twice_counts_once(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/tally"
+    rows = spark.createDataFrame([("p", "a", "codex", "dedup", 5, 0), ("p", "a", "codex", "trim", 7, 3)], "project_root string, session_id string, agent string, action string, saved_bytes bigint, omitted_lines bigint")
+    for number in (0, 0, 1):
+        tally(path)(rows, number)
+    usage = spark.createDataFrame([("p", "a", "codex", 10, 0.1, 100)], "project_root string, session_id string, agent string, tokens bigint, cost_usd double, content_bytes bigint")
+    row = live_stats(spark, path, usage).first()
+    assert (row["dedup_hits"], row["dedup_bytes"], row["budget_lines_omitted"], row["transcript_tokens"]) == (2, 10, 6, 10)

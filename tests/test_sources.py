@@ -53,7 +53,41 @@ def test_session_stats_files(spark):
     stats = f.read_session_stats(spark, folder).withColumn("project_root", F.lit("/p/x"))
     f.write_session_stats(stats, out)
     f.write_session_stats(stats, out)
-    assert spark.read.parquet(out).count() == 2
+    assert f.latest_session_stats(spark, out).count() == 2
+
+
+def test_sinks_keep_what_was_there(spark):
+    """Two sessions and two epochs of one project, written one after another and again."""
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = lambda *x: spark.createDataFrame(list(x), "project_root string, session_id string, epoch bigint, content_id string, content string")
+    first, second = rows(("p", "a", 0, "x", "X")), rows(("p", "b", 0, "x", "X"), ("p", "a", 1, "x", "X"), ("p", "a", 0, "y", "Y"), ("q", "a", 0, "x", "X"))
+    for part in (first, second, first, second):
+        f.write_archive(part, f"{out}/archive")
+    assert sorted(tuple(r) for r in f.read_archive(spark, f"{out}/archive").select("project_root", "session_id", "epoch", "content_id", "content").collect()) == sorted(tuple(r) for r in first.union(second).collect())
+    assert spark.read.parquet(f"{out}/archive").count() == 5
+    tally = lambda *x: spark.createDataFrame(list(x), "project_root string, session_id string, dedup_hits bigint")
+    f.write_session_stats(tally(("p", "a", 1)), f"{out}/stats")
+    f.write_session_stats(tally(("p", "b", 2)), f"{out}/stats")
+    f.write_session_stats(tally(("p", "a", 3), ("q", "a", 4)), f"{out}/stats")
+    f.compact_session_stats(spark, f"{out}/stats", f"{out}/compact")
+    for path in (f"{out}/stats", f"{out}/compact"):
+        assert sorted(tuple(r) for r in f.latest_session_stats(spark, path).collect()) == [("p", "a", 3), ("p", "b", 2), ("q", "a", 4)]
+
+
+def test_mistyped_lines_go_whole(spark):
+    path = write("s2.jsonl", '{"type":"assistant","message":{"usage":{"input_tokens":"bad","cache_creation":{"ephemeral_5m_input_tokens":7}}}}', {"type": "assistant", "message": {"usage": {"input_tokens": 10}}}, "{", "[]")
+    assert claude_session_usage(f.read_transcripts(spark, path), ["session_id"]).first()["tokens"] == 10
+    own = lambda x: {"type": "response_item", "payload": {"type": "message", "role": "user", "content": x}}
+    contents = ["[Image] look", "{a}", [{"type": "t", "text": "abc"}, {"type": "u", "text": "é"}], {"a": 1}, None, "", [], [1]]
+    path = write("r4.jsonl", *map(own, contents), {"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": "x", "cache_write_input_tokens": 7}}}})
+    lines = f.read_rollouts(spark, path).orderBy("line_no").collect()
+    assert [x["content_bytes"] for x in lines] == [12, 3, 5, 0, 0, 0, 0, 0] and not any(x["is_total"] for x in lines)
+
+
+def test_events(spark):
+    event = {"seq": 1, "session_id": "s", "hook_event_name": "PostToolUse", "tool_name": "Bash", "tool_input": '{"command":"ls"}'}
+    got = f.read_tool_events(spark, write("e.jsonl", event, "{broken", {"seq": 2})).collect()
+    assert [(r["seq"], r["tool_input"]) for r in got] == [(1, '{"command":"ls"}')]
 
 
 def test_project_is_the_sum_of_its_sessions(spark):
@@ -64,7 +98,7 @@ def test_project_is_the_sum_of_its_sessions(spark):
 
 
 def test_project_root(spark):
-    e = spark.createDataFrame([("/home/u/a/b/c", "/home/u"), ("/home/u/x", "/home/u"), ("/srv/r/d", "/home/u")], "cwd string, cwd_home string")
+    e = spark.createDataFrame([("/home/u/a/b/c", "/home/u"), ("/home/u/x", "/home/u"), ("/srv/r/d", "/home/u"), ("/home/u", "/home/u"), ("/home/u2/z", "/home/u")], "cwd string, cwd_home string")
     roots = spark.createDataFrame([("/home/u/a",), ("/home",), ("/srv/r",)], "dir string")
     got = {x["cwd"]: x["project_root"] for x in resolve_project(e, roots).collect()}
-    assert got == {"/home/u/a/b/c": "/home/u/a", "/home/u/x": "/home/u/x", "/srv/r/d": "/srv/r"}
+    assert got == {"/home/u/a/b/c": "/home/u/a", "/home/u/x": "/home/u/x", "/srv/r/d": "/srv/r", "/home/u": "/home/u", "/home/u2/z": "/home"}

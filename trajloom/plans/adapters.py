@@ -97,3 +97,98 @@ def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _conversations(spark, sf_dir).filter(F.col("conv_id") % 2 == 1)
     said = F.col("role") == "assistant"
     return x.select("project_root", "session_id", F.col("turn").alias("line_no"), said.alias("is_total"), F.when(~said, _model(CODEX_MODELS, (F.col("conv_id") - 1) / 2 + F.col("turn"))).alias("model"), F.when(said, F.col("turn") * 1000 + F.col("bytes")).alias("total_input"), F.when(said, F.col("turn") * 600).alias("total_cached"), F.when(said, F.col("turn") * 30).alias("total_write"), F.when(~said, F.col("bytes")).alias("content_bytes"))
+
+
+def escaped(text):
+    """The text inside a JSON string."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def _object(fields: dict):
+    """Raw JSON of an object; values are raw JSON, or null to leave the field out."""
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _with_texts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x09\\x0b-\\x1f]", " ")
+    return events.join(docs, "doc_id", "left").withColumn("text", clean)
+
+
+def raw_claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even sessions as raw hook events of the first agent: inputs and responses are JSON in each tool's shape, some of them failed, empty or images."""
+    e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "claude-code"), spark, sf_dir)
+    tool, v = F.col("tool_name"), F.col("event_id") % 11
+    said, command = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"')), F.concat(F.lit('"cmd-'), F.col("k").cast("string"), F.lit('"'))
+    flag = lambda k: F.when(v == k, "true").otherwise("false")
+    names = F.when(v == 4, "[]").otherwise(F.concat(F.lit("["), F.replace(said, F.lit("\\n"), F.lit('","')), F.lit("]")))
+    response = (
+        F.when(tool == "Bash", _object({"stdout": said, "stderr": F.when(v == 2, '"oops"').otherwise('""'), "interrupted": flag(0), "isImage": flag(1)}))
+        .when(tool == "Grep", _object({"mode": F.lit('"content"'), "content": F.when(v == 3, '""').otherwise(said)}))
+        .when(tool == "Glob", _object({"filenames": names, "truncated": F.lit("false")})).when(tool == "Read", _object({"file": _object({"content": said})})).otherwise(F.when(tool.isNotNull(), '{"ok":true}'))
+    )
+    field = F.when(tool == "Bash", '{"command":').when(tool.isin("Grep", "Glob"), '{"pattern":').otherwise('{"file_path":')
+    return e.select(*[x for x in e.columns if x != "text"], F.concat(field, command, F.lit("}")).alias("tool_input"), response.alias("tool_response"))
+
+
+def raw_codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The odd sessions as raw hook events of the second agent: 14 shapes of responses, several names of one tool, white space around commands."""
+    e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), spark, sf_dir)
+    v, w, text = F.col("event_id") % 14, F.col("event_id") % 3, escaped(F.col("text"))
+    shell = F.when(w == 0, "shell").when(w == 1, " Bash\n").otherwise("functions.exec_command")
+    tool = (
+        F.when(F.col("tool_name") == "Glob", F.when(w == 0, "mcp__x__list").otherwise("functions.list_dir")).when(F.col("tool_name") == "Read", "read_file").when(F.col("tool_name") == "Grep", F.when(w == 0, "Grep").otherwise("tools/grep"))
+        .when(F.col("tool_name") == "Edit", "apply_patch").when(F.col("tool_name") == "Bash", shell)
+    )
+    said, k = F.concat(F.lit('"'), text, F.lit('"')), F.col("k").cast("string")
+    prefixed = lambda p: F.concat(F.lit(f'"{p}'), text, F.lit('"'))
+    shapes = [
+        said, _object({"stdout": said}), _object({"output": said, "exit_code": F.lit("0")}), _object({"content": said}), _object({"stdout": said, "exit_code": F.lit("1")}), _object({"output": said, "stderr": F.lit('"x"')}), _object({"stdout": said, "interrupted": F.lit("true")}),
+        _object({"output": said, "status": F.lit('" Failed "')}), _object({"result": _object({"output": said})}), _object({"result": _object({"output": said, "success": F.lit("false")})}), prefixed("Exit code: 1\\n"), prefixed("exit code: 0\\n"),
+        _object({"output": said, "success": F.lit("true"), "exitCode": F.lit("0"), "status": F.lit('"completed"')}), F.lit("{}"),
+    ]
+    response = shapes[0]
+    for at, shape in enumerate(shapes[1:], 1):
+        response = F.when(v == at, shape).otherwise(response)
+    cat = F.col("event_type") == "error"
+    command = F.concat(F.when(cat, "cat").otherwise("make"), F.lit(" cmd-"), k)
+    asked = F.when(w == 0, F.concat(F.lit('{"command":"'), command, F.lit('\\n"}'))).otherwise(F.concat(F.lit('{"command":" ","cmd":"\\t'), command, F.lit('"}')))
+    listed = F.when(w == 0, F.lit("")).otherwise(F.concat(F.lit('{ "path" : "cmd-'), k, F.lit('", "a": 1 }')))
+    tool_input = F.when(F.col("tool_name") == "Bash", asked).otherwise(listed)
+    return e.select(*[x for x in e.columns if x not in ("text", "tool_name")], tool.alias("tool_name"), tool_input.alias("tool_input"), F.when(tool.isNotNull(), response).alias("tool_response"))
+
+
+def _content(bad):
+    """Conversations' texts as JSON strings, parts or other values, by turn."""
+    said = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"'))
+    return F.when(F.col("turn") % 5 == 3, F.concat(F.lit('[{"type":"text","text":'), said, F.lit("}]"))).when(F.col("turn") % 5 == 4, bad).otherwise(said)
+
+
+def _said(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    x = table(spark, sf_dir, "conversations").filter(F.col("conv_id") % 2 == odd)
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x09\\x0b-\\x1f]", " ")
+    return x.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "conv_id", F.col("turn").cast("bigint").alias("n"), F.col("turn").cast("bigint").alias("turn"), "role", clean.alias("text"))
+
+
+def transcript_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, n, line: even conversations as the first agent's lines; of every 7 turns one is cut short, one has a mistyped count."""
+    x = _said(spark, sf_dir, 0)
+    number = lambda v: v.cast("string")
+    usage = _object({"input_tokens": F.when(F.col("turn") % 7 == 6, '"many"').otherwise(number(F.col("turn") * 3 + 10)), "output_tokens": F.lit("9"), "cache_creation": _object({"ephemeral_5m_input_tokens": number(F.octet_length("text")), "ephemeral_1h_input_tokens": number(F.col("turn") * 7)})})
+    model = F.concat(F.lit('"'), _model(CLAUDE_MODELS, F.col("conv_id") / 2 + F.col("turn")), F.lit('"'))
+    said = F.col("role") == "assistant"
+    message = _object({"role": F.concat(F.lit('"'), "role", F.lit('"')), "model": F.when(said, model), "usage": F.when(said, usage), "content": _content(F.lit("[1, 2]"))})
+    line = _object({"type": F.concat(F.lit('"'), "role", F.lit('"')), "message": message})
+    return x.select("session_id", "n", F.when(F.col("turn") % 7 == 5, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line).alias("line"))
+
+
+def rollout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session_id, n, line: odd conversations as the second agent's lines."""
+    x = _said(spark, sf_dir, 1)
+    number = lambda v: v.cast("string")
+    total = _object({"input_tokens": F.when(F.col("turn") % 7 == 6, '"many"').otherwise(number(F.col("turn") * 1000 + F.octet_length("text"))), "cached_input_tokens": number(F.col("turn") * 600), "cache_write_input_tokens": number(F.col("turn") * 30)})
+    said = F.col("role") == "assistant"
+    model = F.concat(F.lit('"'), _model(CODEX_MODELS, (F.col("conv_id") - 1) / 2 + F.col("turn")), F.lit('"'))
+    payload = F.when(said, _object({"type": F.lit('"token_count"'), "info": _object({"total_token_usage": total})})).otherwise(_object({"type": F.lit('"message"'), "role": F.lit('"user"'), "model": model, "content": _content(F.lit('{"a": "b"}'))}))
+    return x.select("session_id", "n", _object({"type": F.when(said, '"event_msg"').otherwise('"response_item"'), "payload": payload}).alias("line"))

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajloom.functions import classify as c
+from trajloom.functions import outputs as o
 from trajloom.functions import savings as s
 from trajloom.functions import text as t
 from trajloom.functions.pricing import price_claude, price_openai
 from trajloom.operators import archive as ar
 from trajloom.operators import decide as d
 from trajloom.operators import projects as p
+from trajloom.operators import reduce as rd
 from trajloom.operators import rollup as r
 from trajloom.operators import state as st
 from trajloom.operators import usage as u
 from trajloom.plans import adapters as a
+from trajloom.sources import files
+from trajloom.streaming import usage as live
 from trajloom.streaming.reduce import reduce_stream as live_decisions
 from trajloom.streaming.reduce import slim, use_rocksdb
 
@@ -288,22 +292,173 @@ def _shared(spark):
     return f"{found.rstrip('/')}/trajloom-{uuid.uuid4().hex}"
 
 
+def _pieces(df, at, spark, folder, run):
+    """Lands df in three pieces by the column at (0, 1, 2), one after another, and runs the stream over what is new each time."""
+    for k in range(3):
+        df.filter(F.col(at) == k).drop(at).write.mode("append").parquet(folder)
+        run(spark.readStream.schema(df.drop(at).schema).parquet(folder))
+
+
+def _live(spark, sf_dir, events, codex, sink):
+    """The stream over all events, in three micro-batches with the state between them."""
+    use_rocksdb(spark)
+    folder = _shared(spark)
+    slimmed = slim(events.withColumn("seq", F.unix_micros("ts")))
+    cuts = F.broadcast(slimmed.agg(F.percentile_approx("seq", [1 / 3, 2 / 3]).alias("cuts")))  # one row
+    pieces = slimmed.crossJoin(cuts).withColumn("piece", F.when(F.col("seq") <= F.col("cuts")[0], 0).when(F.col("seq") <= F.col("cuts")[1], 1).otherwise(2)).drop("cuts")
+
+    def run(live):
+        out = live_decisions(live, codex).withColumn("agent", F.lit("codex" if codex else "claude-code"))
+        sink(out.writeStream, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    _pieces(pieces, "piece", spark, f"{folder}/events", run)
+    return f"{folder}/out"
+
+
+def _rows(writer, path):
+    return writer.format("parquet").option("path", path)
+
+
 def reduce_stream(spark, sf_dir):
-    """The first agent's decisions by the stream, over all events in one micro-batch."""
+    """The first agent's decisions by the stream."""
+    path = _live(spark, sf_dir, a.claude_events(spark, sf_dir), False, _rows)
+    return spark.read.schema("event_id bigint, action string, saved_bytes bigint").parquet(path)
+
+
+def reduce_stream_codex(spark, sf_dir):
+    """The second agent's decisions by the stream."""
+    path = _live(spark, sf_dir, a.codex_events(spark, sf_dir), True, _rows)
+    return spark.read.schema("event_id bigint, action string, saved_bytes bigint").parquet(path)
+
+
+def live_overview(spark, sf_dir):
+    """The overview from the streams' tallies of both agents."""
+    tallied = lambda writer, path: writer.foreachBatch(live.tally(path))
+    paths = [_live(spark, sf_dir, a.claude_events(spark, sf_dir, own=True), False, tallied), _live(spark, sf_dir, a.codex_events(spark, sf_dir), True, tallied)]
+    u1, u2 = (_usage(spark, sf_dir).filter(F.col("agent") == x) for x in ("claude-code", "codex"))
+    stats = live.live_stats(spark, paths[0], u1).unionByName(live.live_stats(spark, paths[1], u2))
+    return _rounded(r.overview(stats, live_projects(spark, sf_dir)), "tokens_saved", "dollars_saved")
+
+
+def live_codex_usage(spark, sf_dir):
+    """The second agent's usage from cumulative counts read in three pieces."""
     use_rocksdb(spark)
     folder = _shared(spark)
-    events = slim(a.claude_events(spark, sf_dir).withColumn("seq", F.unix_micros("ts")))
-    events.write.parquet(f"{folder}/events")
-    live = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
-    query = live_decisions(live).writeStream.format("parquet").option("path", f"{folder}/decisions").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("event_id bigint, action string, saved_bytes bigint").parquet(f"{folder}/decisions")
+    lines = a.codex_lines(spark, sf_dir).withColumn("piece", F.when(F.col("line_no") < 3, 0).when(F.col("line_no") < 6, 1).otherwise(2))
+
+    def run(stream):
+        _rows(live.live_codex_usage(stream).writeStream, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    _pieces(lines, "piece", spark, f"{folder}/lines", run)
+    steps = spark.read.schema("project_root string, session_id string, tokens bigint, cost_usd double, content_bytes bigint").parquet(f"{folder}/out")
+    return steps.groupBy(*st.SESSION).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.sum("content_bytes").alias("content_bytes"))
+
+
+def settled_sessions(spark, sf_dir):
+    """Sessions that end are read in full again; the last version of each stands."""
+    path = _shared(spark)
+    usage = _claude_usage(spark, sf_dir).withColumn("cost_usd", F.round("cost_usd", 6))
+    ends = usage.select(*st.SESSION, F.lit("SessionEnd").alias("hook_event_name"))
+    live.settle(path, lambda ended: ended.select(*st.SESSION, F.lit(-1).cast("bigint").alias("tokens"), F.lit(0.0).alias("cost_usd"), F.lit(0).cast("bigint").alias("content_bytes")))(ends, 0)
+    live.settle(path, lambda ended: ended.select(*st.SESSION).join(usage, st.SESSION))(ends, 1)
+    return files.latest_session_stats(spark, path)
+
+
+def raw_claude_normalized(spark, sf_dir):
+    """What raw events of the first agent say: class, key, text that can be changed, raw response."""
+    e = o.normalize_claude(a.raw_claude_events(spark, sf_dir))
+    return e.select("event_id", "class", "is_shell", "key", F.md5("text").alias("text_md5"), F.md5("raw_text").alias("raw_md5"))
+
+
+def raw_codex_normalized(spark, sf_dir):
+    e = o.normalize_codex(a.raw_codex_events(spark, sf_dir))
+    return e.select("event_id", "class", "is_shell", "can_rewrite", F.when(F.col("can_rewrite"), F.col("key")).alias("key"), F.md5("text").alias("text_md5"))
+
+
+def _saved(spark):
+    def save(df):
+        path = _shared(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
+def _reduce(spark, sf_dir, codex):
+    """Raw events, read back from JSON lines, reduced."""
+    raw = a.raw_codex_events(spark, sf_dir) if codex else a.raw_claude_events(spark, sf_dir)
+    path = _shared(spark)
+    raw.select(F.col("event_id").alias("seq"), "session_id", F.col("project_root").alias("cwd"), "hook_event_name", "tool_name", "tool_input", "tool_response", "agent").write.json(path)
+    events = files.read_tool_events(spark, path).withColumnsRenamed({"seq": "event_id"}).withColumn("project_root", F.col("cwd"))
+    return rd.reduce_trajectories(events, ["event_id"], codex=codex, save=_saved(spark))
+
+
+def reduced_trajectories_claude(spark, sf_dir):
+    x = _reduce(spark, sf_dir, False)
+    return x.outputs.select("event_id", "action", "content_id", F.md5("updated_output").alias("output_md5"))
+
+
+def reduced_trajectories_codex(spark, sf_dir):
+    x = _reduce(spark, sf_dir, True)
+    return x.outputs.select("event_id", "action", "content_id", F.md5("updated_output").alias("output_md5"))
+
+
+def stored_archive(spark, sf_dir):
+    """Both agents' archives of raw events, stored in two portions, the second one twice, and read back."""
+    path = _shared(spark)
+    for codex in (False, True, True):
+        files.write_archive(_reduce(spark, sf_dir, codex).archive, path)
+    return files.read_archive(spark, path).select(*ar.KEY, F.md5("content").alias("content_md5"), "n_bytes")
+
+
+def stored_stats(spark, sf_dir):
+    """Tallies of raw events stored in two portions, both twice, and read back."""
+    path = _shared(spark)
+    for codex in (False, True, False, True):
+        files.write_session_stats(_reduce(spark, sf_dir, codex).tallies, path)
+    return files.latest_session_stats(spark, path)
+
+
+def trimmed_lists(spark, sf_dir):
+    """Lines of documents as lists of short entries."""
+    entries = F.split("text", "\n")
+    x = _documents(spark, sf_dir).select("doc_id", t.trimmed_entries(entries).alias("e"))
+    return x.select("doc_id", F.size("e").cast("bigint").alias("n"), F.md5(F.array_join("e", "\n")).alias("entries_md5"))
+
+
+def _as_files(spark, df):
+    """Lines (session_id, n, line) as one text file for each session, as agents leave them."""
+    path = _shared(spark)
+    whole = df.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    whole.write.partitionBy("session_id").text(path)
+    return path
+
+
+def transcript_files(spark, sf_dir):
+    """The first agent's transcripts as JSON lines, broken and mistyped ones among them, read from files."""
+    x = a.transcript_json(spark, sf_dir)
+    lines = files.read_transcripts(spark, _as_files(spark, x))
+    return u.claude_session_usage(lines, ["session_id"]).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def rollout_files(spark, sf_dir):
+    """The second agent's rollouts likewise; contents are strings, lists of parts or something else."""
+    lines = files.read_rollouts(spark, _as_files(spark, a.rollout_json(spark, sf_dir)))
+    return u.codex_session_usage(lines, ["session_id"], ["line_no"]).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def mechanism_levels(spark, sf_dir):
+    """The breakdown of sessions, of projects and of the whole."""
+    levels = r.savings_rollup(_stats(spark, sf_dir)).withColumn("level", F.col("level").cast("bigint"))
+    df = r.mechanism_breakdown(levels, ["level", "project_root", "session_id"])
+    return df.withColumns({"percent": F.round("percent", 4), "fill": F.round("fill", 4), "place": F.col("place").cast("bigint")})
 
 
 NAMES = [
     estimated_tokens, trim_head_tail, trim_summary_by_lang, content_hash_dups, classify_commands, tool_class_counts, routed_events, epochs, investigate_counts, phase_boundary, repeat_detection,
     claude_decisions, codex_decisions, decision_counts, archive_contents, live_archive, reduced_outputs, recover_content, compaction_points, claude_usage, codex_usage, usage_deltas, model_in_force, price_lookup,
-    session_stats, sessions_worth_keeping, project_rollup, live_projects, overview, overview_texts, savings_rollup, mechanism_breakdown, sessions_newest_first, latest_agent_session, agent_status, resolve_project, fold_legacy, session_receipts, reduce_stream,
+    session_stats, sessions_worth_keeping, project_rollup, live_projects, overview, overview_texts, savings_rollup, mechanism_breakdown, sessions_newest_first, latest_agent_session, agent_status, resolve_project, fold_legacy, session_receipts, reduce_stream, reduce_stream_codex, live_overview,
+    live_codex_usage, settled_sessions, raw_claude_normalized, raw_codex_normalized, reduced_trajectories_claude, reduced_trajectories_codex, stored_archive, stored_stats, trimmed_lists, transcript_files, rollout_files, mechanism_levels,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 

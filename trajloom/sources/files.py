@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajloom.functions.savings import default_agent
-from trajloom.functions.text import project_slug
 
 EVENT = "seq BIGINT, session_id STRING, cwd STRING, hook_event_name STRING, tool_name STRING, tool_input STRING, tool_response STRING, transcript_path STRING, model STRING, turn_id STRING, tool_use_id STRING, agent_id STRING, agent_type STRING, agent STRING"
 TRANSCRIPT = "STRUCT<type: STRING, message: STRUCT<role: STRING, model: STRING, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_creation: STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>>>>"
@@ -57,9 +58,15 @@ def raw_content_bytes(lines: pd.Series) -> pd.Series:
     return lines.map(size)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines for claude_session_usage; the session is the file's name, bad lines are left out."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1).alias("session_id"))
+def _named(files: DataFrame) -> DataFrame:
+    """value and session_id: that of the directory (session_id=...) where there is one, else the file's name."""
+    own = F.col("session_id").cast("string") if "session_id" in files.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1)
+    return files.select("value", own.alias("session_id"))
+
+
+def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines for claude_session_usage; the session is the directory's (session_id=...) or the file's name, bad lines are left out."""
+    lines = _named(spark.read.text(path))
     x = lines.withColumn("x", _whole(F.col("value"), TRANSCRIPT)).filter(F.col("x.type").isNotNull())
     u = "x.message.usage"
     return x.select("session_id", F.col("x.type").alias("type"), F.col("x.message.model").alias("model"), F.col(f"{u}.input_tokens").alias("input_tokens"), F.col(f"{u}.cache_creation.ephemeral_5m_input_tokens").alias("write_5m"), F.col(f"{u}.cache_creation.ephemeral_1h_input_tokens").alias("write_1h"), F.when(F.col("x.type") == "user", raw_content_bytes("value")).alias("content_bytes"))
@@ -82,7 +89,7 @@ def _whole(value, struct: str):
 
 def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
     """Lines for codex_session_usage, numbered in their files; a file is read whole, as these are small."""
-    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1).alias("session_id"))
+    files = _named(spark.read.text(path, wholetext=True))
     lines = files.select("session_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     x = lines.withColumn("x", _whole(F.col("line"), ROLLOUT)).filter(F.col("x.type").isNotNull())
     p = F.col("x.payload")
@@ -100,19 +107,59 @@ def read_session_stats(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.regexp_replace("name", r"\.stats\.json$", "").alias("session_id"), "mtime", default_agent(F.col("x.agent")).alias("agent"), *counts)
 
 
-def write_session_stats(stats: DataFrame, path: str) -> None:
-    """One row for each (project, session); the projects written replace what was there of them."""
-    once = stats.dropDuplicates(["project_root", "session_id"]).withColumn("slug", project_slug(F.col("project_root")))
-    once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(path)
+BUCKETS = 64
+ARCHIVE_KEY = ["project_root", "session_id", "epoch", "content_id"]
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    """A bounded number of directories, whatever the number of projects and sessions."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64("project_root"), F.lit(BUCKETS)).cast("int"))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What lies at the path; None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as x:
+        if x.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def write_session_stats(stats: DataFrame, path: str, version: int | None = None) -> None:
+    """One row for each (project, session), appended as a new version (by default the time); the other rows stay."""
+    version = time.time_ns() // 1000 if version is None else version
+    once = stats.dropDuplicates(["project_root", "session_id"]).withColumn("version", F.lit(version).cast("bigint"))
+    _bucketed(once).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def latest_session_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of every session that was written."""
+    rows = _stored(spark, path)
+    own = [x for x in rows.columns if x not in ("project_root", "session_id", "version", "bucket")]
+    last = rows.groupBy("project_root", "session_id").agg(F.max(F.struct("version", *own)).alias("x"))
+    return last.select("project_root", "session_id", *[F.col(f"x.{c}").alias(c) for c in own])
+
+
+def compact_session_stats(spark: SparkSession, path: str, to: str) -> None:
+    """The last versions alone, in a new folder."""
+    write_session_stats(latest_session_stats(spark, path), to)
 
 
 def write_archive(archived: DataFrame, path: str) -> None:
-    """Content by its id; storing twice leaves one. Spread over projects, not a file for each text."""
-    once = archived.dropDuplicates(["project_root", "session_id", "epoch", "content_id"]).withColumn("slug", project_slug(F.col("project_root")))
-    once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(path)
+    """Appends the contents that are not stored yet; storing twice leaves one. Spread over projects, not a file for each text."""
+    once = archived.dropDuplicates(ARCHIVE_KEY)
+    old = _stored(archived.sparkSession, path)
+    if old is not None:
+        once = once.join(old.select(*ARCHIVE_KEY), ARCHIVE_KEY, "left_anti")
+    _bucketed(once).write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def write_reduced(reduced: DataFrame, path: str) -> None:
-    reduced.write.mode("append").parquet(path)
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Each content once, also where two writers stored it at the same time."""
+    return _stored(spark, path).drop("bucket").dropDuplicates(ARCHIVE_KEY)
 
 
+def write_reduced(reduced: DataFrame, path: str) -> None:
+    """Changed calls: their identity, action, content_id and the replacement in the response's own shape (updated_output)."""
+    reduced.write.mode("append").parquet(path)

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import make_docs, odd_texts
-from trajloom.llm import bpe, idstore, packing
+from tests.conftest import data_dir
+from trajloom.llm import bpe, idcoder, idstore, packing
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +126,43 @@ def test_repeats_shrink():
     r = np.random.default_rng(0)
     plain = len(idstore.pack_segment(docs, r.integers(0, 50_000, 200_000)))
     repeats = len(idstore.pack_segment(docs, np.tile(r.integers(0, 50_000, 50), 4000)))
-    assert plain < 2.3 * 200_000 and repeats < plain / 2
+    assert plain < 2.3 * 200_000 and repeats < plain / 12
+
+
+def test_ids_are_smaller_than_by_zlib_and_by_their_entropy(spark):
+    """On the given documents; and every order of the mixture brings something."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{data_dir('0.01')}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate(idstore.word_ids(idstore.default_tokenizer())(texts, 1)).astype(np.int64)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() * len(ids) / 8
+    size = lambda *weigh: len(idcoder.encode_block(ids, weigh))
+    zero, one, two, all_ = size(0, 0), size(1, 0), size(0, 1), size(1, 1)
+    assert all_ < 0.85 * entropy and all_ < 0.8 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+    assert all_ < one < zero and all_ < two < zero
+    assert (idcoder.decode_block(idcoder.encode_block(ids)) == ids).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 65_535) | st.sampled_from([0, 1, 65_535]), min_size=1, max_size=700))
+def test_block_round_trip(ids):
+    ids = np.array(ids, np.int64)
+    assert (idcoder.decode_block(idcoder.encode_block(ids)) == ids).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40) | st.text("ab 'stmdrevl\n\té1²<|>\0ſK", max_size=40), max_size=5))
+def test_words_equal_library(texts):
+    own = idstore.word_ids(idstore.default_tokenizer())
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in own(texts, 1)] == want
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(idstore, "MAX_WORDS", 50)
+    own = idstore.WordIds(idstore.default_tokenizer())
+    for k in range(20):
+        texts = [f"word{'x' * j} and{chr(97 + k)} other{'y' * 20}{chr(97 + j)} \u00e9t\u00e9" for j in range(9)]
+        assert [x.tolist() for x in own(texts, 1)] == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
 def test_store_and_read(spark, odd, empty):

@@ -1,18 +1,18 @@
-"""Token ids in a compressed binary format: an adaptive context-mixing range coder over independent blocks.
+"""Token ids in a compressed binary format: independent, checksummed blocks of an adaptive context-mixing range coder.
 
-A segment holds the ids of whole documents: a header, the documents' ids and lengths, then blocks of equally
-many ids. A block starts from a fresh model and has its own CRC-32, so any block is decoded alone. The
-model of a block predicts the next id by the last two ids (order 2) and by the last one (order 1); their
-confidences are mixed with a weight that follows the better of them. An id neither predicts is coded by order 0: an
-adaptive histogram of 64 ranges of ids, then the place in the range. All of it is integer arithmetic, so
-every machine decodes what any machine wrote. The blocks of a segment are coded in step, one id of
-each at a time, with numpy over all blocks.
+A segment is one file's content: a header with the documents' ids and lengths and its own CRC-32, then blocks of up to ``BLOCK``
+ids, each coded from a fresh model with its own CRC-32 (``idcoder``), so any block is decoded alone.
 
-Segments are rows of a table in the shared folder, in ascending order of documents: the text is
-sorted by range, so a partition is a run of documents, and only its number of ids is needed to place the next.
+Executors share no plain folder and Spark has no sink of binary files, so a file in the format is a row (column content) of a
+Parquet table in the shared folder, in ascending order of documents: the text is sorted by range, so a partition
+is a run of documents, and only its number of ids is needed to place the next.
+
+Texts of characters up to U+00FF are cut into words over whole batches with numpy: classes of bytes, then words as pairs of
+64-bit numbers (exact up to 16 bytes; longer words by their bytes) that are looked up in a bounded memory of words met before. Only
+new words, and texts with other characters, go through the tokenizers library.
 
 Defined cases: null or empty text has the end id alone; null doc_ids come first, equal ones are ordered by their texts' hash;
-an empty table gives no rows; ids up to 65,534; a damaged block raises an error; other columns are left out.
+an empty table gives no rows; ids up to 65,535; a damaged block raises an error; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,266 +30,201 @@ from pyspark.sql import types as T
 
 from trajloom.llm.bpe import _DIGIT, _LETTER, _SPACE
 from trajloom.llm.common import whole_text, written
+from trajloom.llm.idcoder import BLOCK, decode_block, encode_block
 
-MAGIC = b"TLID1"
-SEGMENT = 4_000_000  # ids from which a segment ends with the document
-BLOCK = 1024
-LANES = 1024
-MAX_WORDS = 300_000
-SLOTS = 10  # bits
-
-_U = np.uint64
-_TOP, _FULL = _U(1 << 32), _U((1 << 48) - 1)
-
-
-def _range_tables():
-    """Ids fall into 64 ranges, four to each power of two: range of each id, extra bits and first id of each range."""
-    v = np.arange(1, 65536)
-    e = np.floor(np.log2(v)).astype(np.int64)
-    of = e * 4 + (((v << 2) >> e) & 3)
-    k = np.maximum(np.arange(64) // 4 - 2, 0)
-    ee = np.arange(64) // 4
-    first = (1 << ee) + (((np.arange(64) & 3) << ee) >> 2) - 1
-    return of.astype(np.int64), k.astype(_U), first.astype(np.int64)
-
-
-_OF, _EXTRA, _FIRST = _range_tables()
-
-
-class Model:
-    """Predictions of ``lanes`` blocks side by side."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base, self.lane8, self.lane64 = self.lane << SLOTS, self.lane * 8, self.lane * 64
-        self.guess2, self.guess1 = (np.full(lanes << SLOTS, 65535, np.uint16) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes << SLOTS, np.int8) for _ in range(2))
-        self.rate2, self.rate1 = (np.tile((np.arange(8) * 6000 + 800), (lanes, 1)).ravel() for _ in range(2))
-        self.weight = np.full(lanes, 32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen = np.ones(lanes * 64, np.int32)
-        self.age = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        seen = self.seen.reshape(-1, 64)
-        share = 1 + seen * np.int32(4096 - 64) // seen.sum(axis=1, keepdims=True, dtype=np.int32)
-        self.cum = np.zeros((len(self.lane), 65), np.int64)
-        np.cumsum(share, axis=1, out=self.cum[:, 1:])
-        self.cum[:, 64] = 4096
-        self.flat = self.cum.ravel()
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both guesses, and the shares (of 65536) of the second order's and the first order's."""
-        mask = (1 << SLOTS) - 1
-        h1 = self.last * 2531
-        self.at1 = self.base + ((h1 >> 1) & mask)
-        self.at2 = self.base + (((h1 * 16 + self.before * 30011) >> 3) & mask)
-        g2, g1 = self.guess2[self.at2], self.guess1[self.at1]
-        self.s2, self.s1 = self.sure2[self.at2], self.sure1[self.at1]
-        self.r2, self.r1 = self.lane8 + self.s2, self.lane8 + self.s1
-        m2, m1 = self.rate2[self.r2], self.rate1[self.r1]
-        self.same = g2 == g1
-        # Where both orders agree, the weight leans to the one that has been right.
-        mixed = m2 + ((64 - self.weight) * (m1 - m2) * self.same >> 6)
-        f2 = np.minimum(np.maximum(mixed, 16), 60000)
-        f1 = np.maximum(np.minimum((65536 - f2) * (m1 >> 2) >> 14, 65500 - f2), 1)
-        f1[self.same] = 1
-        self.g2, self.g1, self.m2, self.m1 = g2, g1, m2, m1
-        return g2, g1, f2, f1
-
-    def learn(self, x: np.ndarray) -> None:
-        hit2, hit1 = self.g2 == x, self.g1 == x
-        lean = np.sign(self.m2 - self.m1) * self.same
-        self.weight = np.minimum(np.maximum(self.weight + np.where(hit2, lean, -lean), 4), 60)
-        for hit, at, r, m, s, rate, sure, guess, g in ((hit2, self.at2, self.r2, self.m2, self.s2, self.rate2, self.sure2, self.guess2, self.g2), (hit1, self.at1, self.r1, self.m1, self.s1, self.rate1, self.sure1, self.guess1, self.g1)):
-            rate[r] = m + ((hit * 59936 + 64 - m) >> 5)
-            guess[at] = np.where(s > 0, g, x)  # a hit leaves the guess as it is either way
-            sure[at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-        self.seen[self.lane64 + _OF[x]] += 24
-        self.before, self.last = self.last, x
-        self.age += 1
-        if self.age % 64 == 0 or self.age in (4, 8, 16, 32):
-            self._refresh()
-
-
-def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """ids: (blocks, ids a block), each below 65535. The words of every block."""
-    lanes, n = ids.shape
-    model, ids = Model(lanes), ids.astype(np.int64)
-    out = np.empty((lanes, 3 * n + 3), np.uint16)
-    used = np.zeros(lanes, np.int64)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-
-    def put(cum, freq, bits) -> None:
-        nonlocal low, rng
-        r = rng >> bits
-        low = low + r * cum
-        rng = r * freq
-        over = np.flatnonzero(low > _FULL)
-        if len(over):
-            low[over] &= _FULL
-            at = used[over] - 1
-            while len(over):
-                out[over, at] += 1
-                on = out[over, at] == 0
-                over, at = over[on], at[on] - 1
-        small = np.flatnonzero(rng < _TOP)
-        if len(small):
-            out[small, used[small]] = low[small] >> _U(32)
-            used[small] += 1
-            low[small] = (low[small] << _U(16)) & _FULL
-            rng[small] <<= _U(16)
-
-    lane65 = model.lane * 65
-    for t in range(n):
-        x = ids[:, t]
-        g2, g1, f2, f1 = model.predict()
-        hit2 = g2 == x
-        hit1 = (g1 == x) & ~hit2
-        rest = ~(hit2 | hit1)
-        put(np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(_U), np.where(hit2, f2, np.where(hit1, f1, 65536 - f2 - f1)).astype(_U), _U(16))
-        which = _OF[x]
-        cum = model.flat[lane65 + which]
-        put(np.where(rest, cum, 0).astype(_U), np.where(rest, model.flat[lane65 + which + 1] - cum, 4096).astype(_U), _U(12))
-        extra = np.where(rest, _EXTRA[which], _U(0))
-        put(np.where(rest, x - _FIRST[which], 0).astype(_U), np.ones(lanes, _U), extra)
-        model.learn(x)
-    for shift in (32, 16, 0):
-        out[model.lane, used] = (low >> _U(shift)).astype(np.uint16)
-        used += 1
-    return used, [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def decode_blocks(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """The ids of the blocks whose words begin at ``starts``."""
-    lanes = len(starts)
-    model = Model(lanes)
-    words = np.r_[words.astype(_U), np.zeros(4, _U)]
-    at = starts.astype(np.int64)
-    code = (words[at] << _U(32)) | (words[at + 1] << _U(16)) | words[at + 2]
-    at = at + 3
-    rng = np.full(lanes, 1 << 48, _U)
-    ids = np.zeros((lanes, n), np.int64)
-
-    def drop(r, cum, freq) -> None:
-        nonlocal code, rng
-        code = code - r * cum
-        rng = r * freq
-        small = np.flatnonzero(rng < _TOP)
-        if len(small):
-            code[small] = (code[small] << _U(16)) | words[at[small]]
-            at[small] += 1
-            rng[small] <<= _U(16)
-
-    lane65 = model.lane * 65
-    for t in range(n):
-        g2, g1, f2, f1 = model.predict()
-        r = rng >> _U(16)
-        v = np.minimum(code // r, _U(65535)).astype(np.int64)
-        hit2 = v < f2
-        hit1 = ~hit2 & (v < f2 + f1)
-        rest = ~(hit2 | hit1)
-        drop(r, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(_U), np.where(hit2, f2, np.where(hit1, f1, 65536 - f2 - f1)).astype(_U))
-        r = rng >> _U(12)
-        v = np.minimum(code // r, _U(4095)).astype(np.int64)
-        which = np.zeros(lanes, np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            which += np.where(model.flat[lane65 + which + half] <= v, half, 0)
-        cum = model.flat[lane65 + which]
-        drop(r, np.where(rest, cum, 0).astype(_U), np.where(rest, model.flat[lane65 + which + 1] - cum, 4096).astype(_U))
-        extra = np.where(rest, _EXTRA[which], _U(0))
-        r = rng >> extra
-        v = np.minimum(code // r, (_U(1) << extra) - _U(1))
-        drop(r, v, np.ones(lanes, _U))
-        x = np.where(hit2, g2, np.where(hit1, g1, _FIRST[which] + v.astype(np.int64)))
-        ids[:, t] = x
-        model.learn(x)
-    return ids
+MAGIC = b"TLID2"
+SEGMENT = 2 * BLOCK  # ids from which a segment ends with the document
+MAX_WORDS = 500_000
 
 
 def pack_segment(docs: pa.Table, ids: np.ndarray) -> bytes:
     """docs: doc_id, n_tokens; ids: of all of them, one after another."""
-    if len(ids) and int(ids.max()) >= 65535:
-        raise ValueError("ids must be below 65535")
-    n = len(ids)
-    block = int(min(BLOCK, max(64, -(-n // LANES))))
-    lanes = max(1, -(-n // block))
-    padded = np.zeros(lanes * block, np.int64)
-    padded[:n] = ids
-    used, blocks = encode_blocks(padded.reshape(lanes, block))
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
+        raise ValueError("ids must be below 65,536")
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as w:
         w.write_table(docs)
-    table = sink.getvalue().to_pybytes()
-    checks = np.array([zlib.crc32(b) for b in blocks], dtype="<u4")
-    head = struct.pack("<QIII", n, block, lanes, len(table)) + used.astype("<u4").tobytes() + checks.tobytes() + table
-    return MAGIC + struct.pack("<I", zlib.crc32(head)) + head + b"".join(blocks)
+    table = zlib.compress(sink.getvalue().to_pybytes(), 6)
+    blocks = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+    head = struct.pack("<II", len(table), len(blocks)) + np.array([len(b) for b in blocks], "<u4").tobytes() + table
+    return MAGIC + struct.pack("<II", zlib.crc32(head), len(head)) + head + b"".join(blocks)
 
 
 def read_segment(data: bytes) -> tuple[pa.Table, np.ndarray]:
     if data[:5] != MAGIC:
         raise ValueError("not a segment of ids")
-    (check,) = struct.unpack_from("<I", data, 5)
-    n, block, lanes, size = struct.unpack_from("<QIII", data, 9)
-    at = 9 + struct.calcsize("<QIII")
-    used = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
-    checks = np.frombuffer(data, "<u4", lanes, at + 4 * lanes)
-    table_at = at + 8 * lanes
-    body = table_at + size
-    if zlib.crc32(memoryview(data)[9:body]) != check:
+    check, size = struct.unpack_from("<II", data, 5)
+    head = data[13 : 13 + size]
+    if zlib.crc32(head) != check:
         raise ValueError("a segment's header is damaged")
-    starts = np.r_[0, np.cumsum(used)[:-1]]
-    view = memoryview(data)[body:]
-    for k in range(lanes):
-        if zlib.crc32(view[2 * starts[k] : 2 * (starts[k] + used[k])]) != checks[k]:
-            raise ValueError(f"block {k} is damaged")
-    ids = decode_blocks(np.frombuffer(view, "<u2"), starts, block).ravel()[:n]
-    return pa.ipc.open_stream(pa.py_buffer(data[table_at:body])).read_all(), ids
-
-
-# Words of the lower-casing tokenizer in texts of characters up to U+00FF; white space is dropped.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+    n, count = struct.unpack_from("<II", head)
+    ends = 13 + size + np.r_[0, np.cumsum(np.frombuffer(head, "<u4", count, 8).astype(np.int64))]
+    ids = [decode_block(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    table = pa.ipc.open_stream(pa.py_buffer(zlib.decompress(head[8 + 4 * count :]))).read_all()
+    return table, np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
+
+def _classes() -> np.ndarray:
+    """Of each Latin-1 byte: 0 white space, 1 letter, 2 digit, 3 other."""
+    kind = lambda c: 0 if re.match(f"[{_SPACE}]", c) else 1 if re.match(f"[{_LETTER}]", c) else 2 if re.match(f"[{_DIGIT}]", c) else 3
+    return np.array([kind(chr(k)) for k in range(256)], np.uint8)
+
+
+_CLASS = _classes()
+_PAD = b" " * 24
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+# What follows an apostrophe as a word of its own, one letter or two.
+_ONE_LETTER, _TWO_LETTERS = b"stmd", [b"re", b"ve", b"ll"]
+_SLOT_BITS = 20
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in lower-cased Latin-1 text that ends with white space: runs of letters, single digits, runs of others, and endings after an apostrophe."""
+    kind = _CLASS.take(data)
+    edge = np.empty(len(data), bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge |= kind == 2
+    starts = np.flatnonzero(edge)
+    ends = np.r_[starts[1:], len(data)]
+    # An apostrophe that is a run by itself takes its ending from the letters behind it.
+    quote = np.flatnonzero((data.take(starts) == 39) & (ends - starts == 1) & (kind.take(np.minimum(ends, len(data) - 1)) == 1))
+    if len(quote):
+        one, two = data.take(ends[quote]), data.take(ends[quote] + 1)
+        size = np.isin(one, np.frombuffer(_ONE_LETTER, np.uint8)).astype(np.int64)
+        for x in _TWO_LETTERS:
+            size[(one == x[0]) & (two == x[1])] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        ends[quote] += size
+        starts[quote + 1] += size
+    some = (kind.take(np.minimum(starts, len(data) - 1)) != 0) & (ends > starts)
+    return starts[some], ends[some]
 
 
 class WordIds:
-    """Ids by the tokenizer file, word by word: words met before are kept, ``MAX_WORDS`` at most. Texts with other characters go to the library whole."""
+    """Ids by the tokenizer file, word by word: words met before are kept, ``MAX_WORDS`` at most."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        found: list[list[str] | None] = []
-        new: set[str] = set()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        known = self.words
-        for t in texts:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key0, self.key1 = (np.zeros(1 << _SLOT_BITS, np.uint64) for _ in range(2))
+        self.at = np.full(1 << _SLOT_BITS, -1, np.int64)
+        self.long: dict[bytes, int] = {}
+        self.n = 0
+        self.first, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.n_ids = 0
+
+    def _slots(self, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+        h = k0 * np.uint64(0x9E3779B97F4A7C15) ^ (k1 + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _find(self, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+        """Numbers of known words, -1 for new ones."""
+        slot = self._slots(k0, k1)
+        number = self.at.take(slot)
+        wrong = np.flatnonzero((number >= 0) & ((self.key0.take(slot) != k0) | (self.key1.take(slot) != k1)))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << _SLOT_BITS) - 1)
+            s = slot[wrong]
+            number[wrong] = self.at[s]
+            wrong = wrong[(self.at[s] >= 0) & ((self.key0[s] != k0[wrong]) | (self.key1[s] != k1[wrong]))]
+        return number
+
+    def _insert(self, k0: np.ndarray, k1: np.ndarray, own: np.ndarray) -> None:
+        slot, left = self._slots(k0, k1), np.arange(len(own))
+        while len(left):
+            s = slot[left]
+            free = self.at[s] < 0
+            self.at[s[free]] = own[left[free]]  # of several for one slot the last stays
+            done = free & (self.at[s] == own[left])
+            self.key0[s[done]], self.key1[s[done]] = k0[left[done]], k1[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & ((1 << _SLOT_BITS) - 1)
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of new words, whose ids come from the library, many in a call: blanks keep them apart, and each token tells its word."""
+        numbers = np.arange(self.n, self.n + len(words))
+        ids, count = [], np.zeros(len(words), np.int64)
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            found = self.tokenizer.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False)
+            own = np.array(found.word_ids, np.int64)
+            ids.append(np.array(found.ids, np.int32))
+            count[at : at + len(part)] = np.bincount(own, minlength=len(part))
+        ids = np.concatenate(ids)
+        grown = lambda a, n: np.r_[a, np.zeros(max(n - len(a), len(a)), a.dtype)] if n > len(a) else a
+        self.first, self.count, self.ids = grown(self.first, self.n + len(words)), grown(self.count, self.n + len(words)), grown(self.ids, self.n_ids + len(ids))
+        self.first[numbers], self.count[numbers] = self.n_ids + np.cumsum(count) - count, count
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n, self.n_ids = self.n + len(words), self.n_ids + len(ids)
+        return numbers
+
+    def _latin(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """texts: lower-cased Latin-1 without zero bytes."""
+        if self.n > MAX_WORDS:
+            self._clear()
+        joined = b"\n".join(texts) + _PAD
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = word_bounds(data)
+        size = ends - starts
+        eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+        k0 = eight[starts] & _MASK.take(np.minimum(size, 8))
+        k1 = np.zeros(len(starts), np.uint64)
+        more = np.flatnonzero(size > 8)
+        k1[more] = eight[starts[more] + 8] & _MASK.take(np.minimum(size[more] - 8, 8))
+        number = self._find(k0, k1)
+        long = np.flatnonzero(size > 16)
+        number[long] = [self.long.get(joined[a:b], -1) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        new = np.flatnonzero(number < 0)
+        short = new[size[new] <= 16]
+        if len(short):
+            order = short[np.lexsort((k1[short], k0[short]))]
+            first = np.r_[True, (k0[order][1:] != k0[order][:-1]) | (k1[order][1:] != k1[order][:-1])]
+            once = order[first]
+            own = self._learn([joined[a:b] for a, b in zip(starts[once].tolist(), ends[once].tolist())])
+            self._insert(k0[once], k1[once], own)
+            number[order] = own[np.cumsum(first) - 1]
+        long = new[size[new] > 16]
+        if len(long):
+            words = [joined[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            once = list(dict.fromkeys(words))
+            self.long.update(zip(once, self._learn(once).tolist()))
+            number[long] = [self.long[w] for w in words]
+        count = self.count.take(number)
+        cuts = np.cumsum([len(t) + 1 for t in texts])
+        of = np.searchsorted(cuts, starts, "right")
+        total = int(count.sum())
+        place = np.cumsum(count) - count
+        from_ = np.repeat(self.first.take(number) - place, count) + np.arange(total)
+        out = np.full(total + len(texts), end_id, np.int32)
+        out[np.arange(total) + np.repeat(of, count)] = self.ids.take(from_)
+        n = np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64) + 1
+        return np.split(out, np.cumsum(n)[:-1])
+
+    def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, numbers = [], []
+        for k, t in enumerate(texts):
             try:
                 t.encode("latin-1")
             except UnicodeEncodeError:
-                found.append(None)
+                out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32)
+                continue
+            if "\0" in t:
+                out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, end_id], np.int32)
                 continue
-            words = _WORDS.findall(t.lower())
-            new.update(w for w in words if w not in known)
-            found.append(words)
-        if new:
-            some = list(new)
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[w] = e.ids
-        out = []
-        for t, words in zip(texts, found):
-            if words is None:
-                out.append(self.tokenizer.encode(t, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for w in words:
-                    ids += known[w]
-                out.append(ids)
+            plain.append(t.lower().encode("latin-1"))
+            numbers.append(k)
+        if plain:
+            for k, own in zip(numbers, self._latin(plain, end_id)):
+                out[k] = own
         return out
 
 
@@ -328,9 +263,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
             for at in range(0, b.num_rows, 256):
                 texts = b.column(2).slice(at, 256).to_pylist()
                 done = 0
-                for k, own in enumerate(encode(texts)):
-                    own.append(end_id)
-                    ids.append(np.array(own, dtype=np.int32))
+                for k, own in enumerate(encode(texts, end_id)):
+                    ids.append(own)
                     lengths.append(len(own))
                     held += len(own)
                     if held >= SEGMENT:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajloom.llm.common import hash_sample
+
 SAMPLE = 60
 PAGES = 240
 
@@ -287,11 +289,7 @@ def labelled_pages(sentences: list[str], count: int = PAGES, seed: int = 5) -> l
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Chain:
     """A chain trained on labelled pages with sentences of at most ``sample`` pages (column html), 4,000 characters of each."""
-    # Thinned by hash to a few times the sample first, so that what the tasks send for the sample doesn't grow with them.
-    thin = max(1, pages.count() // (4 * sample))
-    hashed = pages.select("html", F.xxhash64("html").alias("h")).filter(F.pmod("h", F.lit(thin)) == 0)
-    rows = hashed.groupBy("h").agg(F.min(F.substring("html", 1, 4000)).alias("x")).orderBy("h").limit(sample).collect()
-    sentences = [b.text for r in rows for b in blocks(r["x"]) if b.link == 0] or ["Some text."]
+    sentences = [b.text for x in hash_sample(pages.select(F.substring("html", 1, 4000)), sample) for b in blocks(x) if b.link == 0] or ["Some text."]
     chain = Chain()
     chain.learn(labelled_pages(sentences))
     return chain

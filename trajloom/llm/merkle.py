@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections of each text.
 
-Paragraphs are the lines of a text, sections eight paragraphs in a row; a paragraph's leaves are its
-pieces of ``LEAF`` code points. A node's digest is a 64-bit hash of its children's digests in order (a
-leaf's, of its text), tagged by level; the root is SHA-256 of the whole text, so equal texts, and only
-those, have equal roots. The fingerprint is ``root:leaves:paragraphs:sections``, the digests of each level
-in order in hexadecimal (eight digits each), enough to walk down differing branches.
+Paragraphs are the lines of a text; a paragraph's leaves are its sentences, cut at ``LEAF`` code points. Sections are
+cut by content: one ends behind a paragraph whose digest ends in 0 or 8, so eight paragraphs on average, and a line put in
+changes its own section alone. Every digest is SHA-256, of a leaf's text or of the children's whole digests in order, tagged by level; the
+root is that of the sections. Equal texts have equal roots, others differ but for a collision of SHA-256. The fingerprint is
+``root:leaves:paragraphs:sections``: the whole root, then the first 16 digits of the digests of each level in order, enough to walk
+down differing branches.
 
 Likeness of two fingerprints is 1 where the roots are equal, else 2|A and B| / (|A|+|B|) over their sets of
 nodes, each root one node more: an edit changes only the nodes above it.
@@ -25,30 +26,35 @@ from pyspark.sql import functions as F
 
 from trajloom.llm.common import whole_text, written
 
-LEAF = 64
-SECTION = 8
+LEAF = 256
+#: Sentences with the marks that end them; marks alone; nothing is left out.
+_SENTENCE = f"(?s)[^.!?]{{1,{LEAF}}}[.!?]{{0,3}}|[.!?]{{1,{LEAF}}}"
+_SHORT = 16
 
 
-def _hex8(h: Column) -> Column:
-    return F.lpad(F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")
+def _digest(level: str, text: Column) -> Column:
+    return F.sha2(F.concat(F.lit(level), text).cast("binary"), 256)
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds {prefix}fingerprint and {prefix}nodes (the distinct digests of all levels, without the root)."""
+    """Adds {prefix}fingerprint and {prefix}nodes (the distinct digests of all levels but the root, as 64-bit numbers)."""
     p = lambda n: f"{prefix}{n}"
     df = df.withColumn(p("paras"), F.split(F.col(text), "\n"))
-    # (?s).{1,64} in order, and '' for an empty paragraph: each paragraph as the array of its leaves' digests.
-    leaf = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0)), lambda y: F.xxhash64(F.lit("leaf"), y))
+    leaf = lambda x: F.transform(F.regexp_extract_all(x, F.lit(_SENTENCE), F.lit(0)), lambda y: _digest("leaf", y))
     df = df.withColumn(p("leaves"), F.transform(F.col(p("paras")), leaf))
-    df = df.withColumn(p("digests"), F.transform(F.col(p("leaves")), lambda x: F.xxhash64(F.lit("paragraph"), x)))
-    starts = F.sequence(F.lit(1), F.size(p("digests")), F.lit(SECTION))
-    df = df.withColumn(p("sections"), F.transform(starts, lambda i: F.xxhash64(F.lit("section"), F.slice(F.col(p("digests")), i, SECTION))))
+    df = df.withColumn(p("digests"), F.transform(F.col(p("leaves")), lambda x: _digest("paragraph", F.array_join(x, ""))))
+    # Places of the paragraphs that end a section; the last one ends the last.
+    marked = F.transform(F.col(p("digests")), lambda x, i: F.when(F.substring(x, 64, 1).isin("0", "8"), i + 1))
+    df = df.withColumn(p("ends"), F.array_distinct(F.concat(F.filter(marked, lambda x: x.isNotNull()), F.array(F.size(p("digests"))))))
+    df = df.withColumn(p("starts"), F.concat(F.array(F.lit(1)), F.transform(F.slice(p("ends"), 1, F.size(p("ends")) - 1), lambda x: x + 1)))
+    section = lambda a, b: _digest("section", F.array_join(F.slice(F.col(p("digests")), a, b - a + 1), ""))
+    df = df.withColumn(p("sections"), F.zip_with(p("starts"), p("ends"), section))
     levels = [F.flatten(p("leaves")), F.col(p("digests")), F.col(p("sections"))]
-    parts = [F.array_join(F.transform(x, _hex8), "") for x in levels]
+    parts = [F.array_join(F.transform(x, lambda d: F.substring(d, 1, _SHORT)), "") for x in levels]
     return df.withColumns({
-        p("fingerprint"): F.concat_ws(":", F.sha2(F.col(text).cast("binary"), 256), *parts),
-        p("nodes"): F.array_distinct(F.concat(*levels)),
-    }).drop(p("paras"), p("leaves"), p("digests"), p("sections"))
+        p("fingerprint"): F.concat_ws(":", _digest("root", F.array_join(p("sections"), "")), *parts),
+        p("nodes"): F.array_distinct(F.transform(F.concat(*levels), lambda d: F.xxhash64(d))),
+    }).drop(*map(p, ("paras", "leaves", "digests", "ends", "starts", "sections")))
 
 
 def likeness(a: Column, b: Column, nodes_a: Column, nodes_b: Column) -> Column:

@@ -2,13 +2,15 @@
 
 Base spans (email, ip, card, phone) are leftmost and non-overlapping within a kind, found in linear time.
 The field works on atoms (cores of white-space pieces, and the punctuation around them). A candidate segment
-has at most ``MAX_ATOMS`` atoms, at most ``MAX_CHARS`` characters and a digit or an @; other atoms are
-outside. Whole-span features score it for each kind; dynamic programming over segment ends chooses
+has at most ``MAX_ATOMS`` atoms and a digit or an @, and if it has several atoms at most ``MAX_CHARS`` characters; a single atom
+may be of any length, and windows end at white space, so no span is cut. Other atoms are outside. Whole-span features score it for each kind; dynamic programming over segment ends chooses
 boundaries and kinds together. Text without a digit or @ near can't hold a segment and is skipped, exactly.
 
-It is trained here by maximum likelihood (forward-backward) on windows that the fixed patterns, and a pattern
-for assigned secrets, label: a bounded sample of ``SAMPLE`` windows, smallest hash first, over all documents. Added
-spans never overlap base ones.
+It is trained here by maximum likelihood (forward-backward) on a bounded sample of ``SAMPLE`` windows, smallest hash first, over
+all documents, and on as many made from them: in the made ones numbers that people are known by (social security, passport,
+account), secrets and spellings of the base kinds stand behind words that announce them or behind other words, and the makers' labels,
+not the patterns, say what they are. Sampled windows are labelled by the fixed patterns and a pattern for assigned secrets.
+Beside the patterns' verdicts, features are shapes, and the words in front. Added spans never overlap base ones.
 
 Defined cases: null or empty text has no spans; repeated rows give repeated results; a table without
 any window leaves the field untrained and adds nothing; other columns are left out.
@@ -29,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajloom.llm.common import whole_text
+from trajloom.llm.common import hash_sample, whole_text
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "id"]
 BASE = KINDS[:4]
 SAMPLE = 300
 MAX_ATOMS = 8
@@ -43,10 +45,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{16,64}")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{16,}")
 _TRIGGER = re.compile(r"[0-9@]")
 _PIECE = re.compile(r"\S+")
-_CORE = re.compile(r"[\"'(\[{<]*(.*?)[.,;:!?)\"'\]}>|*#$%&]*$", re.S)
+_SPACE = re.compile(r"\s")
+_WORD = re.compile(r"[A-Za-z]+")
+_OPENING, _CLOSING = "\"'([{<", ".,;:!?)\"']}>|*#$%&"
 
 
 def luhn(digits: str) -> bool:
@@ -96,25 +100,41 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around digits and @, apart from one another, cut at white space where there is some near."""
+    """Stretches of text around digits and @, apart from one another, each widened to white space on both sides."""
     start = end = -1
     for m in _TRIGGER.finditer(text):
+        if m.end() + NEAR <= end:
+            continue
         a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
         if a > end:
             if end >= 0:
                 yield start, end
-            start = a
-        end = b
+            start = end = max(end + 1, _back(text, a, end + 1))
+        if b > end:
+            space = _SPACE.search(text, b)
+            end = space.start() if space else len(text)
     if end >= 0:
         yield start, end
 
 
+def _back(text: str, at: int, stop: int) -> int:
+    """The start of the piece that ``at`` is in, not before ``stop``."""
+    while at > stop:
+        part = text[max(stop, at - 256) : at]
+        spaces = [m.end() for m in _SPACE.finditer(part)]
+        if spaces:
+            return at - len(part) + spaces[-1]
+        at -= len(part)
+    return at
+
+
 def atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Cores of the pieces and the punctuation on either side of them; first and last pieces may be cut."""
+    """Cores of the pieces and the punctuation on either side of them."""
     out = []
     for m in _PIECE.finditer(text, start, end):
-        core = _CORE.match(m.group())
-        a, b = m.start() + core.start(1), m.start() + core.end(1)
+        piece = m.group()
+        a = m.start() + len(piece) - len(piece.lstrip(_OPENING))
+        b = a + len(text[a : m.end()].rstrip(_CLOSING))
         out += [(x, y) for x, y in ((m.start(), a), (a, b), (b, m.end())) if x < y]
     return out
 
@@ -142,6 +162,10 @@ def features(text: str, a: int, b: int, n_atoms: int) -> list[str]:
         out.append("key-named" if _KEYWORD.match(s) else "key")
     elif _KEYWORD.match(s):
         out.append("named")
+    if len(s) <= 40:
+        shape = re.sub(r"([A9a])\1+", r"\1+", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s))
+        out += [f"shape:{shape}", f"size:{len(s) // 2}"]
+    out += [f"before:{w.lower()}" for w in _WORD.findall(text, max(0, a - 28), a)[-3:] if len(w) > 1]
     if a and not text[a - 1].isspace():
         out.append("glued")
     if b < len(text) and (text[b].isalnum() or text[b] in "@-"):
@@ -155,7 +179,7 @@ def segments(text: str, where: list[tuple[int, int]]) -> list[list[tuple[int, li
     for i in range(len(where)):
         for j in range(i + 1, min(len(where), i + MAX_ATOMS) + 1):
             a, b = where[i][0], where[j - 1][1]
-            if b - a > MAX_CHARS:
+            if b - a > MAX_CHARS and j > i + 1:
                 break
             if _TRIGGER.search(text, a, b):
                 out[j].append((i, features(text, a, b, j - i)))
@@ -163,7 +187,7 @@ def segments(text: str, where: list[tuple[int, int]]) -> list[list[tuple[int, li
 
 
 class Field:
-    """Weights by (kind, feature); outside atoms score 0, entities next to each other pay ``meet``."""
+    """Weights by (kind, feature); outside atoms score 0."""
 
     def __init__(self, weights: dict[str, dict[str, float]] | None = None):
         self.w = weights or {k: {} for k in KINDS}
@@ -231,39 +255,85 @@ def _sum_exp(xs: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in xs))
 
 
+# Words that announce a kind.
+_ANNOUNCED = {
+    "id": ["SSN", "social security number", "passport number", "passport no", "IBAN", "account number", "tax id", "national id", "driver license", "insurance number"],
+    "secret": ["token =", "secret:", "password =", "api_key =", "key:", "passwd:", "access token", "credential ="],
+    "card": ["card", "credit card number", "visa", "paid with"],
+    "phone": ["phone", "call", "tel", "mobile", "fax"],
+    "email": ["mail", "contact", "write to"],
+    "ip": ["host", "server", "address"],
+}
+_PLAIN = ["page", "order", "line", "section", "version", "in", "of", "about", "number", "item", "year", "room", "step", "chapter", "total", "build"]
+
+
+def _made(r: random.Random, kind: str) -> str:
+    """A value of the kind; of none: a number that is nobody's."""
+    digits = lambda n: "".join(r.choice(string.digits) for _ in range(n))
+    upper = lambda n: "".join(r.choice(string.ascii_uppercase) for _ in range(n))
+    if kind == "id":
+        return r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{upper(1)}{digits(8)}", f"{upper(2)}{digits(7)}", f"{upper(2)}{digits(2)} " + " ".join(digits(4) for _ in range(4)) + f" {digits(2)}", f"{upper(2)}{digits(20)}", digits(9)])
+    if kind == "secret":
+        names = string.ascii_letters + string.digits
+        return r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), "".join(r.choice(names + "_-") for _ in range(r.randint(20, 90))) + digits(1)])
+    if kind == "card":
+        body = digits(15)
+        whole = next(body + c for c in string.digits if luhn(body + c))
+        return r.choice([whole, "-".join(whole[k : k + 4] for k in (0, 4, 8, 12)), " ".join(whole[k : k + 4] for k in (0, 4, 8, 12))])
+    if kind == "phone":
+        return r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(11)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+    if kind == "email":
+        word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(2, 8)))
+        return f"{word()}.{word()}@{word()}.{r.choice(['com', 'org', 'net'])}"
+    if kind == "ip":
+        return ".".join(str(r.randrange(256)) for _ in range(4))
+    return r.choice([digits(r.randint(1, 6)), f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(2)},{digits(3)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{upper(1)}{digits(2)}", f"{digits(2)}%", f"{digits(9)}", f"{digits(3)}-{digits(3)}"])
+
+
+def made_windows(texts: list[str], count: int, seed: int) -> list[tuple[str, list[tuple[int, str, int]]]]:
+    """count labelled windows: words of the texts around announced values, and plain numbers among them."""
+    r = random.Random(seed)
+    words = [w for x in texts for w in x.split() if not _TRIGGER.search(w)] or ["some", "text"]
+    out = []
+    for _ in range(count):
+        kind = r.choice([*_ANNOUNCED, "id", "secret", "", "", ""])
+        before = " ".join(r.choice(words) for _ in range(r.randint(1, 5)))
+        said = r.choice(_ANNOUNCED[kind]) if kind else r.choice(_PLAIN)
+        value = _made(r, kind)
+        joint = r.choice([" ", ": ", " is "]) if said[-1] not in "=:" else " "
+        quote = '"' if kind == "secret" and r.random() < 0.4 else ""
+        start = f"{before} {said}{joint}{quote}"
+        text = start + value + quote + r.choice(["", ".", ","]) + " " + " ".join(r.choice(words) for _ in range(r.randint(1, 5)))
+        out.append((text, [(len(start), kind, len(start) + len(value))] if kind else []))
+    return out
+
+
+def _labelled(text: str) -> list[tuple[int, str, int]]:
+    """What the fixed patterns and that of assigned secrets find."""
+    spans, end = [], 0
+    for a, kind, b in sorted(base_spans(text) + [(m.start(), "secret", m.end()) for m in _SECRET.finditer(text)]):
+        if a >= end:
+            spans.append((a, kind, b))
+            end = b
+    return spans
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` windows of docs (column text), those whose text has the smallest hash; alike windows once."""
+    """A field from at most ``sample`` windows of docs (column text), those of the smallest hash, alike ones once, and from twice as many made ones."""
     def run(batches):
         for b in batches:
             out = []
             for t in b.column(0):
                 text = t.as_py()
                 if _TRIGGER.search(text):
-                    for a, z in windows(text):
-                        if z - a <= 400:
-                            while a and not text[a - 1].isspace():
-                                a -= 1
-                            while z < len(text) and not text[z].isspace():
-                                z += 1
-                            if z - a <= 600:
-                                out.append(text[a:z])
+                    out += [text[a:z] for a, z in windows(text) if z - a <= 600]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
-    # Thinned by hash first, so that what the tasks send for the sample doesn't grow with their number.
-    thin = max(1, docs.count() // (8 * sample))
-    found = docs.mapInArrow(run, "w string").select("w", F.xxhash64("w").alias("h")).filter(F.pmod("h", F.lit(thin)) == 0)
-    found = found.groupBy("h").agg(F.min("w").alias("w")).orderBy("h").limit(sample)
-    examples = []
-    for r in found.collect():
-        text = r["w"]
-        spans, end = [], 0
-        for a, kind, b in sorted(base_spans(text) + [(m.start(), "secret", m.end()) for m in _SECRET.finditer(text)]):
-            if a >= end:
-                spans.append((a, kind, b))
-                end = b
-        examples.append((text, spans))
+    texts = hash_sample(docs.mapInArrow(run, "w string"), sample)
+    if not texts:
+        return Field()
     field = Field()
-    field.learn(examples)
+    field.learn([(x, _labelled(x)) for x in texts] + made_windows(texts, 2 * sample, 3))
     return field
 
 
@@ -288,11 +358,11 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def pii_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all spans)."""
     docs = whole_text(docs, "doc_id")
     field = field or train(docs.select("text"))
     counts = [f"n_{k}" for k in BASE]
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
 
     def run(batches):
         for b in batches:
@@ -300,8 +370,8 @@ def pii_report(docs: DataFrame, field: Field | None = None) -> DataFrame:
             for t in b.column(1):
                 base, every = find(t.as_py(), field)
                 kinds = [k for _, k, _ in base]
-                out.append((*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64() if i < 4 else pa.string()) for i in range(6))], schema.names)
+                out.append((*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.string() if i in (4, 5) else pa.int64()) for i in range(7))], schema.names)
 
     return docs.mapInArrow(run, schema)
 

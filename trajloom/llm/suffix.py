@@ -19,7 +19,7 @@ Strings are judged on the input; matches never cross texts. A repeat inside one
 ``cut_texts`` can also judge passages of words: a text's words (runs without ASCII white space) become codes of ``CODE``
 bytes, the same steps find the repeated strings of so many codes, and only those that start at a word count. Then a passage
 counts whatever its length in bytes and white space. Codes are hashes, so two passages count as one where their words differ
-only in words of equal 48-bit hashes. Both rules see the input, and what either finds goes.
+only in words of equal 32-bit hashes. Both rules see the input, and what either finds goes.
 
 Defined cases: null or empty text is kept as empty; texts under ``LENGTH`` bytes stay whole; rows that repeat a
 document are documents of their own; a null doc_id takes part; very long texts are
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajloom.llm.common import whole_text, written
+from trajloom.llm.common import scratch, whole_text, written
 
 LENGTH = 400
 GRAM = 100
@@ -48,13 +48,15 @@ SPLIT = 256
 STARTS = 8
 SLAB = 1 << 18
 CHUNK = 1 << 21
-CODE = 6
+CODE = 4
+WORDS = 51
 CODE_GRAM = 10 * CODE
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 24) - 1)
+_INSIDE = np.array([0 if k in b" \t\n\x0b\x0c\r" else 1 for k in range(256)], np.int8)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -161,8 +163,16 @@ def _utf8(text: str) -> bytes:
 
 def word_codes(text: str) -> bytes:
     """The codes of the text's words, end to end."""
-    digest = xxhash.xxh64_digest
-    return b"".join([digest(w)[:CODE] for w in text.encode("utf-8").split()])
+    data = np.frombuffer(text.encode("utf-8") + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(_INSIDE.take(data), prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _power(1 << max(10, len(data).bit_length()))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return (h >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
@@ -272,7 +282,7 @@ def _refined(members: DataFrame, length: int) -> DataFrame:
     return members.select(keep).repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
 
-def _counted(members: DataFrame, length: int) -> DataFrame:
+def _counted(members: DataFrame, length: int, written) -> DataFrame:
     """The same for buckets of any size, by counts alone: first of blocks of ``STARTS`` starts, then of the single starts of blocks that stand once."""
     key = ["h", "offset", "member"]
     kinds = written(members.groupBy(*key).agg(F.sum(F.size("begins")).alias("n"), F.first("starts").alias("starts"), F.first("data").alias("data")))
@@ -321,11 +331,16 @@ def _joined_spans(spans):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, *, code=_utf8) -> DataFrame:
     """(doc_id, text_hash, ranges): of every text with repeats, the ranges (first, last) of repeated starts in its code, sorted. docs: doc_id, text."""
+    with scratch(docs.sparkSession) as keep:
+        return written(_spans(docs, length, gram, split, code, keep))
+
+
+def _spans(docs: DataFrame, length: int, gram: int, split: int, code, written) -> DataFrame:
     grams = written(_grams(docs, length, gram, code))
     often = grams.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("h", (F.col("n") > split).alias("hot"))
     wanted = grams.select("doc_id", "text_hash", "h").join(often, "h").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h", "hot")).alias("grams"))
     members = written(_members(docs, wanted, length, gram, code))
-    found = _refined(members.filter(~F.col("hot")), length).unionByName(_counted(members.filter("hot"), length))
+    found = _refined(members.filter(~F.col("hot")), length).unionByName(_counted(members.filter("hot"), length, written))
     ranges = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
     return ranges
 
@@ -358,25 +373,48 @@ def _kept(text: str, ranges, length: int) -> tuple[bytes, list[tuple[int, int]]]
     return b"".join(out), spans
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removal_report(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and n_passage_bytes, the bytes in passages of so many words that start twice or more."""
     docs = whole_text(docs, "doc_id")
-    both = _with_ranges(docs.withColumn("__x_hash", F.xxhash64("text")), repeated_spans(docs, length))
-    schema = T.StructType([_id_field(docs), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    both = _with_ranges(docs.withColumn("__x_hash", F.xxhash64("text")), _ranges_of_both(docs, length, words))
+    counts = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
+    schema = T.StructType([_id_field(docs), *(T.StructField(n, T.StringType() if n == "kept_sha256" else T.LongType()) for n in counts)])
 
     def run(batches):
         for b in batches:
             out = []
             for text, ranges in zip(b.column(1), b.column(2)):
                 text = text.as_py()
-                kept, spans = _kept(text, ranges.as_py(), length)
-                n = len(text.encode("utf-8"))
-                out.append((n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(4))], schema.names)
+                own = ranges.as_py() or {"bytes": None, "words": None}
+                kept, spans = _kept(text, own["bytes"], length)
+                data = text.encode("utf-8")
+                passages = sum(z - a for a, z in _joined(_word_spans(data, own["words"] or [], words)))
+                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), passages))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(5))], schema.names)
 
     return both.select("doc_id", "text", "__x_ranges").mapInArrow(run, schema)
 
 
+def _ranges_of_both(docs: DataFrame, length: int, words: int | None) -> DataFrame:
+    """(doc_id, text_hash, ranges (bytes, words)) of the texts with repeats by either rule."""
+    found = repeated_spans(docs, length).withColumn("unit", F.lit("bytes"))
+    if words:
+        found = found.unionByName(repeated_spans(docs, words * CODE, CODE_GRAM, code=word_codes).withColumn("unit", F.lit("words")))
+    of = lambda unit: F.first(F.when(F.col("unit") == unit, F.col("ranges")), ignorenulls=True).alias(unit)
+    return found.groupBy("doc_id", "text_hash").agg(of("bytes"), of("words")).select("doc_id", "text_hash", F.struct("bytes", "words").alias("ranges"))
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _word_spans(data: bytes, ranges, words: int) -> list[tuple[int, int]]:
     """Byte spans of the passages of so many words that start, in the text's codes, in the ranges."""
     starts = [(-(-r["first"] // CODE), r["last"] // CODE) for r in ranges]
@@ -407,12 +445,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, words: int | None = None) -
 
     plain = whole_text(docs, "doc_id")
     marked = docs.withColumn("__x_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = repeated_spans(plain, length).withColumn("unit", F.lit("bytes"))
-    if words:
-        found = found.unionByName(repeated_spans(plain, words * CODE, CODE_GRAM, code=word_codes).withColumn("unit", F.lit("words")))
-    of = lambda unit: F.first(F.when(F.col("unit") == unit, F.col("ranges")), ignorenulls=True).alias(unit)
-    ranges = found.groupBy("doc_id", "text_hash").agg(of("bytes"), of("words")).select("doc_id", "text_hash", F.struct("bytes", "words").alias("ranges"))
-    both = _with_ranges(marked, ranges)
+    both = _with_ranges(marked, _ranges_of_both(plain, length, words))
     text = F.when(F.col("__x_ranges").isNull(), F.col("text")).otherwise(cut(F.coalesce(F.col("text"), F.lit("")), "__x_ranges.bytes", "__x_ranges.words"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -126,18 +126,35 @@ def repeating():
     return out + [(2000, "ab" * 900), (2001, "x" * 399), (2002, "z" * 400), (2003, "z" * 401), (2004, None), (2005, ""), (2006, base[:600]), (2006, base[:600]), (None, base[:500])]
 
 
+def passages_by_hand(texts, words=51):
+    """Of each text the bytes in passages of so many words that start twice or more."""
+    pieces = [[m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", (t or "").encode())] for t in texts]
+    named = [[(t or "").encode()[a:b] for a, b in p] for t, p in zip(texts, pieces)]
+    seen = Counter(tuple(w[k : k + words]) for w in named for k in range(len(w) - words + 1))
+    out = []
+    for w, p in zip(named, pieces):
+        covered = set()
+        for k in range(len(w) - words + 1):
+            if seen[tuple(w[k : k + words])] > 1:
+                covered.update(range(p[k][0], p[k + words - 1][1]))
+        out.append(len(covered))
+    return out
+
+
+
 @pytest.mark.parametrize("split", [8, 256])
 def test_repeats(spark, split, monkeypatch):
     monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (400, 100, split))
     texts = repeating()
     got = sorted((repr(r["doc_id"]), *r[1:]) for r in suffix.removal_report(make_docs(spark, texts)).collect())
-    assert got == sorted((repr(i), *x) for (i, _), x in zip(texts, removed_by_hand([t for _, t in texts])))
+    hand = zip(texts, removed_by_hand([t for _, t in texts]), passages_by_hand([t for _, t in texts]))
+    assert got == sorted((repr(i), *x, n) for (i, _), x, n in hand)
 
 
 def test_repeats_of_odd_rows(spark, odd, empty):
     texts = odd_texts()
     short = [(i, t) for i, t in texts if len(t or "") < 20_000]
-    got = sorted((repr(r["doc_id"]), *r[1:]) for r in suffix.removal_report(make_docs(spark, short)).collect())
+    got = sorted((repr(r["doc_id"]), *r[1:5]) for r in suffix.removal_report(make_docs(spark, short)).collect())
     assert got == sorted((repr(i), *x) for (i, _), x in zip(short, removed_by_hand([t for _, t in short])))
     assert suffix.removal_report(odd).count() == len(texts) and suffix.removal_report(empty).count() == 0
     cut = suffix.cut_texts(odd)

@@ -112,6 +112,12 @@ def test_fingerprints(spark, empty):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (r["near_edited"] == 1) == (edited == t) and (r["near_next"] == 1) == (n == t) and 0 <= r["near_edited"] <= 1
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (edited == t)
+        trees = [tree_by_hand(x) for x in (t, edited, n)]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (trees[0][0], trees[1][0])
+        for near, other in (("near_edited", trees[1]), ("near_next", trees[2])):
+            a, b = trees[0][1], other[1]
+            want = 1.0 if trees[0][0][:64] == other[0][:64] else 2 * len(a & b) / (len(a) + len(b) + 2)
+            assert abs(r[near] - want) < 1e-12
     prints = {}
     for i, t in texts:
         prints.setdefault(t or "", set()).add(got[i]["fingerprint"])
@@ -119,6 +125,30 @@ def test_fingerprints(spark, empty):
     assert merkle.fingerprint_report(empty).count() == 0
 
 
+def tree_by_hand(text):
+    """The fingerprint, and the digests of all levels but the root."""
+    sha = lambda level, x: hashlib.sha256((level + x).encode()).hexdigest()
+    paragraphs = [[sha("leaf", y) for y in re.findall(r"(?s)[^.!?]{1,256}[.!?]{0,3}|[.!?]{1,256}", p)] for p in text.split("\n")]
+    digests = [sha("paragraph", "".join(p)) for p in paragraphs]
+    sections, own = [], []
+    for k, d in enumerate(digests):
+        own.append(d)
+        if d[-1] in "08" or k == len(digests) - 1:
+            sections.append(sha("section", "".join(own)))
+            own = []
+    levels = [[y for p in paragraphs for y in p], digests, sections]
+    return ":".join([sha("root", "".join(sections)), *("".join(d[:16] for d in x) for x in levels)]), {d for x in levels for d in x}
+
+
+def test_an_added_line_changes_one_branch(spark):
+    lines = [f"This is line {k}. It has two sentences." for k in range(200)]
+    docs = make_docs(spark, [(1, "\n".join(lines)), (2, "\n".join(lines[:90] + ["A new line."] + lines[90:]))])
+    one, two = (r["fingerprint"].split(":") for r in merkle.fingerprints(docs).orderBy("doc_id").collect())
+    cut = lambda x: [x[k : k + 16] for k in range(0, len(x), 16)]
+    assert one[0] != two[0]
+    assert len(set(cut(two[1])) - set(cut(one[1]))) == 1 and len(set(cut(two[2])) - set(cut(one[2]))) == 1 and 1 <= len(set(cut(two[3])) - set(cut(one[3]))) <= 2
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     got = merkle.fingerprint_report(odd).collect()
     assert len(got) == len(odd_texts())

@@ -35,6 +35,7 @@ from trajloom.llm.common import whole_text, written
 
 SPLIT = 2048
 SLAB = 65_536
+SALTS = 64
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -218,27 +219,31 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     return nodes.join(found, F.col("fp") == F.col("f"), "left").select("fp", F.when(alone, F.col("fp")).otherwise(F.col("top")).alias("top"), F.when(alone, F.col("label")).otherwise(F.col("least")).alias("label"))
 
 
-def _labelled(prints: DataFrame, radius: int) -> DataFrame:
-    """prints (doc_id, fp) with top and label of their components."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    return prints.join(components(nodes, links(nodes.select("fp"), radius)), "fp")
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     prints = written(with_fingerprints(docs.select("doc_id", "text")))
-    return _labelled(prints, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id"))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("label")))
+    named = components(nodes, links(nodes.select("fp"), radius)).select("fp", "label")
+    # Copies of one text have one fingerprint: rows and their names are dealt by a salt too, a name in each of its salts.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    found = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(named.select("fp", "label", salts.alias("salt")), ["fp", "salt"])
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
     """Of each component the document with the smallest doc_id (then fingerprint; one row of repeats), with the columns of docs."""
+    prints = written(with_fingerprints(docs.select("doc_id", "text")))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("own")))
+    named = components(nodes.withColumnRenamed("own", "label"), links(nodes.select("fp"), radius))
+    own = named.join(nodes, "fp").filter(F.col("own").eqNullSafe(F.col("label")))
+    first = own.groupBy("top").agg(F.min("fp").alias("fp"), F.first("label").alias("i"))
+    firsts = first.select(F.col("i").alias("__s_id"), "fp")
+    some = docs.join(firsts.select("__s_id").distinct(), docs["doc_id"].eqNullSafe(F.col("__s_id")), "left_semi")
+
     @F.pandas_udf(T.LongType())
     def fp_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t or "") for t in texts], dtype=np.uint64).view(np.int64))
 
-    prints = written(with_fingerprints(docs.select("doc_id", "text")))
-    first = _labelled(prints, radius).filter(F.col("doc_id").eqNullSafe(F.col("label")))
-    first = first.groupBy("top").agg(F.min("fp").alias("f"), F.first("label").alias("i"))
-    marked = docs.withColumn("__s_fp", fp_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["i"]) & (F.col("__s_fp") == F.col("f")), "left_semi")
+    marked = some.withColumn("__s_fp", fp_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = marked.join(firsts, marked["doc_id"].eqNullSafe(firsts["__s_id"]) & (F.col("__s_fp") == firsts["fp"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__s_fp"]).select(*docs.columns)

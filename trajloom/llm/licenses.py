@@ -57,6 +57,7 @@ TEMPLATES = [
 ]
 
 MAX_TEMPLATE_WORDS = 100_000
+SALTS = 32
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # of lower-cased text
 _NOT_WORD_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -155,17 +156,19 @@ def license_report(docs: DataFrame, templates=None, threshold: float = 0.9) -> D
     rank, index = template_index(docs, templates, threshold)
     prefix_words = [w for w, r in rank.items() if any(r in ranks[: len(ranks) - need + 1] for _, _, ranks, need, _ in index)]
     phrase_words = sorted({p.split()[0] for p in PHRASES})
-    base = _scanned(docs, phrase_words).withColumn("key", F.md5(F.col("text")))
+    may = F.exists(F.split("text", _NOT_WORD_ANY_CASE), lambda w: F.lower(w).isin(*prefix_words)) if index else F.lit(False)
+    # Texts that no template can be in get a key of their own and a salt deals the copies of the others, so that equal texts don't meet.
+    alone = F.md5(F.concat(F.lit("~"), F.coalesce(F.col("doc_id").cast("string"), F.uuid())))
+    base = _scanned(docs, phrase_words).withColumns({"key": F.when(may, F.md5(F.col("text"))).otherwise(alone), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
     base = base.withColumn("words", F.when(F.col("near"), _without_empty_ends(_pieces(lower_ascii(F.col("text")), _NOT_WORD))))
     base = base.withColumn("places", F.when(F.col("near"), _places(F.col("words"))))
     base = base.withColumn("base_list", F.coalesce(F.array_distinct(F.col("places.label")), F.array().cast("array<string>")))
-    base = base.select("doc_id", "key", F.col("n_words").cast("bigint"), F.coalesce(F.size("places"), F.lit(0)).alias("n_base"), F.array_min("places.i").cast("bigint").alias("first_word"), F.array_max("places.i").cast("bigint").alias("last_word"), "base_list")
+    base = base.select("doc_id", "key", "salt", F.col("n_words").cast("bigint"), F.coalesce(F.size("places"), F.lit(0)).alias("n_base"), F.array_min("places.i").cast("bigint").alias("first_word"), F.array_max("places.i").cast("bigint").alias("last_word"), "base_list")
     base = base.withColumn("n_base", F.greatest(F.col("n_base"), F.lit(0)).cast("bigint"))
     if index:
-        near = F.exists(F.split("text", _NOT_WORD_ANY_CASE), lambda w: F.lower(w).isin(*prefix_words))
-        some = docs.filter(near).select(F.md5("text").alias("key"), "text")
+        some = docs.filter(may).select(F.md5("text").alias("key"), "text")
         found = template_matches(some, rank, index).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-        base = base.join(found, "key", "left")
+        base = base.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left")
     else:
         base = base.withColumns({"more": F.lit(None).cast("array<string>"), "best": F.lit(None).cast("double")})
     every = F.array_sort(F.array_union("base_list", F.coalesce("more", F.array().cast("array<string>"))))

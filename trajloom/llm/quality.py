@@ -162,10 +162,10 @@ def judge(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, mi
 
 
 def quality_report(docs: DataFrame, **limits) -> DataFrame:
-    """One row for each document: the counts, both distances and the verdict."""
+    """One row for each document: the counts, both distances (to six places) and the verdict."""
     out = {"n_words": "n_words", "word_chars": "word_chars", "n_symbols": "symbols", "n_dup_lines": "n_dup_lines", "n_repeat_words": "n_repeat_words"}
     df = judge(docs.select("doc_id", "text", "lang"), **limits)
-    return df.select("doc_id", *[_c(v).cast("bigint").alias(k) for k, v in out.items()], _c("base_failed").alias("base_failed"), _c("kept").alias("kept"), _c("js_classes").alias("js_classes"), _c("js_common").alias("js_common"))
+    return df.select("doc_id", *[_c(v).cast("bigint").alias(k) for k, v in out.items()], _c("base_failed").alias("base_failed"), _c("kept").alias("kept"), F.round(_c("js_classes"), 6).alias("js_classes"), F.round(_c("js_common"), 6).alias("js_common"))
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajloom.llm import bpe, html, idstore, licenses, merkle, packing, pii, quality, simhash, suffix
 from trajloom.llm.common import table
+from trajloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,3 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
-
-#: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}

@@ -67,4 +67,22 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, fir
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(more, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score FROM w LEFT JOIN b USING (rid) LEFT JOIN g USING (rid)"""
 
 
-ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses()}
+_FINGERPRINTS = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+x AS (SELECT doc_id, 'own' AS which, text AS t FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+p AS (SELECT doc_id, which, unnest(string_split(t, chr(10))) AS para, generate_subscripts(string_split(t, chr(10)), 1) AS no FROM x),
+l AS (SELECT doc_id, which, no, list_transform(regexp_extract_all(para, '[^.!?]{1,256}[.!?]{0,3}|[.!?]{1,256}'), lambda y: sha256('leaf' || y)) AS leaves FROM p),
+g AS (SELECT *, sha256('paragraph' || array_to_string(leaves, '')) AS digest FROM l),
+s0 AS (SELECT *, coalesce(sum((right(digest, 1) IN ('0', '8'))::INT) OVER (PARTITION BY doc_id, which ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM g),
+s1 AS (SELECT doc_id, which, sid, sha256('section' || string_agg(digest, '' ORDER BY no)) AS section FROM s0 GROUP BY ALL),
+s2 AS (SELECT doc_id, which, sha256('root' || string_agg(section, '' ORDER BY sid)) AS root, list(section ORDER BY sid) AS sections FROM s1 GROUP BY ALL),
+g2 AS (SELECT doc_id, which, flatten(list(leaves ORDER BY no)) AS leaves, list(digest ORDER BY no) AS digests FROM g GROUP BY ALL),
+f AS (SELECT doc_id, which, root, root || ':' || array_to_string(list_transform(leaves, lambda y: left(y, 16)), '') || ':' || array_to_string(list_transform(digests, lambda y: left(y, 16)), '') || ':' || array_to_string(list_transform(sections, lambda y: left(y, 16)), '') AS fingerprint,
+  list_distinct(list_concat(leaves, digests, sections)) AS nodes FROM g2 JOIN s2 USING (doc_id, which)),
+z AS (SELECT e.doc_id, e.next_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint, a.root AS ra, b.root AS rb, c.root AS rc, a.nodes AS na, b.nodes AS nb, c.nodes AS nc
+  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.which = 'own' JOIN f b ON b.doc_id = e.doc_id AND b.which = 'edited' JOIN f c ON c.doc_id = e.next_id AND c.which = 'own')
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN ra = rb THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(na, nb)) / (len(na) + len(nb) + 2) END::DOUBLE AS near_edited, CASE WHEN ra = rc THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(na, nc)) / (len(na) + len(nc) + 2) END::DOUBLE AS near_next, next_id FROM z"""
+
+
+ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses(), "op7_fingerprints": _FINGERPRINTS}

@@ -157,13 +157,13 @@ def refine(data: bytes, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return np.sort(live)
 
 
-def _utf8(text: str) -> bytes:
-    return text.encode("utf-8")
+def _plain(text: bytes) -> bytes:
+    return text
 
 
-def word_codes(text: str) -> bytes:
+def word_codes(text: bytes) -> bytes:
     """The codes of the text's words, end to end."""
-    data = np.frombuffer(text.encode("utf-8") + b" ", np.uint8)
+    data = np.frombuffer(text + b" ", np.uint8)
     edges = np.flatnonzero(np.diff(_INSIDE.take(data), prepend=np.int8(0)))
     starts, ends = edges[::2], edges[1::2]
     up, down = _power(1 << max(10, len(data).bit_length()))
@@ -187,13 +187,13 @@ def _id_field(docs: DataFrame, name: str = "doc_id") -> T.StructField:
     return T.StructField(name, docs.schema["doc_id"].dataType)
 
 
-def _grams(docs: DataFrame, length: int, gram: int, code=_utf8) -> DataFrame:
+def _grams(docs: DataFrame, length: int, gram: int, code=_plain) -> DataFrame:
     """(doc_id, text_hash, h, n): how many runs of each text choose a gram of hash h."""
     schema = T.StructType([_id_field(docs), T.StructField("text_hash", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches):
         for b in batches:
-            texts = [code(t.as_py()) for t in b.column(2)]
+            texts = [code(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
             for which, h, *_ in runs(texts, length, gram):
                 pairs = np.stack([which, h], axis=1)
                 distinct, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
@@ -203,7 +203,7 @@ def _grams(docs: DataFrame, length: int, gram: int, code=_utf8) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int, code=_utf8) -> DataFrame:
+def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int, code=_plain) -> DataFrame:
     """One row for each text and distinct member with a wanted gram: its bytes, how many starts it has, and the places where it begins."""
     names = ["doc_id", "text_hash", "h", "hot", "offset", "member", "starts", "begins", "data"]
     kinds = [None, T.LongType(), T.LongType(), T.BooleanType(), T.IntegerType(), T.BinaryType(), T.IntegerType(), T.ArrayType(T.LongType()), T.BinaryType()]
@@ -212,7 +212,7 @@ def _members(docs: DataFrame, wanted: DataFrame, length: int, gram: int, code=_u
 
     def run(batches):
         for b in batches:
-            texts = [code(t.as_py()) for t in b.column(2)]
+            texts = [code(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
             asked = [dict(zip((y["h"] for y in x), (y["hot"] for y in x))) for x in b.column(3).to_pylist()]
             for which, h, first, last, place in runs(texts, length, gram):
                 found: dict[tuple, list[int]] = {}
@@ -329,7 +329,7 @@ def _joined_spans(spans):
     return F.aggregate(F.sort_array(spans), empty, add)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, *, code=_utf8) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, *, code=_plain) -> DataFrame:
     """(doc_id, text_hash, ranges): of every text with repeats, the ranges (first, last) of repeated starts in its code, sorted. docs: doc_id, text."""
     with scratch(docs.sparkSession) as keep:
         return written(_spans(docs, length, gram, split, code, keep))
@@ -362,9 +362,10 @@ def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.__x_hash") == F.col("r.text_hash")), "left").select("d.*", F.col("r.ranges").alias("__x_ranges"))
 
 
-def _kept(text: str, ranges, length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    data = text.encode("utf-8")
-    spans = _merged(list(ranges), length) if ranges is not None else []
+def _kept(data: bytes, ranges, length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    if not ranges:
+        return data, []
+    spans = _merged(list(ranges), length)
     at, out = 0, []
     for a, b in spans:
         out.append(data[at:a])
@@ -383,12 +384,9 @@ def removal_report(docs: DataFrame, length: int = LENGTH, words: int = WORDS) ->
     def run(batches):
         for b in batches:
             out = []
-            for text, ranges in zip(b.column(1), b.column(2)):
-                text = text.as_py()
-                own = ranges.as_py() or {"bytes": None, "words": None}
-                kept, spans = _kept(text, own["bytes"], length)
-                data = text.encode("utf-8")
-                passages = sum(z - a for a, z in _joined(_word_spans(data, own["words"] or [], words)))
+            for data, own in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                kept, spans = _kept(data, own and own["bytes"], length)
+                passages = sum(z - a for a, z in _joined(_word_spans(data, own["words"], words))) if own and own["words"] else 0
                 out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), passages))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(5))], schema.names)
 

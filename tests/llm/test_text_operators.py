@@ -211,3 +211,46 @@ def test_semi_markov_decode_is_the_best_segmentation():
     found = field.decode(text, where)
     total = sum(next(field.score(k, f) for i, f in lattice[ends[b]] if i == starts[a]) for a, k, b in found)
     assert abs(total - best(len(where))) < 1e-9
+
+
+@pytest.fixture(scope="module")
+def field(spark, texts):
+    return pii.train(make_docs(spark, texts).select("text").na.drop())
+
+
+def test_pii_added_spans_on_held_out_windows(spark, texts, field):
+    """Windows of another seed than the trained ones': boundaries and kinds must both be right."""
+    found = right = wanted = 0
+    for text, gold in pii.made_windows([t for _, t in texts if t], 400, seed=99):
+        got = set(field.decode(text, pii.atoms(text, 0, len(text))))
+        found, right, wanted = found + len(got), right + len(got & set(gold)), wanted + len(gold)
+    assert right / found > 0.9 and right / wanted > 0.85
+
+
+@pytest.mark.parametrize("n", [20, 64, 80, 300])
+def test_no_tail_of_a_secret_is_left(field, n):
+    text = 'set token = "' + "a1b2c3d4e5" * 3 + "e" * n + '" and go on'
+    assert "eeee" not in pii.redact(text, field)
+    assert pii.redact(text, field).endswith("and go on")
+
+
+def test_windows_end_at_white_space():
+    import random
+
+    r = random.Random(3)
+    for _ in range(500):
+        text = "".join(r.choice("ab1@ \n" if r.random() < 0.1 else "abcdefgh ") for _ in range(r.randrange(900)))
+        own = list(pii.windows(text))
+        near = {k for m in re.finditer("[0-9@]", text) for k in range(max(0, m.start() - pii.NEAR), min(len(text), m.end() + pii.NEAR))}
+        assert near <= {k for a, b in own for k in range(a, b)}
+        assert all((a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace()) for a, b in own)
+        assert all(b <= a for (_, b), (a, _) in zip(own, own[1:]))
+
+
+def test_hash_sample_is_of_all_rows(spark):
+    from trajloom.llm.common import hash_sample
+
+    df = spark.createDataFrame([(f"v{k % 50}",) for k in range(2000)] + [(None,)], "t string")
+    few = hash_sample(df, 7)
+    assert few == hash_sample(df.repartition(9), 7) and len(set(few)) == 7
+    assert set(hash_sample(df, 1000)) == {f"v{k}" for k in range(50)} and hash_sample(df.limit(0), 5) == []

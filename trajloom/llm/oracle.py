@@ -85,4 +85,13 @@ z AS (SELECT e.doc_id, e.next_id, length(e.text)::BIGINT AS n_chars, sha256(e.ed
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN ra = rb THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(na, nb)) / (len(na) + len(nb) + 2) END::DOUBLE AS near_edited, CASE WHEN ra = rc THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect(na, nc)) / (len(na) + len(nc) + 2) END::DOUBLE AS near_next, next_id FROM z"""
 
 
-ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses(), "op7_fingerprints": _FINGERPRINTS}
+_HARD_NEGATIVES = """WITH v AS (SELECT vec_id::BIGINT AS vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS alike, list_inner_product(a.q, v.q)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses(), "op7_fingerprints": _FINGERPRINTS, "op13_hard_negatives": _HARD_NEGATIVES}

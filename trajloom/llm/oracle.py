@@ -94,4 +94,17 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.sc
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
 
 
-ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses(), "op7_fingerprints": _FINGERPRINTS, "op13_hard_negatives": _HARD_NEGATIVES}
+_COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+o AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size)),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM g WHERE size > 1),
+e AS (SELECT c.*, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score FROM c JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (SELECT lang, a, m, string_split(phrase, ' ') AS ws, unnest(range(1, size - m + 2)) AS i FROM g, (VALUES (2), (3)) v(m) WHERE m < size),
+y AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM x GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b LEFT JOIN y USING (lang, phrase) JOIN t USING (lang)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000"""
+
+
+ORACLE_SQL = {"op10_quality_rules": _quality(), "op8_license_scan": _licenses(), "op7_fingerprints": _FINGERPRINTS, "op12_collocations": _COLLOCATIONS, "op13_hard_negatives": _HARD_NEGATIVES}

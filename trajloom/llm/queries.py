@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm import bpe, hardneg, html, idstore, licenses, merkle, packing, pii, quality, simhash, suffix
+from trajloom.llm import bpe, hardneg, html, idstore, licenses, merkle, packing, phrases, pii, quality, simhash, suffix
 from trajloom.llm.common import table
 from trajloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -50,6 +50,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hardneg.vectors(table(spark, sf_dir, "embeddings"))
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -67,5 +71,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -163,36 +163,44 @@ def words_of(texts: pa.Array, table: np.ndarray, least: int = BREAK) -> Iterator
         yield Words(own, start, stop, word_hashes(own, start, stop), text, piece)
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
-    """Whether the spans a and b (none of them empty) hold the same bytes, one by one."""
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the spans a of data and b of other (data too, if not given) hold the same bytes, one by one; none of them is empty."""
     out = a_end - a == b_end - b
-    todo = np.flatnonzero(out & (a != b))
+    todo = np.flatnonzero(out & (a != b)) if other is None else np.flatnonzero(out)
+    other = data if other is None else other
     sizes = (a_end - a)[todo]
     ends = np.cumsum(sizes)
+    if max(len(data), len(other)) < 1 << 31:
+        a, b = a.astype(np.int32), b.astype(np.int32)
     at = 0
     while at < len(todo):
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK, side="right")))
         own, n = todo[at:stop], sizes[at:stop]
         offsets = np.cumsum(n) - n
-        steps = np.arange(int(n.sum())) - np.repeat(offsets, n)
-        differ = data[np.repeat(a[own], n) + steps] != data[np.repeat(b[own], n) + steps]
+        steps = np.arange(int(n.sum()), dtype=a.dtype) - np.repeat(offsets.astype(a.dtype), n)
+        differ = data[np.repeat(a[own], n) + steps] != other[np.repeat(b[own], n) + steps]
         out[own] = ~np.logical_or.reduceat(differ, offsets)
         at = stop
     return out
 
 
+def strings_of(w: Words, at: np.ndarray) -> pa.Array:
+    """The words at these places as strings."""
+    sizes = w.end[at] - w.start[at]
+    ends = np.r_[0, np.cumsum(sizes)]
+    data = w.data[np.repeat(w.start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
 def exact_ids(w: Words, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """A number for each of the words at these places, equal for equal bytes alone, and the words by number."""
     _, first, number = np.unique(w.hash[at], return_index=True, return_inverse=True)
     reps = at[first]
     same = same_bytes(w.data, w.start[at], w.end[at], w.start[reps][number], w.end[reps][number])
-    words = [w.bytes_of(i) for i in reps.tolist()]
+    words = strings_of(w, reps)
     if not same.all():  # two words of one hash
-        known = {x: i for i, x in enumerate(words)}
+        known = {x: i for i, x in enumerate(words.to_pylist())}
         for i in np.flatnonzero(~same).tolist():
-            x = w.bytes_of(int(at[i]))
-            if x not in known:
-                known[x] = len(words)
-                words.append(x)
-            number[i] = known[x]
-    return number, pa.array(words, pa.binary()).cast(pa.string())
+            number[i] = known.setdefault(w.bytes_of(int(at[i])).decode("utf-8"), len(known))
+        words = pa.array(list(known), pa.string())
+    return number, words

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajloom.llm import bpe, hardneg, html, idstore, licenses, merkle, packing, phrases, pii, quality, simhash, suffix
+from trajloom.llm import bpe, hardneg, html, idstore, licenses, lm, merkle, packing, phrases, pii, quality, simhash, suffix
 from trajloom.llm.common import table
 from trajloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -50,6 +50,11 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score_texts(docs.select("doc_id", "text", lm.held_out().alias("held_out")))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lm_scores": op11_lm_scores,
     "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }

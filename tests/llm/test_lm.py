@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.conftest import data_dir
 from tests.llm.conftest import make_docs, odd_texts
@@ -82,6 +83,17 @@ def test_learns_what_it_has_not_seen(spark):
     assert len(found) > 300 and per_token("score") > per_token("base_score") + 0.8
 
 
+def test_most_frequent_tokens(spark):
+    rows = [(f"t{i:03d}", 1000 // (i + 1)) for i in range(500)]
+    counts = spark.createDataFrame(rows, "token string, c bigint").repartition(5)
+    top = sorted(rows, key=lambda x: (-x[1], x[0]))
+    assert lm.most_frequent(counts, 500, 500, 10) == top
+    some = lm.most_frequent(counts, 500, 60, 10)
+    assert 50 <= len(some) <= 62 and some == top[: len(some)]
+    alike = counts.withColumn("c", F.lit(7).cast("bigint"))
+    assert lm.most_frequent(alike, 500, 60, 10) == [(f"t{i:03d}", 7) for i in range(10)]
+
+
 def a_model(seed=0):
     rows = [("\n", 50), *[(f"t{i}", 40 - i // 200) for i in range(5000)]]
     common = lm.Common.of(rows)

@@ -10,7 +10,7 @@ Tokens are words (A-Z lowered, between ASCII white space) and an end after each
 * Learning goes over every training text once, in ``ROUNDS`` rounds of disjoint texts. In a round each task starts from the same weights
   and makes its own gradient steps over its texts in small batches; the steps of all tasks are averaged row by row, weighted by how many
   tokens touched the row. The weights have a fixed size, whatever the input: they are what goes to all tasks.
-* Scoring works on batches of tokens in numpy. Counts of the ``COMMON`` most frequent tokens go to all tasks, the others' tokens
+* Scoring works on batches of tokens in numpy. Counts of some ``COMMON`` of the most frequent tokens go to all tasks, the others' tokens
   leave the scoring pass and meet the table of all counts in a join.
 
 Defined cases: a null or empty text is an end alone; a null doc_id takes part like the id '' (crc32 0); repeated rows count and are
@@ -226,6 +226,17 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counts, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, distinct: int, n: int, least: int) -> list[tuple[str, int]]:
+    """Tokens and counts, most frequent first: n of them or somewhat fewer (all of one count or none), but ``least`` where there are so many."""
+    order = lambda rows: sorted(((r["token"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    if distinct <= n:
+        return order(counts.collect())
+    # A count that n tokens exceed at most: so no task sends more than its share of them.
+    edge = counts.agg(F.percentile_approx("c", 1 - n / distinct, 1_000_000)).first()[0]
+    found = order(counts.filter(F.col("c") > edge).collect())
+    return found if len(found) >= least else order(counts.orderBy(F.desc("c"), "token").limit(least).collect())
+
+
 def _steps(common, weights):
     """text -> the task's steps, packed: pack, touched, steps of its rows."""
 
@@ -338,7 +349,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     with scratch(spark) as keep:
         counts = keep(token_counts(training.select("text")))
         total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        top = [(r["token"], r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(COMMON).collect()]  # a fixed number
+        top = most_frequent(counts, distinct, COMMON, KNOWN)
         placed = np.array([c for _, c in top[:KNOWN]], np.float64)
         tail_tokens, tail_distinct = total - int(placed.sum()), distinct - len(placed)
         common = spark.sparkContext.broadcast(tuple(Common.of(top)))

@@ -1,15 +1,22 @@
 """Live usage equals the batch, and settling overwrites."""
 
+import json
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import data_dir
+from trajloom.operators import rollup
+from trajloom.operators.decide import decide_claude, decide_codex
 from trajloom.operators.state import SESSION
-from trajloom.operators.usage import claude_session_usage
+from trajloom.operators.usage import claude_session_usage, codex_session_usage
 from trajloom.plans import adapters as a
 from trajloom.sources.files import latest_session_stats
-from trajloom.streaming.usage import live_stats, live_usage, reread_claude, settle, tally
+from trajloom.sources import tail
+from trajloom.streaming.reduce import slim, use_rocksdb
+from trajloom.streaming.usage import live_overview, live_usage, reread, session_rows, settle
 
 
 def test_live_usage_equals_batch(spark):
@@ -34,20 +41,96 @@ def test_settle_overwrites_the_ended_sessions_only(spark):
     assert {r["session_id"]: r["tokens"] for r in latest_session_stats(spark, path).collect()} == {"a": 2, "b": 1}
 
 
+def put(path, *lines, end="\n"):
+    with open(path, "w") as out:
+        out.write("\n".join(lines) + end)
+
+
+def said(n):
+    return json.dumps({"type": "assistant", "message": {"usage": {"input_tokens": n}}})
+
+
+def count(n):
+    return json.dumps({"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n}}}})
+
+
 def test_reread_of_ended_sessions(spark):
+    """Both agents; an unfinished last line counts, a missing file is no error; resumed sessions are read again in full."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    put(f"{folder}/a b.jsonl", said(5), said(7), said(30), end="")
+    put(f"{folder}/x.jsonl", count(50), count(80), count(70)[:-9], end="")
+    schema = "project_root string, session_id string, agent string, transcript_path string, hook_event_name string"
+    rows = [("p", "a", "claude-code", f"{folder}/a b.jsonl"), ("p", "b", "claude-code", None), ("p", "c", "claude-code", ""), ("p", "d", "claude-code", f"{folder}/none.jsonl"), ("p", "x", "codex", f"file://{folder}/x.jsonl"), ("p", "y", "codex", "nowhere://x/y")]
+    ended = spark.createDataFrame([(*r, "SessionEnd") for r in rows], schema)
+    tokens = lambda df: {r["session_id"]: r["tokens"] for r in df.collect()}
+    assert tokens(reread(ended)) == {"a": 42, "b": 0, "c": 0, "d": 0, "x": 80, "y": 0}
+    assert tokens(reread(ended.filter("session_id = 'b'"))) == {"b": 0}
+    settle(f"{folder}/stats", reread)(ended, 0)
+    put(f"{folder}/x.jsonl", count(50), count(80), count(70), count(95))
+    settle(f"{folder}/stats", reread)(ended.filter("session_id = 'x'"), 1)
+    assert tokens(latest_session_stats(spark, f"{folder}/stats")) == {"a": 42, "b": 0, "c": 0, "d": 0, "x": 95, "y": 0}
+
+
+@pytest.mark.parametrize("size", [1 << 20, 5])
+def test_lines_by_ranges_are_the_lines(monkeypatch, size):
+    """Whatever the ranges and chunks: each line once, with its position; a last one without an end only if asked for."""
+    monkeypatch.setattr(tail, "RANGE", size)
+    monkeypatch.setattr(tail, "CHUNK", 3)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/f.jsonl"
+    data = "one\n\nthree and more\né\n\n" + "x" * 40 + "\nrest".encode().decode()
+    with open(path, "wb") as out:
+        out.write(data.encode())
+    n = len(data.encode())
+    found = [x for a, b in tail.ranges(0, n) for x in tail.lines_between(path, a, b, b == n)]
+    assert [x for _, x in found] == data.split("\n")
+    assert all(data.encode()[p : p + len(x.encode())].decode() == x for p, x in found)
+    assert [x for a, b in tail.ranges(0, n) for _, x in tail.lines_between(path, a, b)] == data.split("\n")[:-1]
+
+
+def test_tailing_waits_for_the_end_of_a_line(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    tail.register(spark)
+
+    def read():
+        stream = spark.readStream.format("tailed_lines").option("suffix", ".jsonl").load(f"{folder}/in")
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["session_id"], r["position"], r["value"]) for r in spark.read.schema(tail.SCHEMA).parquet(f"{folder}/out").collect())
+
+    assert read() == []  # no folder yet
+    os.makedirs(f"{folder}/in/session_id=q")
+    put(f"{folder}/in/a.jsonl", "one", "tw", end="")
+    put(f"{folder}/in/_hidden.jsonl", "no")
+    put(f"{folder}/in/other.txt", "no")
+    assert read() == [("a", 0, "one")]
+    assert read() == [("a", 0, "one")]
+    put(f"{folder}/in/a.jsonl", "one", "two", "", "three", end="")
+    put(f"{folder}/in/session_id=q/part.jsonl", "q1")
+    assert read() == [("a", 0, "one"), ("a", 4, "two"), ("a", 8, ""), ("q", 0, "q1")]
+    put(f"{folder}/in/a.jsonl", "one", "two", "", "three")
+    assert read()[3] == ("a", 9, "three") and len(read()) == 5
+
+
+def test_live_overview_equals_the_batch_after_each_micro_batch(spark):
+    """One running query: after each of three micro-batches it stands where a batch over the rows so far stands."""
+    use_rocksdb(spark)
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    with open(f"{folder}/a.jsonl", "w") as out:
-        out.write('{"type":"assistant","message":{"usage":{"input_tokens":5}}}\n{"type":"assistant","message":{"usage":{"input_tokens":7}}}\n')
-    ended = spark.createDataFrame([("p", "a", f"{folder}/a.jsonl"), ("p", "b", None), ("p", "c", "")], "project_root string, session_id string, transcript_path string")
-    assert {r["session_id"]: r["tokens"] for r in reread_claude(ended).collect()} == {"a": 12, "b": 0, "c": 0}
-    assert {r["session_id"]: r["tokens"] for r in reread_claude(ended.filter("session_id <> 'a'")).collect()} == {"b": 0, "c": 0}
-
-
-def test_batch_tallied_twice_counts_once(spark):
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/tally"
-    rows = spark.createDataFrame([("p", "a", "codex", "dedup", 5, 0), ("p", "a", "codex", "trim", 7, 3)], "project_root string, session_id string, agent string, action string, saved_bytes bigint, omitted_lines bigint")
-    for number in (0, 0, 1):
-        tally(path)(rows, number)
-    usage = spark.createDataFrame([("p", "a", "codex", 10, 0.1, 100)], "project_root string, session_id string, agent string, tokens bigint, cost_usd double, content_bytes bigint")
-    row = live_stats(spark, path, usage).first()
-    assert (row["dedup_hits"], row["dedup_bytes"], row["budget_lines_omitted"], row["transcript_tokens"]) == (2, 10, 6, 10)
+    projects = spark.range(10).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("project_root"))
+    d = data_dir()
+    claude, codex = (e.withColumn("seq", F.unix_micros("ts")).filter("event_id < 3000") for e in (a.claude_events(spark, d, own=True), a.codex_events(spark, d)))
+    events = slim(claude).withColumn("agent", F.lit("claude-code")).unionByName(slim(codex).withColumn("agent", F.lit("codex"))).persist()
+    ends = events.selectExpr("percentile(seq, array(0.3, 0.6))").first()[0] + [float("inf")]
+    u1, u2 = a.claude_lines(spark, d), a.codex_lines(spark, d).withColumn("total_input", F.when(F.col("is_total"), F.col("line_no") * 90_000))  # counts that never fall: then live is the full read
+    for k, (low, high) in enumerate(zip([float("-inf"), *ends], ends)):
+        new = lambda x: x.filter(F.col("line_no").between(k * 3, k * 3 + 2) if k < 2 else F.col("line_no") >= 6)
+        rows = session_rows(events.filter((F.col("seq") > low) & (F.col("seq") <= high)), new(u1), new(u2))
+        rows.write.mode("append").parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/rows")
+        live_overview(stream, f"{folder}/live", projects).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(f"{folder}/live/overview").filter(F.col("batch") == k).drop("batch").first()
+        sofar = lambda x: x.filter(F.col("line_no") <= k * 3 + 2) if k < 2 else x
+        decided = [decide(e.filter(F.col("seq") <= high), ["seq", "event_id"]).select(*SESSION, "agent", "action", "saved_bytes", "omitted_lines") for decide, e in ((decide_claude, claude), (decide_codex, codex))]
+        usage = claude_session_usage(sofar(u1), SESSION).withColumn("agent", F.lit("claude-code")).unionByName(codex_session_usage(sofar(u2), SESSION, ["line_no"]).withColumn("agent", F.lit("codex")))
+        want = rollup.overview(rollup.session_stats(rollup.mechanism_stats(decided[0].unionByName(decided[1])), usage), projects).first().asDict()
+        assert {x: round(v, 3) for x, v in got.asDict().items()} == {x: round(v, 3) for x, v in want.items()}
+        assert spark.read.parquet(f"{folder}/live/projects").filter(F.col("batch") == k).count() == 10
+    events.unpersist()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trajloom.functions.strict import strict
 from trajloom.functions.text import WHITE, trim_white
 
 INVESTIGATE, IMPLEMENT, NEUTRAL = "investigate", "implement", "neutral"
@@ -93,8 +94,9 @@ def classify_command(command: Column) -> Column:
 
 
 def shell_command(tool_input: Column) -> Column:
-    """``command``, else ``cmd``, of the JSON input, trimmed; null where empty."""
-    of = lambda name: F.nullif(trim_white(F.get_json_object(tool_input, f"$.{name}")), F.lit(""))
+    """``command``, else ``cmd``, of the JSON input, trimmed; null where empty, or where either is no string."""
+    asked = strict(tool_input, {"command": "string", "cmd": "string"})
+    of = lambda name: F.nullif(trim_white(asked[name]), F.lit(""))
     return F.coalesce(of("command"), of("cmd"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajloom.functions import outputs as o
 from trajloom.functions import savings as s
 from trajloom.functions import text as t
+from trajloom.functions.strict import quoted, strict
 from trajloom.operators.archive import ARCHIVED
 from trajloom.operators.decide import CHANGED, decide_claude, decide_codex, with_text_measures
 from trajloom.operators.rollup import mechanism_stats
@@ -27,11 +28,6 @@ class Reduced(NamedTuple):
     tallies: DataFrame
 
 
-def json_string(text: Column) -> Column:
-    inside = F.to_json(F.array(text))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
-
-
 def decided_claude(events: DataFrame, order: list[str], by: str = "event_id", **limits) -> DataFrame:
     """events: raw, with project_root and session_id. Texts are measured in the scan and left behind before any window."""
     df = with_text_measures(o.normalize_claude(events), "text", "raw_text").withColumn("eligible", F.col("is_shell") & F.col("text").isNotNull())
@@ -60,9 +56,9 @@ def _claude_output(shown: Column) -> Column:
     """JSON in the shape of the response: shell calls keep their four fields, lists and searches their own, retired calls become a string."""
     response = F.col("tool_response")
     shell = F.to_json(F.struct(shown.alias("stdout"), F.lit("").alias("stderr"), F.lit(False).alias("interrupted"), F.lit(False).alias("isImage")))
-    grep = F.to_json(F.from_json(response, o.GREP_RESPONSE).withField("content", shown))
-    glob = F.to_json(F.from_json(response, o.GLOB_RESPONSE).withField("filenames", F.split(shown, "\n")))
-    return F.when(F.col("is_shell"), shell).when((F.col("action") == "trim") & (F.col("tool_name") == "Grep"), grep).when((F.col("action") == "trim") & (F.col("tool_name") == "Glob"), glob).otherwise(json_string(shown))
+    grep = F.to_json(strict(response, o.GREP_RESPONSE).withField("content", shown))
+    glob = F.to_json(strict(response, o.GLOB_RESPONSE).withField("filenames", F.split(shown, "\n")))
+    return F.when(F.col("is_shell"), shell).when((F.col("action") == "trim") & (F.col("tool_name") == "Grep"), grep).when((F.col("action") == "trim") & (F.col("tool_name") == "Glob"), glob).otherwise(quoted(shown))
 
 
 def reduce_trajectories(events: DataFrame, order: list[str], by: str = "event_id", codex: bool = False, prefix: str = t.PREFIX, save=lambda df: df, **limits) -> Reduced:
@@ -78,7 +74,7 @@ def reduce_trajectories(events: DataFrame, order: list[str], by: str = "event_id
     texts = normal(events).select(by, "tool_name", "tool_response", "is_shell", "key", "text")
     full = changed.join(texts, by).withColumn("shown_text", F.coalesce("text", F.lit("")))
     shown = _shown(codex, prefix)
-    updated = json_string(shown) if codex else _claude_output(shown)
+    updated = quoted(shown) if codex else _claude_output(shown)
     outputs = full.select(*SESSION, "epoch", by, "action", "content_id", updated.alias("updated_output"))
     content = F.when(raw, F.col("tool_response")).otherwise(F.col("shown_text"))
     once = changed.filter(F.col("action").isin(*ARCHIVED)).dropDuplicates([*SESSION, "epoch", "content_id"])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajloom.functions import classify as c
 from trajloom.operators.decide import with_text_measures
+from trajloom.sources.tail import opened
 
 ORDER = ["ts", "event_id"]
 # Models of conversations, an unknown and a dated one among them.
@@ -37,22 +41,25 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of every document, once; no text behind this point."""
     docs = with_text_measures(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     return docs.drop("text")
 
 
-def _with_measures(events: DataFrame, measured: DataFrame) -> DataFrame:
+# Measures of an empty text.
+_EMPTY = {"tokens": 0, "n_lines": 1, "n_bytes": 0, "hash": hashlib.sha256(b"").hexdigest(), "omitted_lines": 0, "omitted_bytes": 0}
+
+
+def _with_measures(events: DataFrame, measures: DataFrame) -> DataFrame:
     """An output that no document has is empty."""
-    empty = with_text_measures(events.sparkSession.createDataFrame([("",)], "text string")).drop("text").first().asDict()
-    return events.join(measured, "doc_id", "left").fillna(empty)
+    return events.join(measures, "doc_id", "left").fillna(_EMPTY)
 
 
-def claude_events(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFrame:
-    """All sessions (or the first agent's own) as the first agent's, ready for decide_claude."""
+def claude_events(spark: SparkSession, sf_dir: str, own: bool = False, measures: DataFrame | None = None) -> DataFrame:
+    """All sessions (or the first agent's own) as the first agent's, ready for decide_claude. measures: ``measured``, where it is there already."""
     e = tool_events(spark, sf_dir).filter((F.col("agent") == "claude-code") if own else F.lit(True))
-    e = _with_measures(e, _measured(spark, sf_dir))
+    e = _with_measures(e, measures or measured(spark, sf_dir))
     tool = F.col("tool_name")
     return e.withColumns({
         "class": c.claude_tool_class(tool), "is_shell": F.coalesce(tool == "Bash", F.lit(False)), "key": F.concat(F.coalesce(tool, F.lit("")), F.lit(":cmd-"), F.col("k").cast("string")),
@@ -60,9 +67,9 @@ def claude_events(spark: SparkSession, sf_dir: str, own: bool = False) -> DataFr
     })
 
 
-def codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codex_events(spark: SparkSession, sf_dir: str, measures: DataFrame | None = None) -> DataFrame:
     """The odd sessions as the second agent's, ready for decide_codex."""
-    e = _with_measures(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), _measured(spark, sf_dir))
+    e = _with_measures(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), measures or measured(spark, sf_dir))
     cat = F.col("event_type") == "error"
     names = F.create_map(*[F.lit(x) for pair in (("Glob", "list_dir"), ("Read", "read_file"), ("Grep", "grep"), ("Edit", "apply_patch"), ("Bash", "shell")) for x in pair])
     e = e.withColumn("tool_name", F.try_element_at(names, F.col("tool_name")))
@@ -117,25 +124,25 @@ def _with_texts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def raw_claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The even sessions as raw hook events of the first agent: inputs and responses are JSON in each tool's shape, some of them failed, empty or images."""
+    """The even sessions as raw hook events of the first agent: inputs and responses are JSON in each tool's shape, some of them failed, empty, images, mistyped, bare strings or null."""
     e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "claude-code"), spark, sf_dir)
-    tool, v = F.col("tool_name"), F.col("event_id") % 11
+    tool, v = F.col("tool_name"), F.col("event_id") % 14
     said, command = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"')), F.concat(F.lit('"cmd-'), F.col("k").cast("string"), F.lit('"'))
     flag = lambda k: F.when(v == k, "true").otherwise("false")
     names = F.when(v == 4, "[]").otherwise(F.concat(F.lit("["), F.replace(said, F.lit("\\n"), F.lit('","')), F.lit("]")))
-    response = (
-        F.when(tool == "Bash", _object({"stdout": said, "stderr": F.when(v == 2, '"oops"').otherwise('""'), "interrupted": flag(0), "isImage": flag(1)}))
-        .when(tool == "Grep", _object({"mode": F.lit('"content"'), "content": F.when(v == 3, '""').otherwise(said)}))
-        .when(tool == "Glob", _object({"filenames": names, "truncated": F.lit("false")})).when(tool == "Read", _object({"file": _object({"content": said})})).otherwise(F.when(tool.isNotNull(), '{"ok":true}'))
-    )
+    bash = _object({"stdout": F.when(v == 13, "5").otherwise(said), "stderr": F.when(v == 2, '"oops"').otherwise('""'), "interrupted": F.when(v == 11, '"yes"').otherwise(flag(0)), "isImage": flag(1)})
+    grep = _object({"mode": F.lit('"content"'), "content": F.when(v == 3, '""').otherwise(said), "numLines": F.when(v == 11, '"3"')})
+    glob = _object({"filenames": names, "truncated": F.when(v == 11, '"no"').otherwise("false")})
+    read = F.when(v == 12, said).when(v == 13, "null").otherwise(_object({"file": _object({"content": said})}))
+    response = F.when(tool == "Bash", F.when(v == 12, said).otherwise(bash)).when(tool == "Grep", grep).when(tool == "Glob", glob).when(tool == "Read", read).otherwise(F.when(tool.isNotNull(), '{"ok":true}'))
     field = F.when(tool == "Bash", '{"command":').when(tool.isin("Grep", "Glob"), '{"pattern":').otherwise('{"file_path":')
     return e.select(*[x for x in e.columns if x != "text"], F.concat(field, command, F.lit("}")).alias("tool_input"), response.alias("tool_response"))
 
 
 def raw_codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The odd sessions as raw hook events of the second agent: 14 shapes of responses, several names of one tool, white space around commands."""
+    """The odd sessions as raw hook events of the second agent: 23 shapes of responses (mistyped, bare and null ones among them), several names of one tool, white space around commands."""
     e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), spark, sf_dir)
-    v, w, text = F.col("event_id") % 14, F.col("event_id") % 3, escaped(F.col("text"))
+    v, w, text = F.col("event_id") % 23, F.col("event_id") % 3, escaped(F.col("text"))
     shell = F.when(w == 0, "shell").when(w == 1, " Bash\n").otherwise("functions.exec_command")
     tool = (
         F.when(F.col("tool_name") == "Glob", F.when(w == 0, "mcp__x__list").otherwise("functions.list_dir")).when(F.col("tool_name") == "Read", "read_file").when(F.col("tool_name") == "Grep", F.when(w == 0, "Grep").otherwise("tools/grep"))
@@ -147,6 +154,8 @@ def raw_codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         said, _object({"stdout": said}), _object({"output": said, "exit_code": F.lit("0")}), _object({"content": said}), _object({"stdout": said, "exit_code": F.lit("1")}), _object({"output": said, "stderr": F.lit('"x"')}), _object({"stdout": said, "interrupted": F.lit("true")}),
         _object({"output": said, "status": F.lit('" Failed "')}), _object({"result": _object({"output": said})}), _object({"result": _object({"output": said, "success": F.lit("false")})}), prefixed("Exit code: 1\\n"), prefixed("exit code: 0\\n"),
         _object({"output": said, "success": F.lit("true"), "exitCode": F.lit("0"), "status": F.lit('"completed"')}), F.lit("{}"),
+        prefixed('{\\"output\\":1}\\n'), _object({"output": said, "exit_code": F.lit('"1"')}), _object({"output": said, "exit_code": F.lit("1.0")}), _object({"output": said, "success": F.lit('"no"')}),
+        _object({"output": said, "result": F.lit('"x"')}), _object({"stdout": F.lit("5"), "output": said}), F.lit("null"), F.concat(F.lit("["), said, F.lit("]")), _object({"output": prefixed("exit code: 3\\n")}),
     ]
     response = shapes[0]
     for at, shape in enumerate(shapes[1:], 1):
@@ -159,6 +168,17 @@ def raw_codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*[x for x in e.columns if x not in ("text", "tool_name")], tool.alias("tool_name"), tool_input.alias("tool_input"), F.when(tool.isNotNull(), response).alias("tool_response"))
 
 
+def event_lines(raw: DataFrame) -> DataFrame:
+    """value: raw events as agents write them, inputs and responses nested in the line. Of every 50 some lines more are broken or mistyped, and say nothing."""
+    text = lambda name: F.concat(F.lit('"'), escaped(F.col(name)), F.lit('"'))
+    fields = {"seq": F.col("event_id").cast("string"), "session_id": text("session_id"), "cwd": text("project_root"), "hook_event_name": text("hook_event_name"), "tool_name": text("tool_name")}
+    fields |= {"tool_input": F.nullif("tool_input", F.lit("")), "tool_response": F.col("tool_response"), "agent": text("agent")}
+    some = raw.filter("event_id % 50 = 0")
+    bad = [_object({**fields, **x}) for x in ({"seq": F.lit('"1"')}, {"session_id": F.lit("5")}, {"cwd": F.lit('["/p"]')}, {"hook_event_name": F.lit("null")})]
+    bad += [F.lit("[]"), F.concat(F.lit("{"), _object(fields))]
+    return raw.select(_object(fields).alias("value")).unionByName(some.select(F.explode(F.array(*bad)).alias("value")))
+
+
 def _content(bad):
     """Conversations' texts as JSON strings, parts or other values, by turn."""
     said = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"'))
@@ -191,4 +211,64 @@ def rollout_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.col("role") == "assistant"
     model = F.concat(F.lit('"'), _model(CODEX_MODELS, (F.col("conv_id") - 1) / 2 + F.col("turn")), F.lit('"'))
     payload = F.when(said, _object({"type": F.lit('"token_count"'), "info": _object({"total_token_usage": total})})).otherwise(_object({"type": F.lit('"message"'), "role": F.lit('"user"'), "model": model, "content": _content(F.lit('{"a": "b"}'))}))
-    return x.select("session_id", "n", _object({"type": F.when(said, '"event_msg"').otherwise('"response_item"'), "payload": payload}).alias("line"))
+    line = _object({"type": F.when(said, '"event_msg"').otherwise('"response_item"'), "payload": payload})
+    # Payloads in a line of another type, and a mistyped model: these say nothing.
+    idle = [
+        '{"type":"response_item","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":999999}}}}', '{"type":"event_msg","payload":{"type":"message","role":"user","content":"not counted"}}',
+        '{"type":"event_msg","payload":{"type":"token_count","model":5,"info":{"total_token_usage":{"input_tokens":999999}}}}', '{"payload":{"type":"function_call_output","output":"not counted"}}',
+    ]
+    return x.select("session_id", "n", F.explode(F.when(F.col("turn") % 4 == 1, F.array(line, *map(F.lit, idle))).otherwise(F.array(line))).alias("line"))
+
+
+def write_growing(lines: DataFrame, folder: str, cut: int | None = None) -> None:
+    """Lines (session_id, n, line) as {folder}/{session_id}.jsonl: those with n < cut (all, if not given), and half of the next one, as of a file that is being written."""
+
+    def run(batches):
+        now, out, ended = None, None, False
+        for b in batches:
+            for session, n, line in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if session != now:
+                    if out:
+                        out.close()
+                    system, own = opened(folder)
+                    system.create_dir(own)
+                    now, out, ended = session, system.open_output_stream(f"{own}/{session}.jsonl"), False
+                data = line.encode("utf-8")
+                if cut is None or n < cut:
+                    out.write(data + b"\n")
+                elif not ended:
+                    out.write(data[: len(data) // 2])
+                    ended = True
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+        if out:
+            out.close()
+
+    dealt = lines.select("session_id", "n", "line").repartition("session_id").sortWithinPartitions("session_id", "n")
+    dealt.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def write_files(named: DataFrame, folder: str) -> None:
+    """Each row (name, content) as a file of the folder."""
+
+    def run(batches):
+        for b in batches:
+            system, own = opened(folder)
+            system.create_dir(own)
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with system.open_output_stream(f"{own}/{name}") as out:
+                    out.write(content.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    named.select("name", "content").mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, content: suppliers as tallies of sessions, every ninth one corrupt; the old lifetime file and other files among them."""
+    k = F.col("s_suppkey")
+    number = lambda v: v.cast("string")
+    fields = {"agent": F.when(k % 3 == 0, '"codex"'), "dedupHits": number(k), "dedupBytes": number(k * 100), "budgetTrims": F.when(k % 2 == 0, number(k % 7)), "retiredBytes": number(k * 3)}
+    fields |= {"transcriptTokens": number(k * 11), "transcriptCostUsd": number(k.cast("double") / 4), "transcriptContentBytes": number(k * 5)}
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), number(k), F.lit(".stats.json")).alias("name"), F.when(k % 9 == 0, "{broken").otherwise(_object(fields)).alias("content"), k.alias("k"))
+    other = own.filter("k % 10 = 1").select(F.concat(F.lit("s"), number(F.col("k")), F.lit(".ledger.json")).alias("name"), F.lit("{}").alias("content"))
+    legacy = own.filter("k = 1").select(F.lit("lifetime.stats.json").alias("name"), "content")
+    return own.drop("k").unionByName(other).unionByName(legacy)

@@ -157,17 +157,22 @@ def _measured(cte: str, source: str, text: str = "text") -> str:
 _EPOCH = "sum((hook = 'SessionStart')::INT) OVER (PARTITION BY project_root, session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch"
 _SAID = _escaped("said")
 _RAW_CLAUDE = f"""
-rc AS (SELECT te.* EXCLUDE (doc_id), {_CLEAN.format("d.text")} AS said, event_id % 11 AS v FROM te LEFT JOIN documents d USING (doc_id) WHERE agent = 'claude-code'),
-rn AS (SELECT *, CASE WHEN tool = 'Bash' THEN CASE WHEN v NOT IN (0, 1, 2) THEN nullif(said, '') END WHEN tool = 'Grep' THEN CASE WHEN v <> 3 THEN nullif(said, '') END WHEN tool = 'Glob' AND v <> 4 THEN said END AS text,
-  CASE WHEN tool = 'Bash' THEN '{{"stdout":"' || {_SAID} || '","stderr":"' || CASE WHEN v = 2 THEN 'oops' ELSE '' END || '","interrupted":' || (v = 0) || ',"isImage":' || (v = 1) || '}}' WHEN tool = 'Grep' THEN '{{"mode":"content","content":"' || CASE WHEN v = 3 THEN '' ELSE {_SAID} END || '"}}'
-  WHEN tool = 'Glob' THEN '{{"filenames":[' || CASE WHEN v = 4 THEN '' ELSE '"' || replace({_SAID}, '\\n', '","') || '"' END || '],"truncated":false}}' WHEN tool = 'Read' THEN '{{"file":{{"content":"' || {_SAID} || '"}}}}' WHEN tool IS NOT NULL THEN '{{"ok":true}}' END AS raw,
+rc AS (SELECT te.* EXCLUDE (doc_id), {_CLEAN.format("d.text")} AS said, event_id % 14 AS v FROM te LEFT JOIN documents d USING (doc_id) WHERE agent = 'claude-code'),
+rn AS (SELECT *, CASE WHEN tool = 'Bash' THEN CASE WHEN v NOT IN (0, 1, 2, 11, 12, 13) THEN nullif(said, '') END
+    WHEN tool = 'Grep' THEN CASE WHEN v NOT IN (3, 11) THEN nullif(said, '') END WHEN tool = 'Glob' AND v NOT IN (4, 11) THEN said END AS text,
+  CASE WHEN tool IN ('Bash', 'Read') AND v = 12 THEN '"' || {_SAID} || '"' WHEN tool = 'Read' AND v = 13 THEN 'null'
+    WHEN tool = 'Bash' THEN '{{"stdout":' || CASE WHEN v = 13 THEN '5' ELSE '"' || {_SAID} || '"' END || ',"stderr":"' || CASE WHEN v = 2 THEN 'oops' ELSE '' END
+      || '","interrupted":' || CASE WHEN v = 11 THEN '"yes"' ELSE (v = 0)::VARCHAR END || ',"isImage":' || (v = 1) || '}}'
+    WHEN tool = 'Grep' THEN '{{"mode":"content","content":"' || CASE WHEN v = 3 THEN '' ELSE {_SAID} END || '"' || CASE WHEN v = 11 THEN ',"numLines":"3"' ELSE '' END || '}}'
+    WHEN tool = 'Glob' THEN '{{"filenames":[' || CASE WHEN v = 4 THEN '' ELSE '"' || replace({_SAID}, '\\n', '","') || '"' END || '],"truncated":' || CASE WHEN v = 11 THEN '"no"' ELSE 'false' END || '}}'
+    WHEN tool = 'Read' THEN '{{"file":{{"content":"' || {_SAID} || '"}}}}' WHEN tool IS NOT NULL THEN '{{"ok":true}}' END AS raw,
   CASE WHEN tool = 'Bash' THEN 'Bash:cmd-' || k ELSE 'cmd-' || k END AS key FROM rc),
 {_measured("rm", "rn")},
 c0 AS (SELECT *, {_tokens("raw")} AS raw_tokens, strlen(raw)::BIGINT AS raw_bytes, sha256(raw) AS raw_hash, {_EPOCH}, coalesce(tool IN ('Read', 'Grep', 'Glob'), false) AS looks, coalesce(tool = 'Edit', false) AS works, coalesce(tool = 'Bash' AND text IS NOT NULL, false) AS eligible FROM rm)"""
 
-_SHELL_TEXT = "CASE WHEN v IN (0, 1, 2, 3, 8, 12) THEN nullif(said, '') WHEN v = 11 THEN 'exit code: 0' || chr(10) || said END"
+_SHELL_TEXT = "CASE WHEN v IN (0, 1, 2, 3, 8, 12) THEN nullif(said, '') WHEN v = 11 THEN 'exit code: 0' || chr(10) || said WHEN v = 14 THEN '{\"output\":1}' || chr(10) || said WHEN v = 22 THEN 'exit code: 3' || chr(10) || said END"
 _RAW_CODEX = f"""
-yc AS (SELECT te.* EXCLUDE (doc_id, tool), tool AS kind, {_CLEAN.format("d.text")} AS said, event_id % 14 AS v, event_id % 3 AS w FROM te LEFT JOIN documents d USING (doc_id) WHERE agent = 'codex'),
+yc AS (SELECT te.* EXCLUDE (doc_id, tool), tool AS kind, {_CLEAN.format("d.text")} AS said, event_id % 23 AS v, event_id % 3 AS w FROM te LEFT JOIN documents d USING (doc_id) WHERE agent = 'codex'),
 yn AS (SELECT *, coalesce(kind = 'Bash', false) AS shell, CASE kind WHEN 'Glob' THEN CASE WHEN w = 0 THEN 'mcp__x__list' ELSE 'functions.list_dir' END WHEN 'Read' THEN 'read_file' WHEN 'Grep' THEN CASE WHEN w = 0 THEN 'Grep' ELSE 'tools/grep' END WHEN 'Edit' THEN 'apply_patch'
   WHEN 'Bash' THEN CASE w WHEN 0 THEN 'shell' WHEN 1 THEN ' Bash' || chr(10) ELSE 'functions.exec_command' END END AS tool,
   CASE WHEN kind = 'Edit' THEN 'implement' WHEN kind IN ('Read', 'Grep') OR (kind = 'Glob' AND w <> 0) OR (kind = 'Bash' AND event_type = 'error') THEN 'investigate' ELSE 'neutral' END AS class FROM yc),
@@ -236,6 +241,9 @@ ORACLE_SQL = {
     "investigate_counts": _C + "SELECT event_id, epoch, investigate_count, over_threshold FROM cd",
     "phase_boundary": _C + "SELECT event_id, crossing, past AS past_boundary FROM cd",
     "repeat_detection": _C + "SELECT event_id, is_repeat, turn, repeat_of_turn FROM cd WHERE eligible",
+    "sliced_state": _with(
+        _DOCS, _EVENTS.replace("'/p/' || (user_id % 10) AS project_root, user_id::VARCHAR AS session_id", "CASE WHEN user_id % 3 = 0 THEN '/p/hot' ELSE '/p/' || (user_id % 10) END AS project_root, CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE user_id::VARCHAR END AS session_id"), _CLAUDE, _CLAUDE_RULES
+    ) + "SELECT event_id, epoch, investigate_count, crossing, past AS past_boundary, over_threshold, is_repeat, turn, repeat_of_turn FROM cd",
     "claude_decisions": _C + "SELECT event_id, action, saved_bytes FROM cd",
     "reduce_stream": _C + "SELECT event_id, action, saved_bytes FROM cd",
     "codex_decisions": _X + "SELECT event_id, action, saved_bytes FROM xd",
@@ -287,13 +295,20 @@ ORACLE_SQL = {
     "raw_codex_normalized": _with(_EVENTS, _RAW_CODEX) + "SELECT event_id, class, shell AS is_shell, eligible AS can_rewrite, CASE WHEN eligible THEN key END AS key, md5(text) AS text_md5 FROM xe",
     "reduced_trajectories_claude": _RC + f", sh AS (SELECT *, {_SHOWN_CLAUDE} AS shown FROM cd WHERE {_ARCHIVED} OR action = 'dedup') SELECT event_id, action, CASE WHEN action <> 'dedup' THEN {_RAW_CID} END AS content_id, md5({_OUT_CLAUDE}) AS output_md5 FROM sh",
     "reduced_trajectories_codex": _RX + f", sh AS (SELECT *, {_SHOWN_CODEX} AS shown FROM xd WHERE {_ARCHIVED} OR action = 'dedup') SELECT event_id, action, CASE WHEN action <> 'dedup' THEN {_CID} END AS content_id, md5({_quoted('shown')}) AS output_md5 FROM sh",
+    "stored_reduced": _RBOTH + f""", sh AS (SELECT *, {_SHOWN_CLAUDE} AS shown FROM cd WHERE {_ARCHIVED} OR action = 'dedup'), sx AS (SELECT *, {_SHOWN_CODEX} AS shown FROM xd WHERE {_ARCHIVED} OR action = 'dedup')
+      SELECT project_root, session_id, event_id, action, CASE WHEN action <> 'dedup' THEN {_RAW_CID} END AS content_id, md5({_OUT_CLAUDE}) AS output_md5 FROM sh
+      UNION ALL SELECT project_root, session_id, event_id, action, CASE WHEN action <> 'dedup' THEN {_CID} END, md5({_quoted('shown')}) FROM sx""",
+    "stats_files": """WITH x AS (SELECT s_suppkey::BIGINT AS k, s_suppkey % 9 <> 0 AS whole FROM supplier)
+      SELECT 's' || k AS session_id, CASE WHEN whole AND k % 3 = 0 THEN 'codex' ELSE 'claude-code' END AS agent, CASE WHEN whole THEN k ELSE 0 END AS dedup_hits, CASE WHEN whole THEN k * 100 ELSE 0 END AS dedup_bytes,
+        CASE WHEN whole AND k % 2 = 0 THEN k % 7 ELSE 0 END AS budget_trims, 0::BIGINT AS budget_lines_omitted, 0::BIGINT AS budget_bytes_omitted, 0::BIGINT AS retired_calls, CASE WHEN whole THEN k * 3 ELSE 0 END AS retired_bytes,
+        CASE WHEN whole THEN k * 11 ELSE 0 END AS transcript_tokens, CASE WHEN whole THEN k / 4.0 ELSE 0 END::DOUBLE AS transcript_cost_usd, CASE WHEN whole THEN k * 5 ELSE 0 END AS transcript_content_bytes FROM x""",
     "stored_archive": _RBOTH + _RAW_ARCHIVE,
     "stored_stats": _RBOTH + ", " + _TALLY + """ SELECT project_root, session_id, agent, count(*) FILTER (action = 'dedup') AS dedup_hits, coalesce(sum(saved_bytes) FILTER (action = 'dedup'), 0)::BIGINT AS dedup_bytes, count(*) FILTER (action = 'trim') AS budget_trims,
       coalesce(sum(omitted_lines) FILTER (action = 'trim'), 0)::BIGINT AS budget_lines_omitted, coalesce(sum(saved_bytes) FILTER (action = 'trim'), 0)::BIGINT AS budget_bytes_omitted, count(*) FILTER (action LIKE '%retire%') AS retired_calls, coalesce(sum(saved_bytes) FILTER (action LIKE '%retire%'), 0)::BIGINT AS retired_bytes FROM dd GROUP BY ALL""",
     "trimmed_lists": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_measured("m", "d")}, o AS (SELECT doc_id, CASE WHEN long THEN string_split({_cut("left(hash, 32)", "text", "ls", "entries")}, chr(10)) ELSE string_split(text, chr(10)) END AS e FROM m) SELECT doc_id, len(e)::BIGINT AS n, md5(array_to_string(e, chr(10))) AS entries_md5 FROM o""",
     "transcript_files": _with(_LINES) + """SELECT session_id, sum(CASE WHEN role = 'assistant' THEN turn * 3 + 10 + n + turn * 7 ELSE 0 END)::BIGINT AS tokens, round(sum(CASE WHEN role = 'assistant' THEN ((turn * 3 + 10) * input + n * w5 + turn * 7 * w1) / 1000000.0 ELSE 0 END), 6) AS cost_usd, sum(CASE WHEN role = 'user' THEN raw_bytes ELSE 0 END)::BIGINT AS content_bytes FROM jp GROUP BY 1""",
     "rollout_files": _with(_ROLLOUTS) + f", jz AS (SELECT js.*, {_PRICED_AS.format(m='js.model')} AS priced_as FROM js) SELECT session_id, (greatest(fresh, 0) + w)::BIGINT AS tokens, round((greatest(fresh, 0) * p.input + w * p.w5) / 1000000.0, 6) AS cost_usd, content_bytes FROM jz JOIN prices p ON p.family = 'openai' AND p.model = priced_as",
-    "settled_sessions": _with(_USAGE) + "SELECT project_root, session_id, tokens, round(cost_usd, 6) AS cost_usd, content_bytes FROM cu",
+    "settled_sessions": "",
     "live_codex_usage": _with(_USAGE) + f""", pc AS (SELECT *, CASE WHEN turn < 3 THEN 0 WHEN turn < 6 THEN 1 ELSE 2 END AS piece FROM xl), pe AS (SELECT project_root, session_id, piece, arg_max(coalesce(model, ''), turn) AS model, greatest(arg_max(turn * 400 + bytes, turn), 0) AS fresh, arg_max(turn * 30, turn) AS w FROM pc WHERE is_total GROUP BY ALL),
       pp AS (SELECT pe.*, {_PRICED_AS.format(m='pe.model')} AS priced_as FROM pe), pm AS (SELECT project_root, session_id, max(fresh + w)::BIGINT AS tokens, max((fresh * p.input + w * p.w5) / 1000000.0) AS cost_usd FROM pp JOIN prices p ON p.family = 'openai' AND p.model = priced_as GROUP BY ALL)
       SELECT project_root, session_id, coalesce(tokens, 0) AS tokens, round(coalesce(cost_usd, 0.0), 6) AS cost_usd, content_bytes FROM xb LEFT JOIN pm USING (project_root, session_id)""",
@@ -301,4 +316,19 @@ ORACLE_SQL = {
       m AS (SELECT level, project_root, session_id, total, 0 AS ord, 'dedup' AS mechanism, dedup_hits AS n, dedup_bytes AS bytes FROM t UNION ALL SELECT level, project_root, session_id, total, 1, 'trim', budget_trims, budget_bytes_omitted FROM t UNION ALL SELECT level, project_root, session_id, total, 2, 'retire', retired_calls, retired_bytes FROM t)
       SELECT level, project_root, session_id, mechanism, n, bytes, round(CASE WHEN total <> 0 THEN bytes * 100.0::DOUBLE / total END, 4) AS percent, round(CASE WHEN max(bytes) OVER w > 0 THEN bytes::DOUBLE / max(bytes) OVER w ELSE 0 END, 4) AS fill, row_number() OVER (PARTITION BY level, project_root, session_id ORDER BY bytes DESC, ord) AS place FROM m WINDOW w AS (PARTITION BY level, project_root, session_id)""",
 }
-ORACLE_SQL["live_overview"] = ORACLE_SQL["overview"]
+
+_OF_PROJECT = "SELECT '/p/' || (substr(session_id, 2)::BIGINT % 10) AS project_root, * FROM ({})"
+ORACLE_SQL["tailed_transcripts"] = _OF_PROJECT.format(ORACLE_SQL["transcript_files"])
+ORACLE_SQL["settled_sessions"] = _OF_PROJECT.format(ORACLE_SQL["transcript_files"]) + " UNION ALL " + _OF_PROJECT.format(ORACLE_SQL["rollout_files"])
+# Read while they grow, cumulative counts add what a micro-batch's last total has more than the ones before.
+_PIECES = "CASE WHEN turn < 3 THEN 0 WHEN turn < 6 THEN 1 ELSE 2 END"
+ORACLE_SQL["tailed_rollouts"] = _OF_PROJECT.format(_with(_ROLLOUTS) + f""", pe AS (SELECT session_id, {_PIECES} AS piece, arg_max(coalesce(model, ''), turn) AS model, greatest(arg_max(turn * 400 + n, turn), 0) AS fresh, arg_max(turn * 30, turn) AS w FROM jl WHERE is_total GROUP BY ALL),
+  pp AS (SELECT pe.*, {_PRICED_AS.format(m='pe.model')} AS priced_as FROM pe),
+  pm AS (SELECT session_id, max(fresh + w)::BIGINT AS tokens, max((fresh * p.input + w * p.w5) / 1000000.0) AS cost_usd FROM pp JOIN prices p ON p.family = 'openai' AND p.model = priced_as GROUP BY ALL)
+  SELECT session_id, coalesce(tokens, 0) AS tokens, round(coalesce(cost_usd, 0.0), 6) AS cost_usd, content_bytes FROM js LEFT JOIN pm USING (session_id)""")
+_LIVE = ORACLE_SQL["live_codex_usage"].removeprefix(_with(_USAGE)).partition("SELECT project_root, session_id, coalesce(tokens, 0)")
+ORACLE_SQL["live_overview"] = ORACLE_SQL["overview"].replace(
+    "us AS (SELECT *, 'claude-code' AS agent FROM cu UNION ALL SELECT *, 'codex' AS agent FROM xu)",
+    _LIVE[0].strip().removeprefix(",").strip() + ", lu AS (" + (_LIVE[1] + _LIVE[2]).replace("round(coalesce(cost_usd, 0.0), 6)", "coalesce(cost_usd, 0.0)")
+    + "), us AS (SELECT *, 'claude-code' AS agent FROM cu UNION ALL SELECT *, 'codex' AS agent FROM lu)",
+)

@@ -21,7 +21,7 @@ from trajloom.operators import rollup as r
 from trajloom.operators import state as st
 from trajloom.operators import usage as u
 from trajloom.plans import adapters as a
-from trajloom.sources import files
+from trajloom.sources import files, tail
 from trajloom.streaming import usage as live
 from trajloom.streaming.reduce import reduce_stream as live_decisions
 from trajloom.streaming.reduce import slim, use_rocksdb
@@ -33,12 +33,17 @@ def _documents(spark, sf_dir):
     return a.table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _claude(spark, sf_dir):
-    return d.decide_claude(a.claude_events(spark, sf_dir), ORDER)
+def _claude(spark, sf_dir, measures=None):
+    return d.decide_claude(a.claude_events(spark, sf_dir, measures=measures), ORDER)
 
 
-def _codex(spark, sf_dir):
-    return d.decide_codex(a.codex_events(spark, sf_dir), ORDER)
+def _codex(spark, sf_dir, measures=None):
+    return d.decide_codex(a.codex_events(spark, sf_dir, measures=measures), ORDER)
+
+
+def _measured(spark, sf_dir):
+    """The documents' measures, written once for queries of both agents."""
+    return _saved(spark)(a.measured(spark, sf_dir))
 
 
 def _texts(spark, sf_dir):
@@ -88,8 +93,9 @@ def classify_commands(spark, sf_dir):
 
 
 def tool_class_counts(spark, sf_dir):
-    x = a.codex_events(spark, sf_dir).select("tool_name", "class", F.lit("codex").alias("agent"))
-    y = a.claude_events(spark, sf_dir).select("tool_name", "class", F.lit("claude-code").alias("agent"))
+    measures = _measured(spark, sf_dir)
+    x = a.codex_events(spark, sf_dir, measures).select("tool_name", "class", F.lit("codex").alias("agent"))
+    y = a.claude_events(spark, sf_dir, measures=measures).select("tool_name", "class", F.lit("claude-code").alias("agent"))
     return x.unionByName(y).filter(F.col("tool_name").isNotNull()).groupBy("agent", "tool_name", "class").agg(F.count(F.lit(1)).alias("calls"))
 
 
@@ -114,6 +120,14 @@ def repeat_detection(spark, sf_dir):
     return _claude(spark, sf_dir).filter("eligible").select("event_id", "is_repeat", "turn", "repeat_of_turn")
 
 
+def sliced_state(spark, sf_dir):
+    """The state of calls where a third of all users is one session, by slices of sessions."""
+    hot = (F.col("session_id").cast("bigint") % 3) == 0
+    e = a.claude_events(spark, sf_dir).withColumns({"project_root": F.when(hot, "/p/hot").otherwise(F.col("project_root")), "session_id": F.when(hot, "hot").otherwise(F.col("session_id"))})
+    found = st.with_state_in_slices(e, ORDER)
+    return found.select("event_id", "epoch", "investigate_count", "crossing", "past_boundary", "over_threshold", "is_repeat", "turn", "repeat_of_turn")
+
+
 def claude_decisions(spark, sf_dir):
     return _claude(spark, sf_dir).select("event_id", "action", "saved_bytes")
 
@@ -123,7 +137,8 @@ def codex_decisions(spark, sf_dir):
 
 
 def decision_counts(spark, sf_dir):
-    x = _claude(spark, sf_dir).select("action", "saved_bytes", F.lit("claude-code").alias("rules")).unionByName(_codex(spark, sf_dir).select("action", "saved_bytes", F.lit("codex").alias("rules")))
+    measures = _measured(spark, sf_dir)
+    x = _claude(spark, sf_dir, measures).select("action", "saved_bytes", F.lit("claude-code").alias("rules")).unionByName(_codex(spark, sf_dir, measures).select("action", "saved_bytes", F.lit("codex").alias("rules")))
     return x.groupBy("rules", "action").agg(F.count(F.lit(1)).alias("calls"), F.sum("saved_bytes").alias("saved_bytes"))
 
 
@@ -188,7 +203,8 @@ def price_lookup(spark, sf_dir):
 
 def _stats(spark, sf_dir):
     cols = [*st.SESSION, "agent", "action", "saved_bytes", "omitted_lines"]
-    decided = d.decide_claude(a.claude_events(spark, sf_dir, own=True), ORDER).select(cols).unionByName(_codex(spark, sf_dir).select(cols))
+    measures = _measured(spark, sf_dir)
+    decided = d.decide_claude(a.claude_events(spark, sf_dir, True, measures), ORDER).select(cols).unionByName(_codex(spark, sf_dir, measures).select(cols))
     return r.session_stats(r.mechanism_stats(decided), _usage(spark, sf_dir))
 
 
@@ -331,20 +347,35 @@ def reduce_stream_codex(spark, sf_dir):
     return spark.read.schema("event_id bigint, action string, saved_bytes bigint").parquet(path)
 
 
+def _by_turn(lines):
+    return lines.withColumn("piece", F.when(F.col("line_no") < 3, 0).when(F.col("line_no") < 6, 1).otherwise(2))
+
+
 def live_overview(spark, sf_dir):
-    """The overview from the streams' tallies of both agents."""
-    tallied = lambda writer, path: writer.foreachBatch(live.tally(path))
-    paths = [_live(spark, sf_dir, a.claude_events(spark, sf_dir, own=True), False, tallied), _live(spark, sf_dir, a.codex_events(spark, sf_dir), True, tallied)]
-    u1, u2 = (_usage(spark, sf_dir).filter(F.col("agent") == x) for x in ("claude-code", "codex"))
-    stats = live.live_stats(spark, paths[0], u1).unionByName(live.live_stats(spark, paths[1], u2))
-    return _rounded(r.overview(stats, live_projects(spark, sf_dir)), "tokens_saved", "dollars_saved")
+    """The overview that one running query over decisions and usage of both agents keeps, as of its third micro-batch."""
+    use_rocksdb(spark)
+    folder, measures = _shared(spark), _measured(spark, sf_dir)
+    events = [slim(e.withColumn("seq", F.unix_micros("ts"))).withColumn("agent", F.lit(name)) for e, name in ((a.claude_events(spark, sf_dir, True, measures), "claude-code"), (a.codex_events(spark, sf_dir, measures), "codex"))]
+    both = events[0].unionByName(events[1])
+    cuts = F.broadcast(both.agg(F.percentile_approx("seq", [1 / 3, 2 / 3]).alias("cuts")))  # one row
+    both = both.crossJoin(cuts).withColumn("piece", F.when(F.col("seq") <= F.col("cuts")[0], 0).when(F.col("seq") <= F.col("cuts")[1], 1).otherwise(2)).drop("cuts")
+    of = lambda df, k: df.filter(F.col("piece") == k).drop("piece")
+    claude, codex = _by_turn(a.claude_lines(spark, sf_dir)), _by_turn(a.codex_lines(spark, sf_dir))
+    projects = live_projects(spark, sf_dir)
+    for k in range(3):
+        rows = live.session_rows(of(both, k), of(claude, k), of(codex, k))
+        rows.write.mode("append").parquet(f"{folder}/rows")
+        query = live.live_overview(spark.readStream.schema(rows.schema).parquet(f"{folder}/rows"), f"{folder}/live", projects)
+        query.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.parquet(f"{folder}/live/overview")
+    return _rounded(made.orderBy(F.desc("batch")).limit(1).drop("batch"), "tokens_saved", "dollars_saved")
 
 
 def live_codex_usage(spark, sf_dir):
     """The second agent's usage from cumulative counts read in three pieces."""
     use_rocksdb(spark)
     folder = _shared(spark)
-    lines = a.codex_lines(spark, sf_dir).withColumn("piece", F.when(F.col("line_no") < 3, 0).when(F.col("line_no") < 6, 1).otherwise(2))
+    lines = _by_turn(a.codex_lines(spark, sf_dir))
 
     def run(stream):
         _rows(live.live_codex_usage(stream).writeStream, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
@@ -354,24 +385,73 @@ def live_codex_usage(spark, sf_dir):
     return steps.groupBy(*st.SESSION).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.sum("content_bytes").alias("content_bytes"))
 
 
+def _project(df):
+    """Conversations' sessions are named s<conv_id>."""
+    return df.withColumn("project_root", F.concat(F.lit("/p/"), (F.substring("session_id", 2, 30).cast("bigint") % 10).cast("string")))
+
+
+def _tailed(spark, lines, start):
+    """Files that grow by two lines and a half, again, and to their end; the stream reads on each time."""
+    tail.register(spark)
+    use_rocksdb(spark)
+    folder = _shared(spark)
+    for cut in (3, 6, None):
+        a.write_growing(lines, f"{folder}/files", cut)
+        stream = spark.readStream.format("tailed_lines").option("suffix", ".jsonl").load(f"{folder}/files")
+        start(stream, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/out"
+
+
+def tailed_transcripts(spark, sf_dir):
+    """The first agent's usage from files that are still being written."""
+    def start(stream, out):
+        usage = live.live_usage(_project(files.transcript_lines(stream)))
+        return usage.writeStream.outputMode("update").foreachBatch(lambda batch, n: files.write_session_stats(batch, out, version=n))
+
+    found = files.latest_session_stats(spark, _tailed(spark, a.transcript_json(spark, sf_dir), start))
+    return found.withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def tailed_rollouts(spark, sf_dir):
+    """The second agent's likewise, from cumulative counts."""
+    def start(stream, out):
+        lines = _project(files.rollout_lines(stream, "position")).withColumnRenamed("position", "line_no")
+        return _rows(live.live_codex_usage(lines).writeStream, out)
+
+    out = _tailed(spark, a.rollout_json(spark, sf_dir), start)
+    steps = spark.read.schema("project_root string, session_id string, tokens bigint, cost_usd double, content_bytes bigint").parquet(out)
+    return steps.groupBy(*st.SESSION).agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.sum("content_bytes").alias("content_bytes"))
+
+
 def settled_sessions(spark, sf_dir):
-    """Sessions that end are read in full again; the last version of each stands."""
+    """Sessions of both agents that end, go on and end again: their files are read in full each time, the last version of each stands."""
+    folder = _shared(spark)
+    lines = {"claude-code": a.transcript_json(spark, sf_dir), "codex": a.rollout_json(spark, sf_dir)}
+    for cut in (4, None):
+        ends = []
+        for agent, x in lines.items():
+            a.write_growing(x, f"{folder}/{agent}", cut)
+            path = F.concat(F.lit(f"{folder}/{agent}/"), "session_id", F.lit(".jsonl"))
+            ends.append(_project(x.select("session_id").distinct()).select(*st.SESSION, F.lit(agent).alias("agent"), path.alias("transcript_path"), F.lit("SessionEnd").alias("hook_event_name")))
+        live.settle(f"{folder}/stats", live.reread)(ends[0].unionByName(ends[1]), 0)
+    return files.latest_session_stats(spark, f"{folder}/stats").withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+def _raw(spark, sf_dir, codex):
+    """Raw events, read back from JSON lines."""
     path = _shared(spark)
-    usage = _claude_usage(spark, sf_dir).withColumn("cost_usd", F.round("cost_usd", 6))
-    ends = usage.select(*st.SESSION, F.lit("SessionEnd").alias("hook_event_name"))
-    live.settle(path, lambda ended: ended.select(*st.SESSION, F.lit(-1).cast("bigint").alias("tokens"), F.lit(0.0).alias("cost_usd"), F.lit(0).cast("bigint").alias("content_bytes")))(ends, 0)
-    live.settle(path, lambda ended: ended.select(*st.SESSION).join(usage, st.SESSION))(ends, 1)
-    return files.latest_session_stats(spark, path)
+    a.event_lines(a.raw_codex_events(spark, sf_dir) if codex else a.raw_claude_events(spark, sf_dir)).write.text(path)
+    return files.read_tool_events(spark, path).withColumnsRenamed({"seq": "event_id"}).withColumn("project_root", F.col("cwd"))
 
 
 def raw_claude_normalized(spark, sf_dir):
     """What raw events of the first agent say: class, key, text that can be changed, raw response."""
-    e = o.normalize_claude(a.raw_claude_events(spark, sf_dir))
+    e = o.normalize_claude(_raw(spark, sf_dir, False))
     return e.select("event_id", "class", "is_shell", "key", F.md5("text").alias("text_md5"), F.md5("raw_text").alias("raw_md5"))
 
 
 def raw_codex_normalized(spark, sf_dir):
-    e = o.normalize_codex(a.raw_codex_events(spark, sf_dir))
+    e = o.normalize_codex(_raw(spark, sf_dir, True))
     return e.select("event_id", "class", "is_shell", "can_rewrite", F.when(F.col("can_rewrite"), F.col("key")).alias("key"), F.md5("text").alias("text_md5"))
 
 
@@ -385,12 +465,8 @@ def _saved(spark):
 
 
 def _reduce(spark, sf_dir, codex):
-    """Raw events, read back from JSON lines, reduced."""
-    raw = a.raw_codex_events(spark, sf_dir) if codex else a.raw_claude_events(spark, sf_dir)
-    path = _shared(spark)
-    raw.select(F.col("event_id").alias("seq"), "session_id", F.col("project_root").alias("cwd"), "hook_event_name", "tool_name", "tool_input", "tool_response", "agent").write.json(path)
-    events = files.read_tool_events(spark, path).withColumnsRenamed({"seq": "event_id"}).withColumn("project_root", F.col("cwd"))
-    return rd.reduce_trajectories(events, ["event_id"], codex=codex, save=_saved(spark))
+    """Raw events, reduced."""
+    return rd.reduce_trajectories(_raw(spark, sf_dir, codex), ["event_id"], codex=codex, save=_saved(spark))
 
 
 def reduced_trajectories_claude(spark, sf_dir):
@@ -403,6 +479,21 @@ def reduced_trajectories_codex(spark, sf_dir):
     return x.outputs.select("event_id", "action", "content_id", F.md5("updated_output").alias("output_md5"))
 
 
+def stored_reduced(spark, sf_dir):
+    """Both agents' replacements, written and read back."""
+    path = _shared(spark)
+    for codex in (False, True):
+        files.write_reduced(_reduce(spark, sf_dir, codex).outputs, path)
+    return files.read_reduced(spark, path).select(*st.SESSION, "event_id", "action", "content_id", F.md5("updated_output").alias("output_md5"))
+
+
+def stats_files(spark, sf_dir):
+    """Tallies in files of their own, corrupt and old ones among them."""
+    path = _shared(spark)
+    a.write_files(a.stats_json(spark, sf_dir), path)
+    return files.read_session_stats(spark, path).select("session_id", "agent", *s.COUNTERS, *s.USAGE)
+
+
 def stored_archive(spark, sf_dir):
     """Both agents' archives of raw events, stored in two portions, the second one twice, and read back."""
     path = _shared(spark)
@@ -427,10 +518,9 @@ def trimmed_lists(spark, sf_dir):
 
 
 def _as_files(spark, df):
-    """Lines (session_id, n, line) as one text file for each session, as agents leave them."""
+    """Lines (session_id, n, line) as a text file for each session, as agents leave them."""
     path = _shared(spark)
-    whole = df.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    whole.write.partitionBy("session_id").text(path)
+    a.write_growing(df, path)
     return path
 
 
@@ -444,7 +534,7 @@ def transcript_files(spark, sf_dir):
 def rollout_files(spark, sf_dir):
     """The second agent's rollouts likewise; contents are strings, lists of parts or something else."""
     lines = files.read_rollouts(spark, _as_files(spark, a.rollout_json(spark, sf_dir)))
-    return u.codex_session_usage(lines, ["session_id"], ["line_no"]).withColumn("cost_usd", F.round("cost_usd", 6))
+    return u.codex_session_usage(lines, ["session_id"], ["split", "line_no"]).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 def mechanism_levels(spark, sf_dir):
@@ -455,10 +545,10 @@ def mechanism_levels(spark, sf_dir):
 
 
 NAMES = [
-    estimated_tokens, trim_head_tail, trim_summary_by_lang, content_hash_dups, classify_commands, tool_class_counts, routed_events, epochs, investigate_counts, phase_boundary, repeat_detection,
+    estimated_tokens, trim_head_tail, trim_summary_by_lang, content_hash_dups, classify_commands, tool_class_counts, routed_events, epochs, investigate_counts, phase_boundary, repeat_detection, sliced_state,
     claude_decisions, codex_decisions, decision_counts, archive_contents, live_archive, reduced_outputs, recover_content, compaction_points, claude_usage, codex_usage, usage_deltas, model_in_force, price_lookup,
     session_stats, sessions_worth_keeping, project_rollup, live_projects, overview, overview_texts, savings_rollup, mechanism_breakdown, sessions_newest_first, latest_agent_session, agent_status, resolve_project, fold_legacy, session_receipts, reduce_stream, reduce_stream_codex, live_overview,
-    live_codex_usage, settled_sessions, raw_claude_normalized, raw_codex_normalized, reduced_trajectories_claude, reduced_trajectories_codex, stored_archive, stored_stats, trimmed_lists, transcript_files, rollout_files, mechanism_levels,
+    live_codex_usage, tailed_transcripts, tailed_rollouts, settled_sessions, raw_claude_normalized, raw_codex_normalized, reduced_trajectories_claude, reduced_trajectories_codex, stored_reduced, stats_files, stored_archive, stored_stats, trimmed_lists, transcript_files, rollout_files, mechanism_levels,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 

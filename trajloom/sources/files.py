@@ -2,55 +2,44 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajloom.functions.savings import default_agent
-
-EVENT = "seq BIGINT, session_id STRING, cwd STRING, hook_event_name STRING, tool_name STRING, tool_input STRING, tool_response STRING, transcript_path STRING, model STRING, turn_id STRING, tool_use_id STRING, agent_id STRING, agent_type STRING, agent STRING"
-TRANSCRIPT = "STRUCT<type: STRING, message: STRUCT<role: STRING, model: STRING, usage: STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_creation: STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>>>>"
-ROLLOUT = "STRUCT<timestamp: STRING, type: STRING, payload: STRUCT<type: STRING, role: STRING, model: STRING, content: STRING, output: STRING, info: STRUCT<total_token_usage: STRUCT<input_tokens: BIGINT, cached_input_tokens: BIGINT, cache_write_input_tokens: BIGINT, output_tokens: BIGINT, reasoning_output_tokens: BIGINT, total_tokens: BIGINT>>>>"
+from trajloom.functions.strict import fields_at, raw_field, strict
+
+_NAMES = ["session_id", "cwd", "hook_event_name", "tool_name", "transcript_path", "model", "turn_id", "tool_use_id", "agent_id", "agent_type", "agent"]
+EVENT = {"seq": "bigint", **dict.fromkeys(_NAMES, "string")}
+_CREATED = {"ephemeral_5m_input_tokens": "bigint", "ephemeral_1h_input_tokens": "bigint"}
+_USED = {"input_tokens": "bigint", "output_tokens": "bigint", "cache_read_input_tokens": "bigint", "cache_creation_input_tokens": "bigint", "cache_creation": _CREATED}
+TRANSCRIPT = {"type": "string", "message": {"role": "string", "model": "string", "usage": _USED}}
+_TOTAL = dict.fromkeys(["input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"], "bigint")
+ROLLOUT = {"type": "string", "payload": {"type": "string", "role": "string", "model": "string", "content": "json", "output": "string", "info": {"total_token_usage": _TOTAL}}}
 _STATS = {"agent": "agent", "dedupHits": "dedup_hits", "dedupBytes": "dedup_bytes", "budgetTrims": "budget_trims", "budgetLinesOmitted": "budget_lines_omitted", "budgetBytesOmitted": "budget_bytes_omitted", "retiredCalls": "retired_calls", "retiredBytes": "retired_bytes", "transcriptTokens": "transcript_tokens", "transcriptCostUsd": "transcript_cost_usd", "transcriptContentBytes": "transcript_content_bytes"}
 
 
 def read_tool_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Inputs and responses stay raw JSON text; unreadable lines are left out."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(EVENT).json(path).filter(F.col("hook_event_name").isNotNull())
+    """Hook events as agents send them, one JSON object a line. Inputs and responses stay raw JSON text (a bare string keeps its quotes); a line that can't be read, or in which any other field has another type, is left out whole."""
+    lines = (spark.readStream if stream else spark.read).text(path)
+    x = lines.withColumn("x", strict(F.col("value"), EVENT)).filter(F.coalesce("x.hook_event_name", F.lit("")) != "")
+    raw = {k: raw_field(F.col("value"), k).alias(k) for k in ("tool_input", "tool_response")}
+    return x.select(*[F.col(f"x.{k}").alias(k) for k in ("seq", *_NAMES[:4])], *raw.values(), *[F.col(f"x.{k}").alias(k) for k in _NAMES[4:]])
 
 
 @F.pandas_udf(T.LongType())
 def raw_content_bytes(lines: pd.Series) -> pd.Series:
     """Bytes of message.content as it stands in the line; 0 where there is none. The only raw JSON length that built-ins cannot give."""
-    decoder = json.JSONDecoder()
-
-    def fields(text: str, at: int):
-        """Name, start and end of each value of the object at ``at``."""
-        at += 1
-        while True:
-            while text[at] in " \t\r\n,":
-                at += 1
-            if text[at] == "}":
-                return
-            name, at = decoder.raw_decode(text, at)
-            while text[at] in " \t\r\n:":
-                at += 1
-            _, end = decoder.raw_decode(text, at)
-            yield name, at, end
-            at = end
-
     def size(line: str) -> int:
         try:
             text = line.strip()
-            for name, a, _ in fields(text, 0):
+            for name, a, _ in fields_at(text, 0):
                 if name == "message" and text[a] == "{":
-                    return next((len(text[x:y].encode("utf-8")) for n, x, y in fields(text, a) if n == "content"), 0)
+                    return next((len(text[x:y].encode("utf-8")) for n, x, y in fields_at(text, a) if n == "content"), 0)
         except (ValueError, IndexError, AttributeError):
             pass
         return 0
@@ -58,44 +47,54 @@ def raw_content_bytes(lines: pd.Series) -> pd.Series:
     return lines.map(size)
 
 
-def _named(files: DataFrame) -> DataFrame:
+def _named(files: DataFrame, *more: Column) -> DataFrame:
     """value and session_id: that of the directory (session_id=...) where there is one, else the file's name."""
     own = F.col("session_id").cast("string") if "session_id" in files.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1)
-    return files.select("value", own.alias("session_id"))
+    return files.select("value", own.alias("session_id"), *more)
 
 
 def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines for claude_session_usage; the session is the directory's (session_id=...) or the file's name, bad lines are left out."""
     lines = _named(spark.read.text(path))
-    x = lines.withColumn("x", _whole(F.col("value"), TRANSCRIPT)).filter(F.col("x.type").isNotNull())
+    return transcript_lines(lines)
+
+
+def transcript_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """The same of lines (session_id, value, and columns to keep) that were read otherwise."""
+    x = lines.withColumn("x", strict(F.col("value"), TRANSCRIPT)).filter(F.col("x.type").isNotNull())
     u = "x.message.usage"
-    return x.select("session_id", F.col("x.type").alias("type"), F.col("x.message.model").alias("model"), F.col(f"{u}.input_tokens").alias("input_tokens"), F.col(f"{u}.cache_creation.ephemeral_5m_input_tokens").alias("write_5m"), F.col(f"{u}.cache_creation.ephemeral_1h_input_tokens").alias("write_1h"), F.when(F.col("x.type") == "user", raw_content_bytes("value")).alias("content_bytes"))
+    return x.select("session_id", *keep, F.col("x.type").alias("type"), F.col("x.message.model").alias("model"), F.col(f"{u}.input_tokens").alias("input_tokens"), F.col(f"{u}.cache_creation.ephemeral_5m_input_tokens").alias("write_5m"), F.col(f"{u}.cache_creation.ephemeral_1h_input_tokens").alias("write_1h"), F.when(F.col("x.type") == "user", raw_content_bytes("value")).alias("content_bytes"))
 
 
-def codex_content_bytes(line, path: str = "$.payload.content"):
-    """Of a string its bytes, of a list of parts the bytes of their texts, else 0. line: raw JSON, which alone tells "[x]" from [x]."""
-    value = F.try_variant_get(F.try_parse_json(line), path, "variant")
-    kind = F.schema_of_variant(value)
-    parts = F.from_json(F.to_json(value), "array<struct<type:string,text:string>>", {"mode": "PERMISSIVE"})
-    summed = F.aggregate(F.transform(parts, lambda p: F.coalesce(F.octet_length(p["text"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    return F.coalesce(F.when(kind == "STRING", F.octet_length(F.try_variant_get(value, "$", "string"))).when(kind.startswith("ARRAY"), summed), F.lit(0)).cast("bigint")
+def codex_content_bytes(content: Column) -> Column:
+    """Of a variant: of a string its bytes, of a list of parts the bytes of their texts, else (also where a part has another shape) 0."""
+    kind = F.schema_of_variant(content)
+    parts = F.when(kind.startswith("ARRAY"), F.try_variant_get(content, "$", "array<variant>"))
+    field = lambda p, name: F.try_variant_get(p, f"$.{name}", "variant")
+    string = lambda x: F.coalesce(F.schema_of_variant(x).isin("STRING", "VOID"), F.lit(True))
+    fits = F.forall(parts, lambda p: (F.schema_of_variant(p).startswith("OBJECT") | (F.schema_of_variant(p) == "VOID")) & string(field(p, "type")) & string(field(p, "text")))
+    summed = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, p: a + F.coalesce(F.octet_length(F.try_variant_get(p, "$.text", "string")), F.lit(0)))
+    own = F.when(kind == "STRING", F.octet_length(F.try_variant_get(content, "$", "string"))).when(fits, summed)
+    return F.coalesce(own, F.lit(0)).cast("bigint")
 
 
-def _whole(value, struct: str):
-    """The parsed line; null where it is no JSON or any field that is read has another type: such a line is left out whole."""
-    x = F.from_json(value, struct[:-1] + ", _bad: STRING>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return F.when(x["_bad"].isNull(), x)
+def read_rollouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines for codex_session_usage, to be ordered by (split, line_no): where the file's part begins, and the line's number there. Large files are read in parts by several tasks."""
+    return rollout_lines(_named(spark.read.text(path), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no")), "split", "line_no")
 
 
-def read_rollouts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines for codex_session_usage, numbered in their files; a file is read whole, as these are small."""
-    files = _named(spark.read.text(path, wholetext=True))
-    lines = files.select("session_id", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    x = lines.withColumn("x", _whole(F.col("line"), ROLLOUT)).filter(F.col("x.type").isNotNull())
-    p = F.col("x.payload")
-    total = p["info"]["total_token_usage"]
-    own = F.when(p["type"] == "message", F.when(p["role"] == "user", codex_content_bytes(F.col("line")))).when(p["type"] == "function_call_output", F.coalesce(F.octet_length(p["output"]), F.lit(0)))
-    return x.select("session_id", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce(p["type"] == "token_count", F.lit(False)).alias("is_total"), p["model"].alias("model"), F.coalesce(total["input_tokens"], F.lit(0)).alias("total_input"), F.coalesce(total["cached_input_tokens"], F.lit(0)).alias("total_cached"), F.coalesce(total["cache_write_input_tokens"], F.lit(0)).alias("total_write"), F.coalesce(own, F.lit(0)).cast("bigint").alias("content_bytes"))
+def rollout_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """The same of lines (session_id, value, and columns to keep) that were read otherwise."""
+    x = lines.withColumn("x", strict(F.col("value"), ROLLOUT)).filter(F.col("x").isNotNull())
+    outer, p = F.col("x.type"), F.col("x.payload")
+    total, item = p["info"]["total_token_usage"], F.coalesce(outer == "response_item", F.lit(False))
+    said = item & (p["type"] == "message") & (p["role"] == "user")
+    own = F.when(said, codex_content_bytes(p["content"])).when(item & (p["type"] == "function_call_output"), F.octet_length(p["output"]))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return x.select(
+        "session_id", *keep, F.coalesce((outer == "event_msg") & (p["type"] == "token_count"), F.lit(False)).alias("is_total"), p["model"].alias("model"),
+        zero(total["input_tokens"]).alias("total_input"), zero(total["cached_input_tokens"]).alias("total_cached"), zero(total["cache_write_input_tokens"]).alias("total_write"), zero(own).cast("bigint").alias("content_bytes"),
+    )
 
 
 def read_session_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -147,12 +146,25 @@ def compact_session_stats(spark: SparkSession, path: str, to: str) -> None:
 
 
 def write_archive(archived: DataFrame, path: str) -> None:
-    """Appends the contents that are not stored yet; storing twice leaves one. Spread over projects, not a file for each text."""
-    once = archived.dropDuplicates(ARCHIVE_KEY)
+    """Appends the contents that are not stored yet; storing twice leaves one. Spread over projects, not a file for each text.
+
+    Of what is stored only the buckets are read that the new contents fall into.
+    """
+    once = _bucketed(archived.dropDuplicates(ARCHIVE_KEY))
     old = _stored(archived.sparkSession, path)
-    if old is not None:
-        once = once.join(old.select(*ARCHIVE_KEY), ARCHIVE_KEY, "left_anti")
-    _bucketed(once).write.mode("append").partitionBy("bucket").parquet(path)
+    if old is None:
+        once.write.mode("append").partitionBy("bucket").parquet(path)
+        return
+    once = once.persist()  # read twice
+    new_contents(once, old).write.mode("append").partitionBy("bucket").parquet(path)
+    once.unpersist()
+
+
+def new_contents(once: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows of once (with bucket) that old, stored by bucket, doesn't have."""
+    touched = [r["bucket"] for r in once.select("bucket").distinct().collect()]  # BUCKETS at most
+    known = old.filter(F.col("bucket").isin(touched)).select("bucket", *ARCHIVE_KEY)
+    return once.join(known, ["bucket", *ARCHIVE_KEY], "left_anti")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +172,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path).drop("bucket").dropDuplicates(ARCHIVE_KEY)
 
 
+def read_reduced(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_reduced(reduced: DataFrame, path: str) -> None:
     """Changed calls: their identity, action, content_id and the replacement in the response's own shape (updated_output)."""
     reduced.write.mode("append").parquet(path)

@@ -3,7 +3,8 @@
 A page's leaf blocks are its runs of text between block tags, in page order; features are the ancestors'
 tags, the words of their class, id and role, and the block's own text. The field is trained here by maximum
 likelihood on labelled pages: pages of known make-up, whose parts are labelled as they are put together, filled
-with sentences of a bounded sample of ``SAMPLE`` page texts (smallest hash first, over all pages).
+with sentences of a bounded sample of ``SAMPLE`` pages (smallest hash first, over all pages; the first ``CHARS`` characters of each).
+Made pages come with and without html and body tags, in telling, meaningless and no wrappers, and as tables.
 
 Scripts, styles, comments, head and markup are never text. A head ends at its end tag or at the first tag or text that cannot
 stand in one; svg, select, template, noscript and title hide what lies between their tags, but a tag without
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from trajloom.llm.common import hash_sample
 
 SAMPLE = 60
-PAGES = 240
+PAGES = 600
+CHARS = 4000  # characters of each sampled page
 
 # Tags that begin and end a block, tags without an end.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead title tr ul head iframe label textarea template".split())
@@ -145,6 +147,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in BLOCK:
             continue
         flush()
+        if tag == "html":
+            continue  # pages with and without this tag are alike
         if m.group(2):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -172,10 +176,13 @@ def features(b: Block) -> list[str]:
     words = b.text.count(" ") + 1
     out = [f"in:{t}" for t in tags]
     out += [f"name:{w}" for w in b.names]
-    out += ["bias", f"leaf:{b.tags[-1] if b.tags else ''}", f"words:{min(8, words.bit_length())}", f"link:{int(b.link * 3)}", f"depth:{min(8, len(b.tags))}"]
+    leaf, size, linked = b.tags[-1] if b.tags else "", min(8, words.bit_length()), int(b.link * 3)
+    out += ["bias", f"leaf:{leaf}", f"words:{size}", f"link:{linked}", f"depth:{min(8, len(b.tags))}", f"words-link:{size}:{linked}", f"leaf-words:{leaf}:{size}"]
+    if not tags.intersection(("nav", "header", "footer", "aside", "form", "dialog")) and not b.names:
+        out += ["bare", f"bare-words-link:{size}:{linked}"]
     out.append("ends" if _ENDING.search(b.text) else "open")
     if b.text[0] in "©|" or "©" in b.text[:24]:
-        out.append("copyright")
+        out += ["copyright", f"copyright-words:{size}"]
     if "article" in tags or "main" in tags:
         out.append("main-in:" + next((t for t in reversed(b.tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form")), ""))
     return out
@@ -238,17 +245,27 @@ class Chain:
 
 # What the parts of the labelled pages are called.
 _PARTS = {
-    "nav": ['<nav>{links}</nav>', '<div class="menu">{links}</div>', '<ul id="navigation">{links}</ul>', '<div role="navigation">{links}</div>', '<div class="breadcrumb">{links}</div>'],
+    "nav": ['<nav>{links}</nav>', '<nav>{word}</nav>', '<nav><a href="/">{word}</a> <a href="/b">{short}</a></nav>', '<div class="menu">{links}</div>', '<ul id="navigation">{links}</ul>', '<div role="navigation">{links}</div>', '<div class="breadcrumb">{links}</div>'],
     "header": ['<header><h1>{short}</h1><p>{short}</p></header>', '<div class="header">{short}</div>', '<header>{links}<form><label>{word}</label><input></form></header>', '<div id="site-header"><p>{sentence}</p></div>'],
-    "footer": ['<footer>&copy; {word} &middot; {sentence}</footer>', '<footer><p>{sentence}</p>{links}</footer>', '<div class="footer"><p>&copy; {short}</p></div>', '<div id="copyright">{sentence}</div>'],
-    "side": ['<aside><h3>{short}</h3><p>{sentence}</p>{links}</aside>', '<div class="sidebar"><h2>{short}</h2><p>{sentence}</p><p>{sentence}</p></div>', '<div class="related">{links}</div>', '<section class="widget"><p>{sentence}</p></section>'],
-    "notice": ['<div class="cookie notice"><p>{sentence}</p><button>{word}</button></div>', '<div id="cookie-banner">{sentence}</div>', '<div role="alert">{sentence}</div>', '<dialog><p>{sentence}</p></dialog>', '<div class="newsletter popup"><p>{sentence}</p></div>', '<div class="notice">{sentence}</div>'],
+    "footer": ['<footer>&copy; {word} &middot; {sentence}</footer>', '<footer>{short}</footer>', '<footer><p>{sentence}</p>{links}</footer>', '<div class="footer"><p>&copy; {short}</p></div>', '<div id="copyright">{sentence}</div>'],
+    "side": ['<aside>{sentence}</aside>', '<aside><h3>{short}</h3><p>{sentence}</p>{links}</aside>', '<div class="sidebar"><h2>{short}</h2><p>{sentence}</p><p>{sentence}</p></div>', '<div class="related">{links}</div>', '<section class="widget"><p>{sentence}</p></section>'],
+    "notice": ['<div class="cookie-banner"><p>{sentence} {sentence}</p></div>', '<div class="cookies consent"><p>{sentence} {sentence}</p><p>{sentence}</p></div>', '<div class="cookie notice"><p>{sentence}</p><button>{word}</button></div>', '<div id="cookie-banner">{sentence}</div>', '<div role="alert">{sentence}</div>', '<dialog><p>{sentence}</p></dialog>', '<div class="newsletter popup"><p>{sentence}</p></div>', '<div class="notice">{sentence}</div>'],
     "ad": ['<div class="ad">{sentence}</div>', '<div class="advert"><p>{sentence}</p></div>', '<div class="sponsored promo"><p>{sentence}</p></div>', '<div id="advertisement">{sentence}</div>', '<div class="ads banner">{short}</div>'],
     "form": ['<form><label>{word}</label><p>{sentence}</p><button>{word}</button></form>', '<form class="subscribe"><p>{sentence}</p></form>', '<div class="login"><form><label>{short}</label></form></div>'],
     "comments": ['<section class="comments"><h2>{short}</h2><div class="comment"><p>{sentence}</p></div><div class="comment"><p>{sentence} {sentence}</p></div></section>', '<div id="comments"><ul><li><p>{sentence}</p></li><li><p>{sentence}</p></li></ul></div>', '<div class="discussion comment"><p>{sentence}</p></div>', '<ol class="commentlist"><li class="comment">{sentence}</li></ol>'],
     "share": ['<div class="share social">{links}</div>', '<div class="tags meta">{short}</div>', '<div class="byline author">{short}</div>'],
 }
+# Parts that say by their make-up alone what they are.
+_PLAIN_PARTS = {
+    "nav": ['<ul>{links}</ul>', '<div>{links}</div>', '<div><a href="/">{word}</a> <a href="/b">{word}</a> <a href="/c">{word}</a></div>', '<p><a href="/">{word}</a> | <a href="/b">{word}</a></p>'],
+    "footer": ['<p>&copy; {word} {short}</p>', '<div>&copy; 2020 {word}. {short}.</div>', '<center>&copy; {short}</center>'],
+}
 _SHELLS = [("<article>", "</article>"), ("<main><article>", "</article></main>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="post entry">', "</div></div>"), ('<section class="article body">', "</section>")]
+_PLAIN_SHELLS = [("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ('<div id="wrap"><div class="{any}">', "</div></div>"), ('<div class="{any} {any}">', "</div>"), ('<div class="row"><div class="{any}"><div>', "</div></div></div>"), ("<section>", "</section>")]
+_CELLS = ['<a href="/">{word}</a><br><a href="/n">{word}</a>', '<a href="/">{word}</a> <a href="/n">{word}</a> <a href="/m">{word}</a>', '<p><a href="/">{word}</a></p><p><a href="/n">{short}</a></p>', "{links}"]
+_STARTS = ["<html><head><title>t</title></head><body>", "<html><body>", "<!DOCTYPE html><body>", "", "<div>"]
+# Fixed value: names that say nothing.
+_ANY = ["col", "row", "container", "wrap", "inner", "box", "block", "grid", "x", "page", "left", "wide"]
 
 
 def labelled_pages(sentences: list[str], count: int = PAGES, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
@@ -262,21 +279,41 @@ def labelled_pages(sentences: list[str], count: int = PAGES, seed: int = 5) -> l
         page = re.sub(r"\{links\}", lambda _: links(), pattern)
         page = re.sub(r"\{sentence\}", lambda _: entities.escape(" ".join(words()[: r.randint(3, 40)])), page)
         page = re.sub(r"\{short\}", lambda _: entities.escape(" ".join(words()[: r.randint(2, 6)])), page)
+        page = re.sub(r"\{any\}", lambda _: r.choice(_ANY) + r.choice(["", "-8", "-md-8", "2", ""]), page)
         return re.sub(r"\{word\}", lambda _: entities.escape(words()[0]), page)
 
     def main() -> str:
         kinds = ["<p>{sentence} {sentence}</p>"] * 5 + ["<p>{short}</p>", "<p>{word}.</p>", "<h2>{short}</h2>", "<ul><li>{sentence}</li><li>{short}</li></ul>", "<blockquote><p>{sentence}</p></blockquote>", "<p><b>{sentence}<br><p>{sentence}</p>", "<pre>{short}</pre>", "<table><tr><td>{short}</td><td>{word}</td></tr></table>", "<figure><figcaption>{short}</figcaption></figure>"]
-        return "<h1>{short}</h1>" + "".join(r.choice(kinds) for _ in range(r.randint(1, 9)))
-
-    for _ in range(count):
-        before = [r.choice(_PARTS[k]) for k in ("notice", "header", "nav", "ad", "share") if r.random() < 0.5]
-        inside = [r.choice(_PARTS[k]) for k in ("ad", "share", "form", "comments", "side") if r.random() < 0.2]
-        behind = [r.choice(_PARTS[k]) for k in ("comments", "side", "form", "ad", "nav", "notice", "footer") if r.random() < 0.5]
+        title = r.choice(["<h1>{short}</h1>"] * 3 + ["<h2>{short}</h2>", "<header><h1>{short}</h1></header>", ""])
+        return title + "".join(r.choice(kinds) for _ in range(r.randint(1, 9)))
+
+    def table_page() -> list[tuple[str, int | None]]:
+        """A page laid out as a table: a cell of links, a cell of text."""
+        cell = ("<td>", None), (r.choice(_CELLS), 0), ("</td>", None)
+        text = ("<td>", None), (main(), 1), ("</td>", None)
+        rows = [*cell, *text] if r.random() < 0.7 else [*text, *cell]
+        top = [("<tr><td colspan=2>", None), (r.choice(["{short}", "<h1>{short}</h1>", "{word}"]), 0), ("</td></tr>", None)] if r.random() < 0.3 else []
+        return [("<table>", None), *top, ("<tr>", None), *rows, ("</tr></table>", None)]
+
+    def parts(kind: str) -> str:
+        own = r.choice(_PLAIN_PARTS[kind] if kind in _PLAIN_PARTS and r.random() < 0.5 else _PARTS[kind])
+        return f'<div class="{{any}}">{own}</div>' if r.random() < 0.15 else own
+
+    for number in range(count):
+        often = r.choice([0.5, 0.5, 0.3, 0.1, 0.0])
+        before = [parts(k) for k in ("notice", "header", "nav", "ad", "share") if r.random() < often]
+        inside = [parts(k) for k in ("ad", "share", "form", "comments", "side") if r.random() < 0.4 * often]
+        behind = [parts(k) for k in ("comments", "side", "form", "ad", "nav", "notice", "footer") if r.random() < often]
         r.shuffle(before)
-        a, b = r.choice(_SHELLS)
+        a, b = r.choice(_SHELLS if r.random() < 0.5 else _PLAIN_SHELLS)
         k = len(inside) // 2
         pieces = [(x, 0) for x in before] + [(a, None), (main(), 1)] + [(x, 0) for x in inside[:k]] + ([(main().partition("</h1>")[2], 1)] if k else []) + [(x, 0) for x in inside[k:]] + [(b, None)] + [(x, 0) for x in behind]
-        page, labels = "<html><head><title>t</title></head><body>", []
+        if number % 8 == 0:
+            pieces = [(x, 0) for x in before[:1]] + table_page() + [(x, 0) for x in behind[-1:]]
+        elif number % 8 == 1:  # hardly more than the text
+            lone = ["<p>{sentence}</p>", "<p>{short}.</p>", "<div>{sentence}</div>", "{sentence}", "<h1>{short}</h1><p>{sentence}</p>", "<p>{sentence}</p><p>{sentence}</p>"]
+            pieces = [(r.choice(lone), 1)] + [(r.choice(_PLAIN_PARTS["footer"]), 0)] * (r.random() < 0.4)
+        page, labels = r.choice(_STARTS), []
         for pattern, label in pieces:
             own = fill(pattern)
             n = len(blocks(page + own)) - len(labels)
@@ -287,9 +324,9 @@ def labelled_pages(sentences: list[str], count: int = PAGES, seed: int = 5) -> l
     return out
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain trained on labelled pages with sentences of at most ``sample`` pages (column html), 4,000 characters of each."""
-    sentences = [b.text for x in hash_sample(pages.select(F.substring("html", 1, 4000)), sample) for b in blocks(x) if b.link == 0] or ["Some text."]
+def train(pages: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Chain:
+    """A chain trained on labelled pages with sentences of at most ``sample`` pages (column html), of the first ``chars`` characters of each."""
+    sentences = [b.text for x in hash_sample(pages.select(F.substring("html", 1, chars)), sample) for b in blocks(x) if b.link == 0] or ["Some text."]
     chain = Chain()
     chain.learn(labelled_pages(sentences))
     return chain

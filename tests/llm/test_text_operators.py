@@ -234,6 +234,22 @@ def test_no_tail_of_a_secret_is_left(field, n):
     assert pii.redact(text, field).endswith("and go on")
 
 
+def test_added_spans_may_hold_base_ones(field):
+    """A secret with a valid card number within is one span more; nothing of it is left."""
+    text = 'set api_key = "abcdefabcdef4111111111111111abcdefabcdef0123" and go on'
+    base, every = pii.find(text, field)
+    assert [(k, text[a:b]) for a, k, b in base] == [("card", "4111111111111111")]
+    assert set(base) < set(every) and any(a <= text.index("abcdef") and b >= text.index("0123") + 4 for a, _, b in every)
+    clean = pii.redact(text, field)
+    assert "abcdef" not in clean and "0123" not in clean and clean.startswith("set ") and clean.endswith("and go on")
+
+
+def test_long_training_windows_are_cut_at_white_space():
+    text = "x1 " * 500 + "y" * 700
+    parts = pii._pieces(text, 600)
+    assert "".join(parts) == text and all(len(p) <= 600 for p in parts) and all(p[-1] == "1" for p in parts[:2])
+
+
 def test_windows_end_at_white_space():
     import random
 

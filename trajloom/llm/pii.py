@@ -10,7 +10,8 @@ It is trained here by maximum likelihood (forward-backward) on a bounded sample
 all documents, and on as many made from them: in the made ones numbers that people are known by (social security, passport,
 account), secrets and spellings of the base kinds stand behind words that announce them or behind other words, and the makers' labels,
 not the patterns, say what they are. Sampled windows are labelled by the fixed patterns and a pattern for assigned secrets.
-Beside the patterns' verdicts, features are shapes, and the words in front. Added spans never overlap base ones.
+Windows of more than ``WIDTH`` characters are several examples. Beside the patterns' verdicts, features are shapes, and the words in front.
+An added span may hold or cross base ones, which stay; one within a base span is not added. Redaction covers them all together.
 
 Defined cases: null or empty text has no spans; repeated rows give repeated results; a table without
 any window leaves the field untrained and adds nothing; other columns are left out.
@@ -36,6 +37,7 @@ from trajloom.llm.common import hash_sample, whole_text
 KINDS = ["email", "ip", "card", "phone", "secret", "id"]
 BASE = KINDS[:4]
 SAMPLE = 300
+WIDTH = 600  # characters of a training window
 MAX_ATOMS = 8
 MAX_CHARS = 96
 NEAR = 60  # characters of text around a digit or @ that a window takes in
@@ -318,15 +320,26 @@ def _labelled(text: str) -> list[tuple[int, str, int]]:
     return spans
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` windows of docs (column text), those of the smallest hash, alike ones once, and from twice as many made ones."""
+def _pieces(text: str, width: int) -> list[str]:
+    """The text, or where it is longer than width, parts of it that end at white space (at width, where there is none)."""
+    out = []
+    while len(text) > width:
+        cut = max(text.rfind(x, 1, width) for x in " \n\t")
+        cut = cut if cut > 0 else width
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> Field:
+    """A field from at most ``sample`` windows of docs (column text), those of the smallest hash, alike ones once, and from twice as many made ones. A window of more than ``width`` characters is several."""
     def run(batches):
         for b in batches:
             out = []
             for t in b.column(0):
                 text = t.as_py()
                 if _TRIGGER.search(text):
-                    out += [text[a:z] for a, z in windows(text) if z - a <= 600]
+                    out += [x for a, z in windows(text) for x in _pieces(text[a:z], width)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
     texts = hash_sample(docs.mapInArrow(run, "w string"), sample)
@@ -347,7 +360,7 @@ def find(text: str, field: Field) -> tuple[list[tuple[int, str, int]], list[tupl
         for x, kind, y in field.decode(text, atoms(text, a, b)):
             while k < len(base) and base[k][2] <= x:
                 k += 1
-            if all(y <= p or q <= x for p, _, q in base[k : k + 8]):
+            if not any(p <= x and y <= q for p, _, q in base[k : k + 8]):  # more than a part of a base span
                 added.append((x, kind, y))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + added, key=lambda s: (s[0], order[s[1]])) if added else base

@@ -201,10 +201,32 @@ def test_pages_of_the_given_table(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+LONG = "The committee met on Tuesday to discuss the new rules for the harbour, and after some hours it came to a decision that surprised most of those who had come to listen."
+#: Pages of another make than those that the field is trained on: html with {L} for the long paragraph, and the main text.
+OTHER_PAGES = [
+    ("<body><nav>Menu</nav><main><h1>T</h1><p>{L}</p><p>{L}</p></main><footer>&copy; 2020 X</footer></body>", "T\n{L}\n{L}"),
+    ("<html><head><title>q</title></head><body><nav>Menu</nav><main><h1>T</h1><p>{L}</p></main></body></html>", "T\n{L}"),
+    ('<html><body><div id="wrap"><div class="col-md-8"><h1>Big title here</h1><p>{L}</p><p>{L}</p></div></div></body></html>', "Big title here\n{L}\n{L}"),
+    ("<p>Only a paragraph.</p>", "Only a paragraph."),
+    ("<article><header><h1>My title</h1></header><p>{L}</p><p>Short end.</p></article>", "My title\n{L}\nShort end."),
+    ('<table><tr><td><a href="/">Home</a> <a href="/n">News</a></td><td><h1>Title of it</h1><p>{L}</p><p>{L}</p></td></tr></table>', "Title of it\n{L}\n{L}"),
+    ('<html><body><table width=100%><tr><td><a href="/">Home</a><br><a href="/n">News</a></td><td><p>{L}</p><p>{L}</p></td></tr></table></body></html>', "{L}\n{L}"),
+    ('<div><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></div><div><h2>A heading</h2><p>{L}</p><p>{L}</p></div>', "A heading\n{L}\n{L}"),
+    ('<div class="page"><div class="left"><h1>Head</h1><p>{L}</p></div><aside><h3>See also</h3><p>{L}</p></aside></div>', "Head\n{L}"),
+    ('<body><div class="container"><h1>Head</h1><p>{L}</p><p>{L}</p></div><div id="comments"><p>{L}</p></div></body>', "Head\n{L}\n{L}"),
+    ('<body><div class="cookie-banner"><p>We use cookies. {L}</p></div><section><h1>Head</h1><p>{L}</p></section></body>', "Head\n{L}"),
+]
+
+
+def test_pages_of_another_make(spark):
+    chain = html.train(spark.read.parquet(f"{data_dir()}/pages.parquet"))
+    assert [html.main_text(p.replace("{L}", LONG), chain) for p, _ in OTHER_PAGES] == [x.replace("{L}", LONG) for _, x in OTHER_PAGES]
+
+
 def test_held_out_blocks():
     chain = html.Chain()
     words = ["Some words make a sentence here.", "Short one.", "Another sentence of several more words, with a comma."]
-    chain.learn(html.labelled_pages(words, 160, 1))
+    chain.learn(html.labelled_pages(words, 320, 1))
     right = total = 0
     for page, labels in html.labelled_pages(words, 80, 2):
         right += sum(a == b for a, b in zip(chain.decode(page), labels))
@@ -224,6 +246,12 @@ def test_viterbi_is_the_best_path():
     assert value(chain.decode(page)) == pytest.approx(max(value(p) for p in product((0, 1), repeat=4)))
 
 
+def test_stages_on_an_empty_table(spark, empty):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty, "")
+        assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == empty.columns)
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage on odd rows, then run() on the given documents."""
     docs = make_docs(spark, odd_texts() + repeating())

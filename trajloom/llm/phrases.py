@@ -58,7 +58,7 @@ def _grams(w, seeds: np.ndarray, n: int, places: np.ndarray | None = None) -> tu
     return at, mixed(fps + seeds[w.text[at]] + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
-def _is_set(bits: np.ndarray, fps: np.ndarray) -> np.ndarray:
+def is_set(bits: np.ndarray, fps: np.ndarray) -> np.ndarray:
     p = fps & np.uint64(BITS - 1)
     return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
@@ -76,7 +76,7 @@ def _pairs(w, seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether the pair at each word stands in a piece and has its bit set."""
     out = np.zeros(max(len(w.hash), 1), bool)
     at, fps = _grams(w, seeds, 2)
-    out[at[_is_set(bits, fps)]] = True
+    out[at[is_set(bits, fps)]] = True
     return out
 
 
@@ -97,12 +97,12 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _fingerprints(range_bits: int, bits=None):
-    """(lang, text) -> a task's fingerprints and counts, packed by range: of words and pairs, or (bits of those given) of longer phrases."""
+def packed_ranges(slices, range_bits: int):
+    """Fingerprints, slice by slice -> a task's fingerprints and counts, packed by range."""
 
     def flush(held):
         fps, counts = _summed(np.concatenate([x for x, _ in held]), np.concatenate([c for _, c in held]))
-        at = np.searchsorted(fps, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)) if range_bits else np.zeros(1, np.int64)
+        at = np.searchsorted(fps, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
         ends = np.r_[at[1:], len(fps)]
         own = np.flatnonzero(ends > at)
         for some in np.array_split(own, len(own) // 1024 + 1):
@@ -110,9 +110,23 @@ def _fingerprints(range_bits: int, bits=None):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["range", "fps", "counts"])
 
-    def run(batches):
-        table = None if bits is None else np.frombuffer(bits.value, np.uint8)
-        held, n_held = [], 0
+    held, n_held = [], 0
+    for x in slices:
+        fps, counts = np.unique(x, return_counts=True)
+        if len(fps):
+            held.append((fps, counts.astype(np.uint32)))
+            n_held += len(fps)
+        if n_held > HELD:
+            yield from flush(held)
+            held, n_held = [], 0
+    if held:
+        yield from flush(held)
+
+
+def _fingerprints(range_bits: int, bits=None):
+    """(lang, text) -> packed fingerprints of words and pairs, or (bits of those given) of longer phrases."""
+
+    def of_slices(batches, table):
         for b in batches:
             seeds = _seeds(b.column(0))
             for w in words_of(b.column(1), KINDS):
@@ -121,15 +135,10 @@ def _fingerprints(range_bits: int, bits=None):
                 else:
                     pairs = _pairs(w, seeds, table)
                     own = [_grams(w, seeds, n, _longer(w, pairs, n))[1] for n in range(3, LONGEST + 1)]
-                fps, counts = np.unique(np.concatenate(own), return_counts=True)
-                if len(fps):
-                    held.append((fps, counts.astype(np.uint32)))
-                    n_held += len(fps)
-                if n_held > HELD:
-                    yield from flush(held)
-                    held, n_held = [], 0
-        if held:
-            yield from flush(held)
+                yield np.concatenate(own)
+
+    def run(batches):
+        yield from packed_ranges(of_slices(batches, None if bits is None else np.frombuffer(bits.value, np.uint8)), range_bits)
 
     return run
 
@@ -157,16 +166,20 @@ def _frequent(least: int):
     return run
 
 
-def _bit_table(docs: DataFrame, least: int, range_bits: int, bits=None):
-    """A broadcast table of bits, of a fixed size."""
-    found = docs.mapInArrow(_fingerprints(range_bits, bits), "range int, fps binary, counts binary")
+def bits_of(found: DataFrame, least: int):
+    """Of packed fingerprints those that occur so often, as a broadcast table of bits, of a fixed size."""
+    spark = found.sparkSession
     found = found.repartition("range").sortWithinPartitions("range").mapInArrow(_frequent(least), "bit bigint")
     plane = F.floor(F.col("bit") / _PLANE).cast("int")
     rows = found.groupBy(plane.alias("plane")).agg(F.bitmap_construct_agg(F.col("bit") % _PLANE).alias("bits")).collect()
     table = np.zeros(BITS // 8, np.uint8)
     for r in rows:
         table[r["plane"] * _PLANE // 8 : (r["plane"] + 1) * _PLANE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    return spark.sparkContext.broadcast(table.tobytes())
+
+
+def _bit_table(docs: DataFrame, least: int, range_bits: int, bits=None):
+    return bits_of(docs.mapInArrow(_fingerprints(range_bits, bits), "range int, fps binary, counts binary"), least)
 
 
 def _texts(short, long):
@@ -183,7 +196,7 @@ def _texts(short, long):
                 places, prints = {}, {}
                 for n in range(1, LONGEST + 1):
                     at, fps = _grams(w, seeds, n, _longer(w, pairs, n) if n > 2 else None)
-                    ok = _is_set(tables[n > 2], fps)
+                    ok = is_set(tables[n > 2], fps)
                     places[n], prints[n] = at[ok], fps[ok]
                 used = np.zeros(len(w.hash), bool)
                 for n, at in places.items():

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajloom.llm import passages
 from trajloom.llm.common import scratch, whole_text, written
 
 LENGTH = 400
@@ -375,19 +376,21 @@ def _kept(data: bytes, ranges, length: int) -> tuple[bytes, list[tuple[int, int]
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and n_passage_bytes, the bytes in passages of so many words that start twice or more."""
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and n_passage_bytes, the bytes in passages of so many words that start twice or more (see ``passages``)."""
     docs = whole_text(docs, "doc_id")
-    both = _with_ranges(docs.withColumn("__x_hash", F.xxhash64("text")), _ranges_of_both(docs, length, words))
+    runs, repeated = passages.tables(docs, words)
+    found = repeated_spans(docs, length)
+    both = _with_ranges(docs.withColumn("__x_hash", F.xxhash64("text")), found.select("doc_id", "text_hash", "ranges"))
     counts = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
     schema = T.StructType([_id_field(docs), *(T.StructField(n, T.StringType() if n == "kept_sha256" else T.LongType()) for n in counts)])
 
     def run(batches):
+        marks = np.frombuffer(runs.value, np.uint8), np.frombuffer(repeated.value, np.uint8)
         for b in batches:
             out = []
-            for data, own in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                kept, spans = _kept(data, own and own["bytes"], length)
-                passages = sum(z - a for a, z in _joined(_word_spans(data, own["words"], words))) if own and own["words"] else 0
-                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), passages))
+            for data, own, n in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), passages.passage_bytes(b.column(1), words, *marks).tolist()):
+                kept, spans = _kept(data, own, length)
+                out.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), n))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.string() if k == 3 else pa.int64()) for k in range(5))], schema.names)
 
     return both.select("doc_id", "text", "__x_ranges").mapInArrow(run, schema)
@@ -402,17 +405,6 @@ def _ranges_of_both(docs: DataFrame, length: int, words: int | None) -> DataFram
     return found.groupBy("doc_id", "text_hash").agg(of("bytes"), of("words")).select("doc_id", "text_hash", F.struct("bytes", "words").alias("ranges"))
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping spans as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _word_spans(data: bytes, ranges, words: int) -> list[tuple[int, int]]:
     """Byte spans of the passages of so many words that start, in the text's codes, in the ranges."""
     starts = [(-(-r["first"] // CODE), r["last"] // CODE) for r in ranges]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tests.conftest import data_dir
 from trajloom.functions import outputs as o
 from trajloom.operators.decide import decide_claude, decide_codex, with_text_measures
+from trajloom.operators.rollup import newest_first
+from trajloom.operators.state import with_state, with_state_in_slices
 from trajloom.plans import adapters as a
 from trajloom.streaming.reduce import COLUMNS, reduce_stream, slim, use_rocksdb
 
@@ -149,3 +151,37 @@ def test_random_sequences_fold_codex(spark):
             long = text is LONG
             want.append("dedup" if same else ("retire_boundary" if long else "pass") if looks and crossed else "retire_threshold" if looks and looked > 20 else "bash_retire" if tool == "shell" and crossed and long else "trim" if long else "pass")
     assert codex(spark, calls) == want
+
+
+@pytest.mark.parametrize("slices", [3, 9])
+def test_state_by_slices_equals_windows(spark, slices):
+    """A session with most events, null keys, ties of the first order column, resets; every column, whatever the slices."""
+    r = random.Random(slices)
+    rows = []
+    for k in range(900):
+        session = "hot" if r.random() < 0.7 else r.choice(["a", "b", None])
+        hook = "SessionStart" if r.random() < 0.01 else r.choice(["PostToolUse"] * 9 + ["SubagentStop"])
+        rows.append(("p", session, k // 3, k, hook, r.choice(["investigate"] * 3 + ["implement", "neutral", None]), r.random() < 0.8, r.choice(["x", "y", "z", None]), r.choice(["1", "2", None])))
+    df = spark.createDataFrame(rows, "project_root string, session_id string, ts bigint, event_id bigint, hook_event_name string, class string, eligible boolean, key string, hash string")
+    def save(x):
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/x"
+        x.write.parquet(path)
+        return spark.read.schema(x.schema).parquet(path)
+
+    columns = ["event_id", "epoch", "investigate_count", "crossing", "past_boundary", "over_threshold", "is_repeat", "turn", "repeat_of_turn"]
+    got = sorted(tuple(x) for x in with_state_in_slices(df, ["ts", "event_id"], save, 20, slices).select(*columns).collect())
+    want = sorted(tuple(x) for x in with_state(df, ["ts", "event_id"], 20).select(*columns).collect())
+    assert [x[:8] for x in got] == [x[:8] for x in want] and [x[8] for x in got] == [x[8] for x in want]
+    assert len(got) == 900 and with_state_in_slices(df.limit(0), ["ts", "event_id"], save, 20, 2).count() == 0
+
+
+def test_places_by_ranges_of_time(spark):
+    r = random.Random(3)
+    rows = [("/p/hot" if r.random() < 0.8 else "/p/x", f"s{k}", None if k % 50 == 0 else r.randrange(40)) for k in range(400)]
+    df = spark.createDataFrame(rows, "project_root string, session_id string, mtime bigint")
+    want = {}
+    for p in ("/p/hot", "/p/x"):
+        own = sorted((-1 if m is None else m, s) for q, s, m in rows if q == p)
+        own = sorted(own, key=lambda x: (-x[0], x[1]))
+        want |= {s: k + 1 for k, (_, s) in enumerate(own)}
+    assert {x["session_id"]: x["place"] for x in newest_first(df, 7).collect()} == want

@@ -25,7 +25,7 @@ def test_trimmed_text(spark):
     text = "".join(f"line {k} with some words\n" for k in range(200))
     (got,) = values(spark, [text], lambda x: t.trimmed(x, "shell", F.lit("ID")))
     lines = text.split("\n")
-    assert got == "\n".join(lines[:15]) + "\n[trajloom] 170 lines omitted, exit 0 (showing first 15/last 15) - full output at ID\n" + "\n".join(lines[185:200]) + "\n"
+    assert got == "\n".join(lines[:15]) + "\n[trajloom] 170 lines of a command that went well left out (kept: first 15, last 15), all of it under ID\n" + "\n".join(lines[185:200]) + "\n"
     assert values(spark, [text], t.omitted_bytes) == [len("\n".join(lines[15:185]))]
 
 

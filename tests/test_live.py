@@ -3,6 +3,7 @@
 import json
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from trajloom.operators.usage import claude_session_usage, codex_session_usage
 from trajloom.plans import adapters as a
 from trajloom.sources.files import latest_session_stats
 from trajloom.sources import tail
-from trajloom.streaming.reduce import slim, use_rocksdb
+from trajloom.streaming.reduce import COLUMNS, reduce_stream, slim, use_rocksdb
 from trajloom.streaming.usage import live_overview, live_usage, reread, session_rows, settle
 
 
@@ -119,7 +120,8 @@ def test_live_overview_equals_the_batch_after_each_micro_batch(spark):
     claude, codex = (e.withColumn("seq", F.unix_micros("ts")).filter("event_id < 3000") for e in (a.claude_events(spark, d, own=True), a.codex_events(spark, d)))
     events = slim(claude).withColumn("agent", F.lit("claude-code")).unionByName(slim(codex).withColumn("agent", F.lit("codex"))).persist()
     ends = events.selectExpr("percentile(seq, array(0.3, 0.6))").first()[0] + [float("inf")]
-    u1, u2 = a.claude_lines(spark, d), a.codex_lines(spark, d).withColumn("total_input", F.when(F.col("is_total"), F.col("line_no") * 90_000))  # counts that never fall: then live is the full read
+    # One model and counts that never fall: then what steps add up to is the full read.
+    u1, u2 = a.claude_lines(spark, d), a.codex_lines(spark, d).withColumns({"model": F.when(F.col("model").isNotNull(), "gpt-5"), "total_input": F.when(F.col("is_total"), F.col("line_no") * 90_000)})
     for k, (low, high) in enumerate(zip([float("-inf"), *ends], ends)):
         new = lambda x: x.filter(F.col("line_no").between(k * 3, k * 3 + 2) if k < 2 else F.col("line_no") >= 6)
         rows = session_rows(events.filter((F.col("seq") > low) & (F.col("seq") <= high)), new(u1), new(u2))
@@ -134,3 +136,17 @@ def test_live_overview_equals_the_batch_after_each_micro_batch(spark):
         assert {x: round(v, 3) for x, v in got.asDict().items()} == {x: round(v, 3) for x, v in want.items()}
         assert spark.read.parquet(f"{folder}/live/projects").filter(F.col("batch") == k).count() == 10
     events.unpersist()
+
+
+def test_forgotten_outputs_count_as_new(spark):
+    use_rocksdb(spark)
+    row = {"project_root": "p", "session_id": "s", "tool_name": "Bash", "kind": "neutral", "is_shell": True, "eligible": True, "key": "k", "hash": "h", "tokens": 1, "n_lines": 1, "n_bytes": 3, "omitted_lines": 0, "omitted_bytes": 0, "raw_tokens": 1, "raw_bytes": 3, "reset": False, "subagent": False, "tool_call": True}
+    for forget, want in ((None, ["pass", "dedup", "dedup"]), (1, ["pass", "pass", "pass"])):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        for k in range(3):
+            rows = spark.createDataFrame([{**row, "seq": k, "event_id": k}]).select(*COLUMNS)
+            rows.write.mode("append").parquet(f"{folder}/in")
+            stream = reduce_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), forget=forget)
+            stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+            time.sleep(1.5)
+        assert [r["action"] for r in spark.read.schema("event_id bigint, action string").parquet(f"{folder}/out").orderBy("event_id").collect()] == want

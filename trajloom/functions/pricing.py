@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Input, output, cache read, cache write for 5 minutes and for an hour.
@@ -41,24 +41,21 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, RATES)
 
 
-def _with_rate(lines: DataFrame, names: DataFrame, family: str, fallback: str) -> DataFrame:
-    """names: model, known (or null); both joins are with tables of a few rows, or of the distinct models."""
+def _with_rate(lines: DataFrame, known: Column, family: str, fallback: str) -> DataFrame:
+    """known: the name that a line is priced as, or null. No shuffle: names are a projection, rates a table of a few rows."""
     rates = prices(lines.sparkSession).filter(F.col("family") == family).withColumnRenamed("model", "priced_as").drop("family")
-    priced = lines.join(names, "model", "left").withColumn("priced_as", F.coalesce("known", F.lit(fallback))).drop("known")
+    priced = lines.withColumn("priced_as", F.coalesce(known, F.lit(fallback)))
     return priced.join(F.broadcast(rates), "priced_as")  # twenty rows at most
 
 
 def price_claude(lines: DataFrame) -> DataFrame:
     """lines with priced_as and the rate columns; unknown and empty models take the fallback."""
-    known = lines.sparkSession.createDataFrame([(m, m) for m in CLAUDE], "model string, known string")
-    return _with_rate(lines, F.broadcast(known), "claude", CLAUDE_FALLBACK)
+    model = F.col("model")
+    return _with_rate(lines, F.when(model.isin(*CLAUDE), model), "claude", CLAUDE_FALLBACK)
 
 
 def price_openai(lines: DataFrame) -> DataFrame:
     """The same; a dated snapshot (known name, then -20...) takes its base model's rate. At most one name can match so."""
-    known = lines.sparkSession.createDataFrame([(m,) for m in OPENAI], "known string")
-    models = lines.select("model").distinct()
-    matched = models.join(F.broadcast(known), (F.col("model") == F.col("known")) | F.col("model").startswith(F.concat("known", F.lit("-20"))), "left")
-    # An exact name goes before a snapshot of another.
-    best = matched.groupBy("model").agg(F.max_by("known", F.when(F.col("model") == F.col("known"), 1).otherwise(0)).alias("known"))
-    return _with_rate(lines, best, "openai", OPENAI_FALLBACK)
+    model = F.col("model")
+    dated = [F.when(model.startswith(f"{k}-20"), k) for k in OPENAI]
+    return _with_rate(lines, F.coalesce(F.when(model.isin(*OPENAI), model), *dated), "openai", OPENAI_FALLBACK)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajloom.functions import savings as s
 from trajloom.operators.decide import RETIRED
-from trajloom.operators.state import SESSION
+from trajloom.operators.state import SESSION, running, with_slice
 
 
 def mechanism_stats(decided: DataFrame) -> DataFrame:
@@ -65,9 +65,11 @@ def mechanism_breakdown(levels: DataFrame, by: list[str]) -> DataFrame:
     return long.select(*by, "mechanism", "n", "bytes", s.part_percent(F.col("bytes"), F.col("total")).alias("percent"), F.when(most > 0, F.col("bytes") / most).otherwise(0.0).alias("fill"), place.alias("place"))
 
 
-def newest_first(stats: DataFrame) -> DataFrame:
-    """place of each session in its project, newest first."""
-    return stats.withColumn("place", F.row_number().over(Window.partitionBy("project_root").orderBy(F.desc("mtime"), "session_id")))
+def newest_first(stats: DataFrame, slices: int = 64) -> DataFrame:
+    """place of each session in its project, newest first. Sessions are ranked in ranges of time, whose counts are carried on: a project's sessions never meet in one task."""
+    df = with_slice(stats, "mtime", slices)
+    df = df.withColumn("slice", -F.col("slice"))  # the newest range comes first
+    return running(df, ["project_root"], [F.desc("mtime"), "session_id"], "place", F.lit(1).cast("bigint")).drop("slice")
 
 
 def latest_agent_session(stats: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def with_state(events: DataFrame, order: list[str], threshold: int = THRESHOLD_C
 
 
 def with_slice(events: DataFrame, by: str, slices: int) -> DataFrame:
-    """slice: the range of the column (a number or timestamp) that a row falls into, each holding about as many rows; equal values share one."""
+    """slice: the range of the column (a number or timestamp) that a row falls into, each holding about as many rows; equal values share one; nulls count as the least."""
     x = F.unix_micros(by) if dict(events.dtypes)[by].startswith("timestamp") else F.col(by)
     bounds = events.agg(F.percentile_approx(x, [k / slices for k in range(1, slices)], 10_000)).first()[0] or []  # a fixed number
-    return events.withColumn("slice", reduce(lambda a, b: a + b, [(x > b).cast("int") for b in sorted(set(bounds))], F.lit(0)))
+    return events.withColumn("slice", reduce(lambda a, b: a + b, [F.coalesce(x > b, F.lit(False)).cast("int") for b in sorted(set(bounds))], F.lit(0)))
 
 
 def _with_earlier(df: DataFrame, by: list[str], parts: DataFrame, carried: list[Column]) -> DataFrame:
@@ -69,7 +69,7 @@ def _with_earlier(df: DataFrame, by: list[str], parts: DataFrame, carried: list[
     return df.join(found, same, "left").drop(*[f"_{x}" for x in (*by, "slice")])
 
 
-def _running(df: DataFrame, by: list[str], order: list[str], name: str, value: Column, total=F.sum) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list, name: str, value: Column, total=F.sum) -> DataFrame:
     """name: the running sum (or max) of the value in each group: a slice's own, and all earlier slices' carried in."""
     df = df.withColumn("_v", value)
     before = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,23 +80,27 @@ def _running(df: DataFrame, by: list[str], order: list[str], name: str, value: C
     return df.withColumn(name, joined).drop("_v", "_own", "_c")
 
 
-def with_state_in_slices(events: DataFrame, order: list[str], threshold: int = THRESHOLD_CALLS, slices: int = 64) -> DataFrame:
-    """The columns of ``with_state`` for logs in which a session may hold a third of all events: a slice of a session is a task's share, and slices' sums are carried on."""
+def with_state_in_slices(events: DataFrame, order: list[str], save, threshold: int = THRESHOLD_CALLS, slices: int = 64) -> DataFrame:
+    """The columns of ``with_state`` for logs in which a session may hold a third of all events: a slice of a session is a task's share, and slices' sums are carried on.
+
+    save: writes a table and returns it read back. Each step reads the one before twice, so each is written once.
+    """
     of = lambda x: F.coalesce(x, F.lit(False))
     tool = c.is_tool_call(F.col("hook_event_name"))
     looks = of((tool & (F.col("class") == c.INVESTIGATE)) | c.is_subagent(F.col("hook_event_name")))
     epoch, key = [*SESSION, "epoch"], [*SESSION, "epoch", "eligible", "key"]
-    df = _running(with_slice(events, order[0], slices), SESSION, order, "epoch", c.is_reset(F.col("hook_event_name")).cast("bigint"))
-    df = _running(df, epoch, order, "investigate_count", looks.cast("bigint"))
-    df = df.withColumn("_works", of(tool & (F.col("class") == c.IMPLEMENT) & (F.col("investigate_count") > 0)))
-    df = _running(df, epoch, order, "_n", F.col("_works").cast("bigint"))
-    df = df.withColumns({"crossing": F.col("_works") & (F.col("_n") == 1), "past_boundary": F.col("_n") > 0, "over_threshold": F.col("investigate_count") > threshold}).drop("_works", "_n")
+    df = save(with_slice(events, order[0], slices))
+    df = save(running(df, SESSION, order, "epoch", c.is_reset(F.col("hook_event_name")).cast("bigint")))
+    df = running(df, epoch, order, "investigate_count", looks.cast("bigint"))
+    df = save(df.withColumn("_works", of(tool & (F.col("class") == c.IMPLEMENT) & (F.col("investigate_count") > 0))))
+    df = running(df, epoch, order, "_n", F.col("_works").cast("bigint"))
+    df = save(df.withColumns({"crossing": F.col("_works") & (F.col("_n") == 1), "past_boundary": F.col("_n") > 0, "over_threshold": F.col("investigate_count") > threshold}).drop("_works", "_n"))
     # The hash before a row: in its slice, else the last one of the slices before. Rows that aren't eligible have none.
     some = df.filter("eligible").groupBy(*key, "slice").agg(F.max_by(F.coalesce("hash", F.lit("")), F.struct(*order)).alias("_h"))
     df = df.withColumn("_own", F.lag(F.coalesce("hash", F.lit(""))).over(Window.partitionBy(*key, "slice").orderBy(*order)))
     df = _with_earlier(df, key, some, [F.lag("_h").over(Window.partitionBy(*key).orderBy("slice")).alias("_c")])
-    df = df.withColumn("is_repeat", of(F.col("eligible") & (F.col("hash") == F.coalesce("_own", "_c")))).drop("_own", "_c")
-    df = _running(df, epoch, order, "turn", of(F.col("eligible") & ~F.col("is_repeat")).cast("bigint"))
+    df = save(df.withColumn("is_repeat", of(F.col("eligible") & (F.col("hash") == F.coalesce("_own", "_c")))).drop("_own", "_c"))
+    df = save(running(df, epoch, order, "turn", of(F.col("eligible") & ~F.col("is_repeat")).cast("bigint")))
     # Turns only rise, so the last recorded one is the largest.
-    df = _running(df, key, order, "_recorded", F.when(~F.col("is_repeat"), F.col("turn")), F.max)
+    df = running(df, key, order, "_recorded", F.when(~F.col("is_repeat"), F.col("turn")), F.max)
     return df.withColumn("repeat_of_turn", F.when(F.col("is_repeat"), F.col("_recorded"))).drop("_recorded", "slice")

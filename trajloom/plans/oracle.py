@@ -125,7 +125,7 @@ _CID = "left(hash, 32)"
 
 
 def _cut(where: str, text: str, ls: str, kind: str) -> str:
-    said = {"shell": "lines omitted, exit 0 (showing first 15/last 15) - full output at ", "text": "lines omitted (showing first 15/last 15) - full output at ", "entries": "entries omitted (showing first 15/last 15) - full list at "}[kind]
+    said = {"shell": "lines of a command that went well left out (kept: first 15, last 15), all of it under ", "text": "lines left out (kept: first 15, last 15), all of it under ", "entries": "entries left out (kept: first 15, last 15), the list under "}[kind]
     return f"array_to_string({ls}[1:15], chr(10)) || chr(10) || '{_P}' || (len({ls}) - 30) || ' {said}' || {where} || chr(10) || array_to_string({ls}[len({ls}) - 14:], chr(10)) || CASE WHEN {text} LIKE '%' || chr(10) THEN chr(10) ELSE '' END"
 
 

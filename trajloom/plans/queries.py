@@ -124,7 +124,7 @@ def sliced_state(spark, sf_dir):
     """The state of calls where a third of all users is one session, by slices of sessions."""
     hot = (F.col("session_id").cast("bigint") % 3) == 0
     e = a.claude_events(spark, sf_dir).withColumns({"project_root": F.when(hot, "/p/hot").otherwise(F.col("project_root")), "session_id": F.when(hot, "hot").otherwise(F.col("session_id"))})
-    found = st.with_state_in_slices(e, ORDER)
+    found = st.with_state_in_slices(e, ORDER, _saved(spark))
     return found.select("event_id", "epoch", "investigate_count", "crossing", "past_boundary", "over_threshold", "is_repeat", "turn", "repeat_of_turn")
 
 

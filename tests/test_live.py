@@ -117,11 +117,12 @@ def test_live_overview_equals_the_batch_after_each_micro_batch(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     projects = spark.range(10).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("project_root"))
     d = data_dir()
-    claude, codex = (e.withColumn("seq", F.unix_micros("ts")).filter("event_id < 3000") for e in (a.claude_events(spark, d, own=True), a.codex_events(spark, d)))
+    claude, codex = (e.withColumn("seq", F.unix_micros("ts")).filter("project_root in ('/p/0', '/p/1')") for e in (a.claude_events(spark, d, own=True), a.codex_events(spark, d)))
     events = slim(claude).withColumn("agent", F.lit("claude-code")).unionByName(slim(codex).withColumn("agent", F.lit("codex"))).persist()
     ends = events.selectExpr("percentile(seq, array(0.3, 0.6))").first()[0] + [float("inf")]
     # One model and counts that never fall: then what steps add up to is the full read.
-    u1, u2 = a.claude_lines(spark, d), a.codex_lines(spark, d).withColumns({"model": F.when(F.col("model").isNotNull(), "gpt-5"), "total_input": F.when(F.col("is_total"), F.col("line_no") * 90_000)})
+    own = lambda x: x.filter("project_root in ('/p/0', '/p/1')")
+    u1, u2 = own(a.claude_lines(spark, d)), own(a.codex_lines(spark, d)).withColumns({"model": F.when(F.col("model").isNotNull(), "gpt-5"), "total_input": F.when(F.col("is_total"), F.col("line_no") * 90_000)})
     for k, (low, high) in enumerate(zip([float("-inf"), *ends], ends)):
         new = lambda x: x.filter(F.col("line_no").between(k * 3, k * 3 + 2) if k < 2 else F.col("line_no") >= 6)
         rows = session_rows(events.filter((F.col("seq") > low) & (F.col("seq") <= high)), new(u1), new(u2))
@@ -134,7 +135,7 @@ def test_live_overview_equals_the_batch_after_each_micro_batch(spark):
         usage = claude_session_usage(sofar(u1), SESSION).withColumn("agent", F.lit("claude-code")).unionByName(codex_session_usage(sofar(u2), SESSION, ["line_no"]).withColumn("agent", F.lit("codex")))
         want = rollup.overview(rollup.session_stats(rollup.mechanism_stats(decided[0].unionByName(decided[1])), usage), projects).first().asDict()
         assert {x: round(v, 3) for x, v in got.asDict().items()} == {x: round(v, 3) for x, v in want.items()}
-        assert spark.read.parquet(f"{folder}/live/projects").filter(F.col("batch") == k).count() == 10
+        assert spark.read.parquet(f"{folder}/live/projects").filter(F.col("batch") == k).count() == 2
     events.unpersist()
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 GAP, BREAK = 1, 2  # kinds of separators: between words, and between pieces of words
-SLICE = 8 << 20
+SLICE = 4 << 20
 CHUNK = 1 << 20  # bytes or words hashed at once
 LONG = 1 << 16  # longer words are hashed by xxhash
 

@@ -38,7 +38,7 @@ LEAST = 30
 COVERED = 80  # percent
 TOP = 2000
 BITS = 1 << 26
-HELD = 4 << 20  # fingerprints that a task holds before it hands them on
+HELD = 2 << 20  # fingerprints that a task holds before it hands them on
 DOCS_A_RANGE = 4096
 
 _PLANE = 1 << 15  # bits of a row of Spark's bitmap functions

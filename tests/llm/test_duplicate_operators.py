@@ -313,6 +313,80 @@ def test_near_duplicate_stage_on_given_documents(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [texts[g][0] for g in sorted(set(group))]
 
 
+def wide(own):
+    """256 bits of a set of hashes, bit by bit."""
+    whole = (1 << 64) - 1
+    ones, first = Counter(), set()
+    for n, h in enumerate(own):
+        words = [h]
+        for k in (1, 2, 3):
+            x = (h + 0x9E3779B97F4A7C15 * k) & whole
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+            words.append(x ^ x >> 31)
+        some = {64 * k + b for k, w in enumerate(words) for b in range(64) if w >> b & 1}
+        ones.update(some)
+        first = first or some
+    return {b for b in range(256) if 2 * ones[b] > len(own) or (2 * ones[b] == len(own) and b in first)}
+
+
+def test_near_duplicate_stage_fingerprints():
+    """Of 0 to 600 shingles, past the 255 that a byte counts; ties take the smallest hash's bit."""
+    r = random.Random(3)
+    for n in (0, 1, 2, 3, 4, 9, 254, 255, 256, 510, 511, 600):
+        own = sorted(r.getrandbits(64) for _ in range(n))
+        got = near_texts.fingerprint(np.array(own, dtype=np.uint64))
+        assert {64 * k + b for k, w in enumerate(got.tolist()) for b in range(64) if w >> b & 1} == (wide(own) if own else set())
+    same = near_texts.fingerprint(np.full(2_000, 5, dtype=np.uint64))
+    assert (same == near_texts.fingerprint(np.array([5], dtype=np.uint64))).all()
+
+
+@pytest.mark.parametrize(("n", "large"), [(1, 0), (65, 0), (700, 0), (900, 600), (300, 290)])
+def test_near_duplicate_stage_compares_bit_sliced(n, large):
+    """Groups of fingerprints within the radius, and one large group, against all pairs."""
+    r = np.random.default_rng(n)
+    flipped = lambda p, share: p ^ np.packbits(r.random(256) < share, bitorder="little").view(np.uint64)
+    prints = r.integers(0, 1 << 64, (n, 4), dtype=np.uint64)
+    for k in range(n):
+        if k < large:
+            prints[k] = flipped(prints[-1], 0.1)
+        elif k % 7 > 3:
+            prints[k] = flipped(prints[k - 3], r.choice([0.05, 0.15, 0.25]))
+    prints = prints[r.permutation(n)]
+    differ = np.unpackbits((prints[:, None] ^ prints[None]).view(np.uint8), axis=2, bitorder="little")
+    near = (differ[..., : near_texts.PLANES].sum(axis=2) <= near_texts.NEAR) & (differ.sum(axis=2) <= near_texts.RADIUS)
+    want = groups(np.argwhere(np.triu(near, 1)).tolist(), n)
+    got = near_texts.near_groups(prints)
+    assert len(set(zip(want, got.tolist()))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_near_duplicate_stage_tables_meet_pairs_at_the_similarity():
+    """100,000 pairs of fingerprints that differ as texts of similarity 0.8 do, at the bits of some 200,000 texts."""
+    bits = near_texts.key_bits(200_000)
+    chosen = [np.random.default_rng([7, t]).permutation(256)[:bits] for t in range(near_texts.tables(bits))]
+    differ = np.random.default_rng(5).random((100_000, 256)) < near_texts.PER_BIT
+    assert bits == 8 and (differ.sum(axis=1) <= near_texts.RADIUS).all() and (differ[:, : near_texts.PLANES].sum(axis=1) <= near_texts.NEAR).all()
+    left = differ
+    for c in chosen:
+        left = left[left[:, c].any(axis=1)]
+    assert len(left) == 0
+    # The share of bits itself, by sets of 400 shingles.
+    r, shares = np.random.default_rng(6), []
+    for _ in range(60):
+        h = r.integers(0, 1 << 64, 440, dtype=np.uint64)  # 360 of 440 in both: 0.82
+        a, b = np.sort(h[:400]), np.sort(h[40:])
+        shares.append(int(np.bitwise_count(near_texts.fingerprint(a) ^ near_texts.fingerprint(b)).sum()) / 256)
+    assert 0.12 < np.mean(shares) < near_texts.PER_BIT
+
+
+def test_near_duplicate_stage_by_tables_of_simhash_bits(spark):
+    """Buckets of about 16 texts, so that dozens of tables take part, against all pairs."""
+    texts = list(enumerate(edited(9, 500)))
+    group = similar_by_hand([t for _, t in texts])
+    got = near_texts.keep_one(make_docs(spark, texts), bucket=16)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
+
+
 def test_repeat_stage_cuts_passages_of_51_short_words(spark):
     """51 to 60 words of one to three letters, under 400 bytes, in two documents, with other white space in one; 50 words stay."""
     r = random.Random(8)

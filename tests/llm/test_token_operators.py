@@ -149,6 +149,63 @@ def test_block_round_trip(ids):
     assert (idcoder.decode_block(idcoder.encode_block(ids)) == ids).all()
 
 
+def test_an_id_takes_few_digits(spark):
+    """What a block costs grows with the digits of its ids (2.2 an id in a code of 16 digits)."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{data_dir('0.001')}/documents.parquet").collect()]
+    _, counts = np.unique(np.concatenate(idstore.word_ids(idstore.default_tokenizer())(texts, 1)), return_counts=True)
+    assert (idcoder._lengths(counts) * counts).sum() < 1.5 * counts.sum()
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 300, 40_000])
+def test_digits_are_found_in_their_own_shares(kinds):
+    """At each point of a lane's range, whatever the model has learned, the digit found is the one whose share it is."""
+    r = np.random.default_rng(kinds)
+    lengths = idcoder._lengths(r.zipf(1.3, kinds).clip(1, 1000))
+    tree = idcoder.Tree(lengths)
+    model, lanes = idcoder.Model(tree), 512
+    last = before = np.zeros(lanes, np.int64)
+    for _ in range(60):
+        x = (r.zipf(1.2, lanes) - 1) % kinds
+        model.begin(last, before)
+        model.look(None, None, 0, None)
+        bounds = [model.span(np.full(lanes, d)) for d in range(idcoder.RADIX)]
+        for d, (low, share) in enumerate(bounds):
+            assert (share > 0).all() and (low == (bounds[d - 1][0] + bounds[d - 1][1] if d else 0)).all()
+        assert (low + share <= idcoder.SHARES).all()
+        digit = r.integers(0, idcoder.RADIX, lanes)
+        low, share = model.span(digit)
+        for v in (low, low + share // 2, low + share - 1):
+            assert (model.find(v) == digit).all()
+        digit = tree.digit[0].take(x)
+        model.span(digit)
+        model.learn(digit)
+        model.end(x)
+        before, last = last, x
+
+
+def test_long_blocks_come_back():
+    """Many lanes, codes of three digits and more, carries; two blocks of a segment."""
+    r = np.random.default_rng(5)
+    ids = np.r_[r.zipf(1.2, 400_000) % 65_536, np.arange(65_536), np.full(100_000, 7)]
+    assert (idcoder.decode_block(idcoder.encode_block(ids)) == ids).all()
+    ids = np.tile(r.integers(0, 50, 3000), -(-(idcoder.BLOCK + 5000) // 3000))
+    docs = pa.table({"doc_id": [1], "n_tokens": [len(ids)]})
+    assert (idstore.read_segment(idstore.pack_segment(docs, ids))[1] == ids).all()
+
+
+def test_words_end_where_the_vocabulary_says():
+    """New words go through the library's call without offsets; where tokens don't tell the words, through the one with them."""
+    own, plain = idstore.WordIds(idstore.default_tokenizer()), idstore.WordIds(idstore.default_tokenizer())
+    assert own.closes is not None
+    plain.closes = None
+    texts = ["".join(chr(k) for k in range(1, 256)), "</w> a</w>b x</w", "unheardofword's wo'nt \u00e0\u00ad\u00ff caf\u00e9 7\u00b2"]
+    want = [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in own(texts, 1)] == [x.tolist() for x in plain(texts, 1)] == want
+    own._clear()
+    own.closes = np.zeros_like(own.closes)
+    assert [x.tolist() for x in own(texts, 1)] == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=40) | st.text("ab 'stmdrevl\n\té1²<|>\0ſK", max_size=40), max_size=5))
 def test_words_equal_library(texts):

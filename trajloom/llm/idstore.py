@@ -32,8 +32,8 @@ from trajloom.llm.bpe import _DIGIT, _LETTER, _SPACE
 from trajloom.llm.common import whole_text, written
 from trajloom.llm.idcoder import BLOCK, decode_block, encode_block
 
-MAGIC = b"TLID2"
-SEGMENT = 2 * BLOCK  # ids from which a segment ends with the document
+MAGIC = b"TLID3"
+SEGMENT = BLOCK - BLOCK // 16  # ids from which a segment ends with the document: mostly one block
 MAX_WORDS = 500_000
 
 
@@ -45,7 +45,8 @@ def pack_segment(docs: pa.Table, ids: np.ndarray) -> bytes:
     with pa.ipc.new_stream(sink, docs.schema) as w:
         w.write_table(docs)
     table = zlib.compress(sink.getvalue().to_pybytes(), 6)
-    blocks = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+    count = -(-len(ids) // BLOCK)
+    blocks = [encode_block(part) for part in np.array_split(ids, count)] if count else []  # of nearly equal size
     head = struct.pack("<II", len(table), len(blocks)) + np.array([len(b) for b in blocks], "<u4").tobytes() + table
     return MAGIC + struct.pack("<II", zlib.crc32(head), len(head)) + head + b"".join(blocks)
 
@@ -109,8 +110,20 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.closes = self._closing()
         self._clear()
 
+    def _closing(self) -> np.ndarray | None:
+        """Of each id: whether it ends a word. None where the vocabulary does not tell for every byte."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        mark, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        if not mark or any(c + mark not in vocab for c in ByteLevel.alphabet()):
+            return None
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        return out
+
     def _clear(self) -> None:
         self.key0, self.key1 = (np.zeros(1 << _SLOT_BITS, np.uint64) for _ in range(2))
         self.at = np.full(1 << _SLOT_BITS, -1, np.int64)
@@ -148,15 +161,22 @@ class WordIds:
             slot[left] = (slot[left] + 1) & ((1 << _SLOT_BITS) - 1)
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of new words, whose ids come from the library, many in a call: blanks keep them apart, and each token tells its word."""
+        """Numbers of new words, whose ids come from the library, many in a call: blanks keep them apart, and tokens tell where a word ends."""
         numbers = np.arange(self.n, self.n + len(words))
         ids, count = [], np.zeros(len(words), np.int64)
         for at in range(0, len(words), 1024):
             part = words[at : at + 1024]
-            found = self.tokenizer.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False)
-            own = np.array(found.word_ids, np.int64)
+            text = b" ".join(part).decode("latin-1")
+            if self.closes is not None:  # the library's call without offsets, which has no word_ids either
+                own = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                ends = np.flatnonzero(self.closes.take(own))
+                if len(ends) == len(part) and ends[-1] == len(own) - 1:
+                    ids.append(own)
+                    count[at : at + len(part)] = np.diff(ends, prepend=-1)
+                    continue
+            found = self.tokenizer.encode(text, add_special_tokens=False)
             ids.append(np.array(found.ids, np.int32))
-            count[at : at + len(part)] = np.bincount(own, minlength=len(part))
+            count[at : at + len(part)] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
         ids = np.concatenate(ids)
         grown = lambda a, n: np.r_[a, np.zeros(max(n - len(a), len(a)), a.dtype)] if n > len(a) else a
         self.first, self.count, self.ids = grown(self.first, self.n + len(words)), grown(self.count, self.n + len(words)), grown(self.ids, self.n_ids + len(ids))

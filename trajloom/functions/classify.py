@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trajloom.functions.strict import strict
-from trajloom.functions.text import WHITE, trim_white
+from trajloom.functions.text import WHITE, once, trim_white
 
 INVESTIGATE, IMPLEMENT, NEUTRAL = "investigate", "implement", "neutral"
 
@@ -78,8 +78,10 @@ def _has_flag(words: Column, flags: list[str]) -> Column:
 
 def classify_command(command: Column) -> Column:
     """investigate where a command certainly only reads, else neutral; never implement."""
-    text = trim_white(command)
-    words = F.split(text, f"[{WHITE}]+")
+    return once(trim_white(command), lambda text: once(F.split(text, f"[{WHITE}]+"), lambda words: _classified(text, words)))
+
+
+def _classified(text: Column, words: Column) -> Column:
     first, second = F.element_at(words, 1), F.try_element_at(words, F.lit(2))
     reading = first.isin(*READING)
     for name, flags in READING_WITHOUT.items():
@@ -95,14 +97,12 @@ def classify_command(command: Column) -> Column:
 
 def shell_command(tool_input: Column) -> Column:
     """``command``, else ``cmd``, of the JSON input, trimmed; null where empty, or where either is no string."""
-    asked = strict(tool_input, {"command": "string", "cmd": "string"})
-    of = lambda name: F.nullif(trim_white(asked[name]), F.lit(""))
-    return F.coalesce(of("command"), of("cmd"))
+    of = lambda x: F.nullif(trim_white(x), F.lit(""))
+    return once(strict(tool_input, {"command": "string", "cmd": "string"}), lambda asked: F.coalesce(of(asked["command"]), of(asked["cmd"])))
 
 
 def codex_phase_class(tool: Column, tool_input: Column) -> Column:
-    command = shell_command(tool_input)
     return (
-        F.when(is_shell_tool(tool), F.when(command.isNull(), NEUTRAL).otherwise(classify_command(command)))
+        F.when(is_shell_tool(tool), once(shell_command(tool_input), lambda x: F.when(x.isNull(), NEUTRAL).otherwise(classify_command(x))))
         .when(F.lower(trim_white(tool)).startswith("mcp__"), NEUTRAL).otherwise(codex_tool_class(tool))
     )

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Of a shape: names to "string", "bigint", "boolean", "json" (anything, kept as it is), ["string"] or a shape. A null or missing field is null.
+from trajloom.functions.text import once
+
+#: Of a shape: names to "string", "bigint", "boolean", "json" (anything, kept as it is), "text" (anything, as text: strings without quotes, else JSON), ["string"] or a shape. A null or missing field is null.
 Shape = dict
 
 _ABSENT = ("STRING", "VOID")  # what may stand in place of a string
@@ -21,7 +24,7 @@ def _type(shape) -> str:
         return "STRUCT<" + ", ".join(f"{k}: {_type(v)}" for k, v in shape.items()) + ">"
     if isinstance(shape, list):
         return "ARRAY<VARIANT>"
-    return {"string": "VARIANT", "json": "VARIANT"}.get(shape, shape.upper())
+    return {"string": "VARIANT", "json": "VARIANT", "text": "STRING"}.get(shape, shape.upper())
 
 
 def _is_string(x: Column) -> Column:
@@ -64,13 +67,12 @@ def strict(raw: Column, shape: Shape) -> Column:
     """The JSON object as a struct of the shape; null where it is no JSON object or doesn't fit."""
     asked = _type({**shape, "_bad": "string"}).replace("_bad: VARIANT", "_bad: STRING")
     x = F.from_json(raw, asked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return F.when(x.isNotNull() & x["_bad"].isNull() & _fits(x, shape), _plain(x, shape))
+    return once(x, lambda v: F.when(v.isNotNull() & v["_bad"].isNull() & _fits(v, shape), _plain(v, shape)))
 
 
 def quoted(text: Column) -> Column:
     """The text as a JSON string."""
-    inside = F.to_json(F.array(text))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+    return once(F.to_json(F.array(text)), lambda inside: F.substring(inside, F.lit(2), F.length(inside) - 2))
 
 
 _DECODER = json.JSONDecoder()
@@ -110,14 +112,28 @@ def raw_value(lines: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([own(*x) for x in zip(lines, names)], dtype=object)
 
 
-def raw_field(raw: Column, name: str) -> Column:
-    """The JSON text of a field of the object as it stands in the line, null as ``null``; no value where the field is missing.
+def written_field(raw: Column, name: str, text: Column) -> Column:
+    """For ``raw_field``: anew, the JSON text of the object's field where Spark, writing it anew, finds it in the line as it stands; other, where Python has to look.
 
-    Written anew by Spark it is the same in a line without needless white space, as agents write them: then no line goes to Python.
+    text: the field as the parser gives it for a string (see "text" in ``Shape``): a string's characters, any other value's JSON. A line without needless white
+    space, as agents write them, has a string quoted behind the field's name, or the JSON. Where a field inside another one could be mistaken for it, the name has to stand there once.
     """
-    kind = F.schema_of_variant(F.from_json(raw, f"STRUCT<{name}: VARIANT>")[name])
-    text = F.from_json(raw, f"STRUCT<{name}: STRING>")[name]
-    anew = F.when(kind == "STRING", quoted(text)).otherwise(text)
-    same = F.contains(raw, F.concat(F.lit(f'"{name}":'), anew))
-    other = raw_value(F.when((kind != "VOID") & ~same, raw), F.lit(name))
-    return F.when(kind == "VOID", "null").when(same, anew).when(kind.isNotNull(), other)
+    key = f'"{name}"'
+    has = lambda x: F.contains(raw, F.concat(F.lit(key), x))
+    once_there = F.octet_length(F.substring_index(raw, key, 1)) + F.octet_length(F.substring_index(raw, key, -1)) + len(key) == F.octet_length(raw)
+    quotes = reduce(lambda x, y: x | y, [has(F.lit(x)) for x in (':"', " ", "\t", "\r", "\n")])
+
+    def found(x: Column) -> Column:
+        value, first = x["text"], F.substring(x["text"], 1, 1)
+        json_like = first.isin(*'[{-0123456789') | value.isin("true", "false", "null")
+        said = F.when((~json_like | once_there) & has(F.concat(F.lit(":"), x["quoted"])), x["quoted"])
+        ends = has(F.concat(F.lit(":"), value, F.lit(","))) | has(F.concat(F.lit(":"), value, F.lit("}")))
+        plain = F.when(json_like & (~quotes | once_there) & ends, value)
+        return once(F.when(value.isNotNull(), F.coalesce(said, plain)), lambda y: F.struct(y.alias("anew"), (y.isNull() & (value.isNotNull() | F.contains(raw, F.lit(key)) | F.contains(raw, F.lit("\\u00")))).alias("other")))
+
+    return once(F.struct(text.alias("text"), quoted(text).alias("quoted")), found)
+
+
+def raw_field(raw: Column, name: str, written: Column) -> Column:
+    """The JSON text of a field of the object as it stands in the line, null as ``null``; no value where the field is missing. written: a column with ``written_field``."""
+    return F.when(written["other"], raw_value(F.when(written["other"], raw), F.lit(name))).otherwise(written["anew"])

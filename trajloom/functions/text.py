@@ -20,6 +20,11 @@ NOTICES = {
 WHITE = " \t\n\x0b\x0c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def once(x: Column, use) -> Column:
+    """use(x), with x worked out once however often ``use`` names it; in a plain expression Spark may work it out at each place."""
+    return F.transform(F.array(x), lambda v: use(v))[0]
+
+
 def trim_white(text: Column) -> Column:
     """Without the white space at both ends; Spark's own trim takes blanks only."""
     return F.btrim(text, F.lit(WHITE))

@@ -40,6 +40,18 @@ def decided_codex(events: DataFrame, order: list[str], by: str = "event_id", **l
     return decide_codex(df.select(*dict.fromkeys([by, *order, *SLIM])), order, **limits)
 
 
+BITS, BUCKET = 1 << 27, 1 << 15
+
+
+def may_be_among(df: DataFrame, some: DataFrame, by: str) -> DataFrame:
+    """Rows of df whose ``by`` may be among those of some: all that are, and of the others as many as share a bit by their hash, of a table of 16 MB that goes to all tasks. Keeps large rows out of a join that drops most of them."""
+    at = lambda: F.pmod(F.xxhash64(by), F.lit(BITS))
+    bits = some.select(F.floor(at() / BUCKET).alias("_bucket"), (at() % BUCKET).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    of = df.withColumns({"_bucket": F.floor(at() / BUCKET), "_bit": (at() % BUCKET).cast("int")}).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return of.filter(F.getbit(byte, F.col("_bit") % 8) == 1).drop("_bucket", "_bit", "_bits")
+
+
 def _shown(codex: bool, prefix: str) -> Column:
     """What the model sees in place of the text (column shown_text), as plain text."""
     x, where, n, a, key = F.col("shown_text"), F.col("content_id"), F.col("saved_bytes"), F.col("action"), F.col("key")
@@ -71,12 +83,13 @@ def reduce_trajectories(events: DataFrame, order: list[str], by: str = "event_id
     raw = F.lit(False) if codex else F.col("action").isin("retire_boundary", "retire_threshold")
     named = F.substring(F.when(raw, F.col("hash" if codex else "raw_hash")).otherwise(F.col("hash")), 1, 32)
     changed = decided.filter(F.col("action").isin(*CHANGED)).select(by, *SESSION, "epoch", "action", "saved_bytes", "repeat_of_turn", F.when(F.col("action") != "dedup", named).alias("content_id"))
-    texts = normal(events).select(by, "tool_name", "tool_response", "is_shell", "key", "text")
-    full = changed.join(texts, by).withColumn("shown_text", F.coalesce("text", F.lit("")))
+    # Only changed calls' responses are dealt to the join, and only there are their texts taken from them.
+    said = lambda some: normal(some.join(may_be_among(events.select(by, "hook_event_name", "tool_name", "tool_input", "tool_response"), some, by), by)).withColumn("shown_text", F.coalesce("text", F.lit("")))
+    full = said(changed)
     shown = _shown(codex, prefix)
     updated = quoted(shown) if codex else _claude_output(shown)
     outputs = full.select(*SESSION, "epoch", by, "action", "content_id", updated.alias("updated_output"))
     content = F.when(raw, F.col("tool_response")).otherwise(F.col("shown_text"))
     once = changed.filter(F.col("action").isin(*ARCHIVED)).dropDuplicates([*SESSION, "epoch", "content_id"])
-    archive = once.join(texts, by).withColumn("shown_text", F.coalesce("text", F.lit(""))).select(*SESSION, "epoch", "content_id", F.coalesce(content, F.lit("")).alias("content"))
+    archive = said(once).select(*SESSION, "epoch", "content_id", F.coalesce(content, F.lit("")).alias("content"))
     return Reduced(decided, outputs, archive.withColumn("n_bytes", F.octet_length("content").cast("bigint")), mechanism_stats(decided))

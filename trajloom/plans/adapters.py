@@ -118,16 +118,18 @@ def _object(fields: dict):
 
 
 def _with_texts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x09\\x0b-\\x1f]", " ")
-    return events.join(docs, "doc_id", "left").withColumn("text", clean)
+    """text: the output inside a JSON string, made once for each document. Events are dealt evenly first, as a file of them may be read by few tasks."""
+    docs = table(spark, sf_dir, "documents")
+    clean = F.regexp_replace("text", "[\\x00-\\x09\\x0b-\\x1f]", " ")
+    dealt = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    return dealt.join(docs.select("doc_id", escaped(clean).alias("text")), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def raw_claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The even sessions as raw hook events of the first agent: inputs and responses are JSON in each tool's shape, some of them failed, empty, images, mistyped, bare strings or null."""
     e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "claude-code"), spark, sf_dir)
     tool, v = F.col("tool_name"), F.col("event_id") % 14
-    said, command = F.concat(F.lit('"'), escaped(F.col("text")), F.lit('"')), F.concat(F.lit('"cmd-'), F.col("k").cast("string"), F.lit('"'))
+    said, command = F.concat(F.lit('"'), F.col("text"), F.lit('"')), F.concat(F.lit('"cmd-'), F.col("k").cast("string"), F.lit('"'))
     flag = lambda k: F.when(v == k, "true").otherwise("false")
     names = F.when(v == 4, "[]").otherwise(F.concat(F.lit("["), F.replace(said, F.lit("\\n"), F.lit('","')), F.lit("]")))
     bash = _object({"stdout": F.when(v == 13, "5").otherwise(said), "stderr": F.when(v == 2, '"oops"').otherwise('""'), "interrupted": F.when(v == 11, '"yes"').otherwise(flag(0)), "isImage": flag(1)})
@@ -142,7 +144,7 @@ def raw_claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_codex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odd sessions as raw hook events of the second agent: 23 shapes of responses (mistyped, bare and null ones among them), several names of one tool, white space around commands."""
     e = _with_texts(tool_events(spark, sf_dir).filter(F.col("agent") == "codex"), spark, sf_dir)
-    v, w, text = F.col("event_id") % 23, F.col("event_id") % 3, escaped(F.col("text"))
+    v, w, text = F.col("event_id") % 23, F.col("event_id") % 3, F.col("text")
     shell = F.when(w == 0, "shell").when(w == 1, " Bash\n").otherwise("functions.exec_command")
     tool = (
         F.when(F.col("tool_name") == "Glob", F.when(w == 0, "mcp__x__list").otherwise("functions.list_dir")).when(F.col("tool_name") == "Read", "read_file").when(F.col("tool_name") == "Grep", F.when(w == 0, "Grep").otherwise("tools/grep"))

@@ -445,9 +445,10 @@ def settled_sessions(spark, sf_dir):
 
 
 def _raw(spark, sf_dir, codex):
-    """Raw events, read back from JSON lines."""
+    """Raw events, read back from JSON lines. The files are compressed (one is read by one task, so a file holds a bounded number of lines)."""
     path = _shared(spark)
-    a.event_lines(a.raw_codex_events(spark, sf_dir) if codex else a.raw_claude_events(spark, sf_dir)).write.text(path)
+    lines = a.event_lines(a.raw_codex_events(spark, sf_dir) if codex else a.raw_claude_events(spark, sf_dir))
+    lines.write.option("compression", "snappy").option("maxRecordsPerFile", 50_000).text(path)
     return files.read_tool_events(spark, path).withColumnsRenamed({"seq": "event_id"}).withColumn("project_root", F.col("cwd"))
 
 

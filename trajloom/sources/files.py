@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajloom.functions.savings import default_agent
-from trajloom.functions.strict import fields_at, raw_field, strict
+from trajloom.functions.strict import fields_at, raw_field, strict, written_field
 
 _NAMES = ["session_id", "cwd", "hook_event_name", "tool_name", "transcript_path", "model", "turn_id", "tool_use_id", "agent_id", "agent_type", "agent"]
 EVENT = {"seq": "bigint", **dict.fromkeys(_NAMES, "string")}
@@ -26,8 +26,11 @@ _STATS = {"agent": "agent", "dedupHits": "dedup_hits", "dedupBytes": "dedup_byte
 def read_tool_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Hook events as agents send them, one JSON object a line. Inputs and responses stay raw JSON text (a bare string keeps its quotes); a line that can't be read, or in which any other field has another type, is left out whole."""
     lines = (spark.readStream if stream else spark.read).text(path)
-    x = lines.withColumn("x", strict(F.col("value"), EVENT)).filter(F.coalesce("x.hook_event_name", F.lit("")) != "")
-    raw = {k: raw_field(F.col("value"), k).alias(k) for k in ("tool_input", "tool_response")}
+    # Each line is parsed once: a filter by itself, or one that Spark moves down to it, would parse it again.
+    nested = ("tool_input", "tool_response")
+    fit = F.filter(F.array(strict(F.col("value"), {**EVENT, **dict.fromkeys(nested, "text")})), lambda x: F.coalesce(x["hook_event_name"], F.lit("")) != "")
+    x = lines.select("value", F.explode(fit).alias("x")).withColumns({f"_{k}": written_field(F.col("value"), k, F.col(f"x.{k}")) for k in nested})
+    raw = {k: raw_field(F.col("value"), k, F.col(f"_{k}")).alias(k) for k in nested}
     return x.select(*[F.col(f"x.{k}").alias(k) for k in ("seq", *_NAMES[:4])], *raw.values(), *[F.col(f"x.{k}").alias(k) for k in _NAMES[4:]])
 
 

@@ -51,3 +51,12 @@ def test_rows_that_may_be_among_others(spark):
         found = {r["id"] for r in may_be_among(df, some, "k").collect()}
         assert set(range(0, 20000, 5)) <= found and len(found) < 4100
     assert may_be_among(df, some.limit(0), "k").count() == 0
+
+
+def test_stored_queries_write_raw_events_once_for_each_agent(spark, monkeypatch):
+    made, own = [], q._raw
+    monkeypatch.setattr(q, "_raw", lambda spark, sf_dir, codex: (made.append(codex), own(spark, sf_dir, codex))[1])
+    for query in (q.stored_stats, q.stored_archive):
+        made.clear()
+        query(spark, data_dir())
+        assert sorted(made) == [False, True]

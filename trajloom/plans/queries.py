@@ -505,16 +505,18 @@ def stats_files(spark, sf_dir):
 def stored_archive(spark, sf_dir):
     """Both agents' archives of raw events, stored in two portions, the second one twice, and read back."""
     path = _shared(spark)
-    for codex in (False, True, True):
-        files.write_archive(_reduce(spark, sf_dir, codex).archive, path)
+    claude, codex = (_saved(spark)(_reduce(spark, sf_dir, x).archive) for x in (False, True))
+    for portion in (claude, codex, codex):
+        files.write_archive(portion, path)
     return files.read_archive(spark, path).select(*ar.KEY, F.md5("content").alias("content_md5"), "n_bytes")
 
 
 def stored_stats(spark, sf_dir):
     """Tallies of raw events stored in two portions, both twice, and read back."""
     path = _shared(spark)
-    for codex in (False, True, False, True):
-        files.write_session_stats(_reduce(spark, sf_dir, codex).tallies, path)
+    tallies = [_reduce(spark, sf_dir, codex).tallies for codex in (False, True)]
+    for portion in (*tallies, *tallies):
+        files.write_session_stats(portion, path)
     return files.latest_session_stats(spark, path)
 
 

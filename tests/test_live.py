@@ -165,3 +165,21 @@ def test_pieces_hold_each_event_once_though_percentiles_vary(spark, monkeypatch)
     want = {r["event_id"]: r["action"] for r in queries.claude_decisions(spark, data_dir()).collect()}
     got = queries.reduce_stream(spark, data_dir()).collect()
     assert len(got) == len(want) and {r["event_id"]: r["action"] for r in got} == want
+
+
+def test_many_small_files_share_a_task(monkeypatch):
+    """Each line once, whatever files share a task; a large file still is several tasks'."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for k in range(300):
+        put(f"{folder}/s{k}.jsonl", f"a{k}", f"b{k}")
+    reader = tail.TailReader({"path": folder, "suffix": ".jsonl"})
+    read = lambda parts: sorted(r["value"] for p in parts for b in reader.read(p) for r in b.to_pylist())
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(parts) <= 3 and read(parts) == sorted(x + str(k) for x in "ab" for k in range(300))
+    put(f"{folder}/s7.jsonl", "a7", "b7", "c7")
+    parts = reader.partitions(end, reader.latestOffset())
+    assert len(parts) == 1 and read(parts) == ["c7"]
+    monkeypatch.setattr(tail, "RANGE", 4)
+    parts = reader.partitions({}, {"s7.jsonl": 9})
+    assert len(parts) == 3 and read(parts) == ["a7", "b7", "c7"]

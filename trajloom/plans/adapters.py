@@ -245,7 +245,8 @@ def write_growing(lines: DataFrame, folder: str, cut: int | None = None) -> None
         if out:
             out.close()
 
-    dealt = lines.select("session_id", "n", "line").repartition("session_id").sortWithinPartitions("session_id", "n")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, or few lines of many sessions would be one task's
+    dealt = lines.select("session_id", "n", "line").repartition(parts, "session_id").sortWithinPartitions("session_id", "n")
     dealt.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
 
 

@@ -3,7 +3,7 @@
 ``tailed_lines`` (format of ``spark.readStream`` after ``register``) gives out a line in the micro-batch in which its end arrives:
 a partial last line waits, whatever its length, and is then given out whole. Its offset is the size of each file, so a restart goes on where
 the last micro-batch ended. What is new in a file is read in ranges of ``RANGE`` bytes by several tasks: a line belongs to the
-range that holds its end, and its reader goes back to where the line begins.
+range that holds its end, and its reader goes back to where the line begins. What is new in many small files is read by one task.
 
 Options: ``path`` (a folder, any that ``pyarrow.fs`` reads), ``suffix`` (of the files' names; all files, if left out).
 Columns: session_id (of a folder ``session_id=...``, else the file's name without .jsonl), path, position (of the line's first byte), value.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 RANGE = 64 << 20
+OPEN = 256 << 10  # bytes that opening a file counts as: so many small files share a task
 CHUNK = 1 << 20
 LINES = 4096  # lines of a batch
 
@@ -83,8 +84,8 @@ def ranges(start: int, end: int) -> list[tuple[int, int]]:
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class TailReader(DataSourceStreamReader):
@@ -101,20 +102,31 @@ class TailReader(DataSourceStreamReader):
         return dict(sorted((x.path[len(own) :].strip("/"), x.size) for x in found if x.is_file and x.path.endswith(self.suffix) and shown(x.path)))
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        return [Part(f"{self.path.rstrip('/')}/{name}", a, b) for name, size in end.items() for a, b in ranges(start.get(name, 0), size)]
+        parts: list[Part] = []
+        room = 0
+        for path, a, b in ((f"{self.path.rstrip('/')}/{name}", a, b) for name, size in end.items() for a, b in ranges(start.get(name, 0), size)):
+            cost = b - a + OPEN
+            if not parts or cost > room:
+                parts.append(Part([]))
+                room = RANGE
+            parts[-1].ranges.append((path, a, b))
+            room -= cost
+        return parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        session = session_of(partition.path)
-        some: list[tuple[int, str]] = []
+        some: list[tuple[str, str, int, str]] = []
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array([session] * len(some)), pa.array([partition.path] * len(some)), pa.array([p for p, _ in some], pa.int64()), pa.array([x for _, x in some], pa.string())], ["session_id", "path", "position", "value"])
-
-        for x in lines_between(partition.path, partition.start, partition.end):
-            some.append(x)
-            if len(some) == LINES:
-                yield batch()
-                some = []
+            kinds = {"session_id": pa.string(), "path": pa.string(), "position": pa.int64(), "value": pa.string()}
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some), kinds.values())], list(kinds))
+
+        for path, start, end in partition.ranges:
+            session = session_of(path)
+            for x in lines_between(path, start, end):
+                some.append((session, path, *x))
+                if len(some) == LINES:
+                    yield batch()
+                    some = []
         if some:
             yield batch()
 
